@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +71,10 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 LONG_TEXT = 64
 
 
-def _key_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Like ``value_counts``, with long texts replaced by their 128-bit digest.
+def _key_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(name, value, digest) cells; long texts are replaced by their 128-bit digest.
 
-    Whole documents never enter the shuffle; ``digest`` tells the two apart.
+    Whole documents so never enter a shuffle; ``digest`` tells the two apart.
     """
     pairs = []
     for c in cols:
@@ -82,8 +83,11 @@ def _key_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         pairs.append(
             F.struct(F.lit(c).alias("name"), F.when(long, F.md5(v)).otherwise(v).alias("value"), long.alias("digest"))
         )
-    flat = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-    return flat.groupBy("name", "digest", "value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+
+
+def _key_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return _key_pairs(df, cols).groupBy("name", "digest", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -215,33 +219,52 @@ def promote_dates(df: DataFrame, cols: Sequence[str] | None = None, min_share: f
 
 # ----------------------------------------------------------------- profile
 
-PROFILE_SCHEMA = (
-    "name string, pos int, dtype string, kind string, rows bigint, missing bigint, missing_pct double, nunique bigint"
-)
+def light_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Name, type, rows, missing and distinct values: what the advisors read."""
+    return catalog_profile({"": df}, exact).drop("table")
 
 
-def light_profile(df: DataFrame, dtypes: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
-    """Name, type, rows, missing and distinct values: what the advisors read."""
-    require_flat(df)
-    dtypes = dtypes or dict(df.dtypes)
-    base = _per_column(
-        df, df.schema.fields, lambda f: {"rows": F.count(F.lit(1)), "missing": F.count_if(is_missing(f))}
+def catalog_profile(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
+    """Light profiles of many tables in one job: one row per (table, column).
+
+    The cells of all tables meet in a single value-count shuffle.
+    """
+    facts, counted, cells = [], [], []
+    for name, df in tables.items():
+        require_flat(df)
+        facts += [
+            (name, f.name, i, df.dtypes[i][1], schema_kind(f.dataType)) for i, f in enumerate(df.schema.fields)
+        ]
+        tag = F.lit(name).alias("table")
+        base = _per_column(
+            df, df.schema.fields, lambda f: {"rows": F.count(F.lit(1)), "missing": F.count_if(is_missing(f))}
+        )
+        counted.append(base.select(tag, "*"))
+        part = _key_pairs(df, df.columns) if exact else nunique(df, exact=False)
+        cells.append(part.select(tag, "*"))
+    long = reduce(lambda a, b: a.unionByName(b), cells)
+    if exact:
+        keys = long.groupBy("table", "name", "digest", "value").agg(F.count(F.lit(1)).alias("n"))
+        long = keys.groupBy("table", "name").agg(F.count(F.lit(1)).alias("nunique"))
+    described = local_frame(
+        next(iter(tables.values())).sparkSession,
+        facts,
+        "table string, name string, pos int, dtype string, kind string",
     )
-    facts = [(f.name, i, dtypes[f.name], schema_kind(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    described = local_frame(df.sparkSession, facts, "name string, pos int, dtype string, kind string")
-    # Both tables have one row per column.
-    joined = F.broadcast(described).join(base, "name").join(F.broadcast(nunique(df, exact=exact)), "name")
+    # Every side has one row per column, so each of them is small.
+    base = reduce(lambda a, b: a.unionByName(b), counted)
+    joined = described.join(F.broadcast(base), ["table", "name"]).join(F.broadcast(long), ["table", "name"], "left")
+    share = F.col("missing") * 100.0 / F.nullif(F.col("rows"), F.lit(0))
     return joined.select(
+        "table",
         "name",
         "pos",
         "dtype",
         "kind",
         "rows",
         "missing",
-        F.round(F.coalesce(F.col("missing") * 100.0 / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0)), 2).alias(
-            "missing_pct"
-        ),
-        "nunique",
+        F.round(F.coalesce(share, F.lit(0.0)), 2).alias("missing_pct"),
+        F.coalesce("nunique", F.lit(0)).cast("bigint").alias("nunique"),
     )
 
 

@@ -68,8 +68,12 @@ def _with_context(questions: DataFrame, runs: DataFrame, run: str) -> DataFrame:
 
 
 def question_coverage(questions: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
-    """Is each question covered, partially covered or not covered by its run?"""
+    """Is each question covered, partially covered or not covered by its run?
+
+    A question without a run is not covered.
+    """
     q = _with_context(questions, runs, run)
+    has_run = F.col("best_model").isNotNull()
     raw = F.lower(F.coalesce("type", F.lit("")))
     kind = F.when(raw.isin("classification", "regression"), raw).when(raw == "prediction", F.col("task"))
     q = q.withColumn("expected_type", kind.otherwise("analysis"))
@@ -79,13 +83,15 @@ def question_coverage(questions: DataFrame, runs: DataFrame, run: str = "run_id"
         .otherwise(F.array().cast("array<string>"))
     )
     modelled = F.col("expected_type").isin("classification", "regression")
+    no_text = F.array().cast("array<string>")
     q = q.withColumns(
         {
-            "task_match": (F.col("expected_type") == F.col("task")) | (F.col("expected_type") == "analysis"),
+            "task_match": has_run & ((F.col("expected_type") == F.col("task")) | (F.col("expected_type") == "analysis")),
             "target_match": _target_match(),
-            "metrics_present": F.array_intersect(expected, "measured"),
+            "metrics_present": F.coalesce(F.array_intersect(expected, "measured"), no_text),
             "methods_present": F.filter(
-                "required_methods", lambda m: F.array_contains(F.col("families"), family_of(m))
+                F.coalesce("required_methods", no_text),
+                lambda m: F.coalesce(F.array_contains(F.col("families"), family_of(m)), F.lit(False)),
             ),
         }
     )
@@ -94,7 +100,7 @@ def question_coverage(questions: DataFrame, runs: DataFrame, run: str = "run_id"
     status = F.when(matched & has_metrics, "covered").when(matched, "partially_covered").otherwise("not_covered")
     reasons = F.array_compact(
         F.array(
-            F.when(~F.col("task_match"), "task_mismatch"),
+            F.when(~has_run, "no_run").when(~F.col("task_match"), "task_mismatch"),
             F.when(~F.col("target_match"), "target_mismatch"),
             F.when(matched & ~has_metrics, "metrics_missing"),
         )
@@ -102,7 +108,7 @@ def question_coverage(questions: DataFrame, runs: DataFrame, run: str = "run_id"
     open_question = status != "covered"
     steps = F.array_compact(
         F.array(
-            F.when(open_question & modelled & (F.col("expected_type") != F.col("task")), "train_for_type"),
+            F.when(open_question & modelled & ~F.col("task_match"), "train_for_type"),
             F.when(open_question & ~F.col("target_match"), "switch_target"),
             F.when(open_question & modelled & ~has_metrics, "add_metrics"),
             F.when(open_question & (F.size("required_methods") > 0) & (F.size("methods_present") == 0), "add_methods"),

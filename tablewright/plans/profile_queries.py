@@ -267,15 +267,6 @@ def profile_events(spark, sf):
     return flat_profile(table(spark, sf, "events"))
 
 
-def catalog_profile(spark, sf):
-    """Light profiles of all catalog tables as one table."""
-    parts = [profile.light_profile(df).withColumn("table", F.lit(n)) for n, df in catalog_tables(spark, sf).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @query(
     "column_kind_counts",
     f"""SELECT "table", count(*) FILTER (dtype IN ('bigint', 'int', 'double', 'float')) AS numeric_columns,
@@ -283,7 +274,7 @@ def catalog_profile(spark, sf):
     FROM ({CATALOG_SQL}) GROUP BY "table" """,
 )
 def column_kind_counts(spark, sf):
-    return profile.kind_counts(catalog_profile(spark, sf), ["table"])
+    return profile.kind_counts(profile.catalog_profile(catalog_tables(spark, sf)), ["table"])
 
 
 # ---------------------------------------------------------------- chart data

@@ -160,11 +160,11 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
         model.alias("model"),
         F.when(number, "regression").otherwise("classification").alias("task"),
         target.alias("target"),
-        F.round(F.col("l_quantity") / 50 - F.col("l_discount"), 4).alias("cv_score"),
-        (F.col("l_extendedprice") / 1000).alias("fit_s"),
-        (F.col("l_tax") + F.col("l_quantity") / 1000).alias("predict_s"),
-        when_class(F.col("l_quantity") / 50).alias("acc"),
-        when_class(F.col("l_quantity") / 60).alias("f1_macro"),
+        (F.col("l_quantity") / 51.7 - F.col("l_discount")).alias("cv_score"),
+        (F.col("l_extendedprice") / 997).alias("fit_s"),
+        (F.col("l_tax") + F.col("l_quantity") / 997).alias("predict_s"),
+        when_class(F.col("l_quantity") / 51.3).alias("acc"),
+        when_class(F.col("l_quantity") / 59.3).alias("f1_macro"),
         when_class(F.when(F.col("l_returnflag") != "A", 1 - F.col("l_discount") * 4)).alias("roc_auc"),
         when_number(F.col("l_extendedprice")).alias("rmse"),
         when_number(F.col("l_extendedprice") * 0.8).alias("mae"),
@@ -176,14 +176,14 @@ RUN_LOG_SQL = """(SELECT l_orderkey AS run_id,
   (['logreg','rf','xgb','knn','mlp','ridge','linreg'])[l_linenumber] AS model,
   CASE WHEN l_orderkey % 3 = 0 THEN 'regression' ELSE 'classification' END AS task,
   (['churn','price',''])[l_orderkey % 3 + 1] AS target,
-  round(l_quantity / 50 - l_discount, 4) AS cv_score,
-  l_extendedprice / 1000 AS fit_s,
-  l_tax + l_quantity / 1000 AS predict_s,
-  CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity / 50 END AS acc,
-  CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity / 60 END AS f1_macro,
+  l_quantity / 51.7::DOUBLE - l_discount AS cv_score,
+  l_extendedprice / 997 AS fit_s,
+  l_tax + l_quantity / 997 AS predict_s,
+  CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity / 51.3::DOUBLE END AS acc,
+  CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity / 59.3::DOUBLE END AS f1_macro,
   CASE WHEN l_orderkey % 3 <> 0 AND l_returnflag <> 'A' THEN 1 - l_discount * 4 END AS roc_auc,
   CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice END AS rmse,
-  CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice * 0.8 END AS mae,
+  CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice * 0.8::DOUBLE END AS mae,
   CASE WHEN l_orderkey % 3 = 0 THEN 1 - l_discount * 10 END AS r2
   FROM lineitem)"""
 
