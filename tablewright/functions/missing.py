@@ -32,3 +32,25 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     if not any(is_float(f.dataType) for f in df.schema.fields):
         return df
     return df.select(*[value_of(f).alias(f.name) for f in df.schema.fields])
+
+
+# The same as SQL text. Wide tables need some expressions per column, and text
+# reaches the JVM in one call where an expression object takes many.
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_value(field: T.StructField) -> str:
+    c = sql_name(field.name)
+    return f"nullif({c}, cast('NaN' as {field.dataType.simpleString()}))" if is_float(field.dataType) else c
+
+
+def sql_missing(field: T.StructField) -> str:
+    c = sql_name(field.name)
+    return f"({c} IS NULL OR isnan({c}))" if is_float(field.dataType) else f"({c} IS NULL)"

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import calendar_parts, parse_datetime
 from tablewright.functions.kinds import names_of, schema_kind
-from tablewright.functions.missing import is_missing, quoted, value_of
+from tablewright.functions.missing import quoted, sql_missing, sql_value, value_of
 from tablewright.functions.numbers import to_numeric
 from tablewright.operators.ordering import exact_quantiles
 
@@ -184,11 +184,11 @@ def fit_uninformative(df: DataFrame, threshold: float = 0.98) -> Uninformative:
     A constant column has equal minimum and maximum, so nothing is counted
     distinct.
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs = ["count(1) AS rows"]
     for i, f in enumerate(df.schema.fields):
-        v = value_of(f)
-        aggs += [F.count_if(is_missing(f)).alias(f"m{i}"), F.min(v).eqNullSafe(F.max(v)).alias(f"c{i}")]
-    row = df.agg(*aggs).first()
+        v = sql_value(f)
+        aggs += [f"count_if({sql_missing(f)}) AS m{i}", f"min({v}) <=> max({v}) AS c{i}"]
+    row = df.selectExpr(*aggs).first()
     found: dict[str, list[str]] = {"all_null": [], "constant": [], "high_missing": []}
     for i, f in enumerate(df.schema.fields):
         rows, missing = row["rows"], row[f"m{i}"]

@@ -6,14 +6,14 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import names_of, schema_kind
-from tablewright.functions.missing import is_missing, quoted, value_of
+from tablewright.functions.missing import is_missing, quoted, sql_value, value_of
 from tablewright.operators.joins import lookup_join, materialize
 from tablewright.operators.ordering import global_index
-from tablewright.operators.profile import long_form
+from tablewright.operators.profile import per_column
 from tablewright.session import local_frame
 
 # Words that make a column name suspicious.
@@ -48,10 +48,10 @@ def target_codes(df: DataFrame, target: str, order_by: Sequence[str] = ()) -> Da
     return global_index(held.df, order, "code", held.rows).select(quoted(target), "code")
 
 
-def pearson(x: Column, y: Column) -> Column:
+def pearson(x: str, y: str) -> str:
     """Correlation over rows where both are present; NULL when either is constant."""
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+    spread = f"stddev_pop(if({y} IS NULL, NULL, {x})) * stddev_pop(if({x} IS NULL, NULL, {y}))"
+    return f"round(covar_pop({x}, {y}) / nullif({spread}, 0), 6)"
 
 
 def numeric_target(df: DataFrame, target: str, task: str, order_by: Sequence[str] = ()) -> DataFrame | None:
@@ -70,10 +70,8 @@ def corr_with_target(df: DataFrame, target: str, task: str, order_by: Sequence[s
     data = numeric_target(df, target, task, order_by)
     if data is None or not names:
         return local_frame(df.sparkSession, [], "name string, correlation double")
-    y = F.col(_Y)
-    aggs = {c: pearson(value_of(df.schema[c]).cast("double"), y) for c in names}
-    wide = data.agg(*[e.alias(f"r{i}") for i, e in enumerate(aggs.values())])
-    return long_form(wide, {c: {"correlation": F.round(F.col(f"r{i}"), 6)} for i, c in enumerate(names)})
+    fields = [df.schema[c] for c in names]
+    return per_column(data, fields, lambda f: {"correlation": pearson(f"cast({sql_value(f)} as double)", _Y)})
 
 
 @dataclass(frozen=True)

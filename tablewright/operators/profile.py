@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_datetime
 from tablewright.functions.kinds import fields_of, names_of, require_flat, schema_kind
-from tablewright.functions.missing import is_missing, nan_to_null, quoted, value_of
+from tablewright.functions.missing import nan_to_null, quoted, sql_missing, sql_text, sql_value
 from tablewright.functions.pii import mask_pii
 from tablewright.operators.joins import materialize
 from tablewright.operators.ordering import exact_quantiles
@@ -23,35 +23,33 @@ MOMENTS = ("count", "mean", "std", "min", "max")
 PROMOTE_SHARE = 0.9
 
 
-def long_form(wide: DataFrame, cells: dict[str, dict[str, Column]]) -> DataFrame:
-    """One aggregate row to one row per column: ``name`` plus the given cells."""
-    rows = [
-        F.struct(F.lit(name).alias("name"), *[expr.alias(k) for k, expr in parts.items()])
-        for name, parts in cells.items()
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+def long_form(wide: DataFrame, cells: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """One aggregate row to one row per column: ``name`` plus the given SQL cells."""
+    rows = []
+    for name, parts in cells.items():
+        pairs = ", ".join(f"{sql_text(k)}, {expr}" for k, expr in parts.items())
+        rows.append(f"named_struct('name', {sql_text(name)}, {pairs})")
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _per_column(df: DataFrame, fields: Sequence[T.StructField], make) -> DataFrame:
-    """Aggregate every column in one scan; ``make(field)`` gives the named aggregates."""
+def per_column(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[T.StructField], Mapping[str, str]]):
+    """Aggregate every column in one scan; ``make(field)`` gives SQL aggregates by name."""
     aggs, cells = [], {}
     for i, f in enumerate(fields):
         parts = make(f)
-        aggs += [expr.alias(f"c{i}_{k}") for k, expr in parts.items()]
-        cells[f.name] = {k: F.col(f"c{i}_{k}") for k in parts}
-    return long_form(df.agg(*aggs), cells)
+        aggs += [f"{expr} AS c{i}_{k}" for k, expr in parts.items()]
+        cells[f.name] = {k: f"c{i}_{k}" for k in parts}
+    return long_form(df.selectExpr(*aggs), cells)
 
 
 def missing_count(df: DataFrame) -> DataFrame:
-    return _per_column(df, df.schema.fields, lambda f: {"missing": F.count_if(is_missing(f))})
+    return per_column(df, df.schema.fields, lambda f: {"missing": f"count_if({sql_missing(f)})"})
 
 
 def missing_pct(df: DataFrame) -> DataFrame:
     """Share of missing values in percent, two digits."""
-    return _per_column(
-        df,
-        df.schema.fields,
-        lambda f: {"missing_pct": F.round(F.avg(is_missing(f).cast("int")) * 100, 2)},
+    return per_column(
+        df, df.schema.fields, lambda f: {"missing_pct": f"round(avg(cast({sql_missing(f)} as int)) * 100, 2)"}
     )
 
 
@@ -62,10 +60,10 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     the rows travels once per task.
     """
     pairs = [
-        F.struct(F.lit(c).alias("name"), value_of(df.schema[c]).cast("string").alias("value")) for c in cols
+        f"named_struct('name', {sql_text(c)}, 'value', cast({sql_value(df.schema[c])} as string))" for c in cols
     ]
-    long = df.select(F.inline(F.array(*pairs)))
-    return long.where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = df.selectExpr(f"inline(array({', '.join(pairs)}))").where("value IS NOT NULL")
+    return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 LONG_TEXT = 64
@@ -78,12 +76,12 @@ def _key_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     pairs = []
     for c in cols:
-        v = value_of(df.schema[c]).cast("string")
-        long = F.length(v) > LONG_TEXT if schema_kind(df.schema[c].dataType) == "text" else F.lit(False)
-        pairs.append(
-            F.struct(F.lit(c).alias("name"), F.when(long, F.md5(v)).otherwise(v).alias("value"), long.alias("digest"))
-        )
-    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+        f = df.schema[c]
+        v = f"cast({sql_value(f)} as string)"
+        long = f"coalesce(length({v}) > {LONG_TEXT}, false)" if schema_kind(f.dataType) == "text" else "false"
+        short = f"if({long}, md5({v}), {v})" if long != "false" else v
+        pairs.append(f"named_struct('name', {sql_text(c)}, 'value', {short}, 'digest', {long})")
+    return df.selectExpr(f"inline(array({', '.join(pairs)}))").where("value IS NOT NULL")
 
 
 def _key_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -100,7 +98,7 @@ def nunique(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
     cols = list(cols or df.columns)
     if not exact:
         fields = [df.schema[c] for c in cols]
-        return _per_column(df, fields, lambda f: {"nunique": F.approx_count_distinct(value_of(f), rsd)})
+        return per_column(df, fields, lambda f: {"nunique": f"approx_count_distinct({sql_value(f)}, {rsd})"})
     per_name = _key_counts(df, cols).groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
     listed = F.broadcast(_named(df, cols))
     joined = listed.join(per_name, "name", "left")
@@ -116,20 +114,20 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     if not fields:
         schema = "name string, count bigint, mean double, std double, min double, max double"
         return local_frame(df.sparkSession, [], schema + "".join(f", {p} double" for p in PERCENTILES))
-    moments = _per_column(df, fields, _moment_parts)
+    moments = per_column(df, fields, _moment_parts)
     return moments.join(F.broadcast(_quantile_table(df, [f.name for f in fields])), "name").select(
         "name", *MOMENTS, *PERCENTILES
     )
 
 
-def _moment_parts(f: T.StructField) -> dict[str, Column]:
-    c = value_of(f).cast("double")
+def _moment_parts(f: T.StructField) -> dict[str, str]:
+    c = f"cast({sql_value(f)} as double)"
     return {
-        "count": F.count(c),
-        "mean": F.round(F.avg(c), 4),
-        "std": F.round(F.stddev_samp(c), 4),
-        "min": F.round(F.min(c), 4),
-        "max": F.round(F.max(c), 4),
+        "count": f"count({c})",
+        "mean": f"round(avg({c}), 4)",
+        "std": f"round(stddev_samp({c}), 4)",
+        "min": f"round(min({c}), 4)",
+        "max": f"round(max({c}), 4)",
     }
 
 
@@ -181,7 +179,7 @@ def describe_all(df: DataFrame) -> DataFrame:
         blank = {"unique": "bigint", "top": "string", "freq": "bigint"}
         return numbers.withColumns({c: F.lit(None).cast(t) for c, t in blank.items()}).select(*columns)
     names = [f.name for f in others]
-    counts = _per_column(df, others, lambda f: {"count": F.count(value_of(f))})
+    counts = per_column(df, others, lambda f: {"count": f"count({sql_value(f)})"})
     top = top_values(df, names, 1).select("name", F.col("value").alias("top"), F.col("count").alias("freq"))
     # One row per column on each side.
     words = counts.join(F.broadcast(nunique(df, names)), "name").join(F.broadcast(top), "name", "left")
@@ -236,9 +234,7 @@ def catalog_profile(tables: Mapping[str, DataFrame], exact: bool = True) -> Data
             (name, f.name, i, df.dtypes[i][1], schema_kind(f.dataType)) for i, f in enumerate(df.schema.fields)
         ]
         tag = F.lit(name).alias("table")
-        base = _per_column(
-            df, df.schema.fields, lambda f: {"rows": F.count(F.lit(1)), "missing": F.count_if(is_missing(f))}
-        )
+        base = per_column(df, df.schema.fields, lambda f: {"rows": "count(1)", "missing": f"count_if({sql_missing(f)})"})
         counted.append(base.select(tag, "*"))
         part = _key_pairs(df, df.columns) if exact else nunique(df, exact=False)
         cells.append(part.select(tag, "*"))

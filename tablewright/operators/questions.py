@@ -75,7 +75,7 @@ def question_coverage(questions: DataFrame, runs: DataFrame, run: str = "run_id"
     q = _with_context(questions, runs, run)
     has_run = F.col("best_model").isNotNull()
     raw = F.lower(F.coalesce("type", F.lit("")))
-    kind = F.when(raw.isin("classification", "regression"), raw).when(raw == "prediction", F.col("task"))
+    kind = F.when(raw.isin("classification", "regression"), raw).when(raw == "prediction", F.coalesce("task", F.lit("analysis")))
     q = q.withColumn("expected_type", kind.otherwise("analysis"))
     expected = (
         F.when(F.col("expected_type") == "classification", _texts(CLASS_METRICS))

@@ -184,7 +184,7 @@ def common_columns(spark, sf):
     parts = []
     for name, df in slices.items():
         counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
-        cells = {c: {"is_common": F.lit(c in shared), "present": F.col(c)} for c in df.columns}
+        cells = {c: {"is_common": str(c in shared), "present": c} for c in df.columns}
         parts.append(long_form(counts, cells).withColumn("table", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -66,7 +66,7 @@ def column_groups(spark, sf):
     df = signups(spark, sf)
     rows = [(c, g) for g, cols in analyze_columns(df).items() for c in cols]
     present = profile.long_form(
-        df.agg(*[F.count(c).alias(c) for c in df.columns]), {c: {"present": F.col(c)} for c in df.columns}
+        df.agg(*[F.count(c).alias(c) for c in df.columns]), {c: {"present": c} for c in df.columns}
     )
     return F.broadcast(local_frame(spark, rows, "name string, group string")).join(present, "name")
 

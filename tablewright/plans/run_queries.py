@@ -131,11 +131,11 @@ SUMMARY_SQL = "(" + " UNION ALL ".join(
 
 @query(
     "metric_summary",
-    f"""SELECT run_id, metric, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(std, 4) AS std,
-    round(best, 4) AS best FROM {SUMMARY_SQL}""",
+    f"""SELECT run_id, metric, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std,
+    round(best, 6) AS best FROM {SUMMARY_SQL}""",
 )
 def metric_summary(spark, sf):
-    return rounded(runs.metric_summary(run_log(spark, sf)), 4)
+    return rounded(runs.metric_summary(run_log(spark, sf)))
 
 
 @query(
