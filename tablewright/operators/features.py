@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import schema_kind
-from tablewright.functions.missing import is_missing, quoted, value_of
+from tablewright.functions.missing import is_missing, quoted, sql_value, value_of
 from tablewright.functions.numbers import to_numeric
 from tablewright.operators.joins import BROADCAST_ROWS, lookup_join, materialize
 from tablewright.operators.leakage import target_codes
 from tablewright.operators.ordering import exact_quantiles
 from tablewright.operators.profile import value_counts
+from tablewright.operators.sampling import ClassCounts
 from tablewright.session import local_frame
 
 LABEL = "label"
@@ -27,12 +28,12 @@ FEATURES = "features"
 RARE_SHARE = 0.01
 
 
-def encode_label(df: DataFrame, y: str, label: str = LABEL) -> DataFrame:
+def encode_label(df: DataFrame, y: str, label: str = LABEL, counts: ClassCounts | None = None) -> DataFrame:
     """Add class codes 0..k-1 in the order of the sorted values.
 
     The codes are a small table joined to the rows, so hot classes cost nothing.
     """
-    codes = target_codes(df, y).withColumnRenamed("code", label)
+    codes = target_codes(df, y, counts=counts).withColumnRenamed("code", label)
     return lookup_join(df, materialize(codes), [y])
 
 
@@ -159,11 +160,11 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
     """
     if not cols:
         return {}
-    view = {c: value_of(df.schema[c]).cast("double") for c in cols}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, v in enumerate(view.values()):
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.var_pop(v).alias(f"v{i}")]
-    row = df.agg(*aggs).first()
+    aggs = ["count(1) AS rows"]
+    for i, c in enumerate(cols):
+        v = f"cast({sql_value(df.schema[c])} as double)"
+        aggs += [f"count({v}) AS n{i}", f"avg({v}) AS a{i}", f"var_pop({v}) AS v{i}"]
+    row = df.selectExpr(*aggs).first()
     medians = exact_quantiles(df, list(cols), [0.5], {c: row[f"n{i}"] for i, c in enumerate(cols)})
     out = {}
     for i, c in enumerate(cols):
@@ -190,7 +191,7 @@ def scale_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: scaled(df, c, fitted[c]) for c in cols})
 
 
-def fit_slots(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHARE):
+def fit_slots(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHARE, rows: int | None = None):
     """Frequent categories per column, the fill value, and the rare training values.
 
     One value-count shuffle for all columns. Missing values take the mode, which
@@ -199,26 +200,33 @@ def fit_slots(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHARE)
     if not cols:
         return {}, {}, None
     counts = materialize(value_counts(df, cols), BROADCAST_ROWS)
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     best = counts.df.groupBy("name").agg(
         F.min(F.struct((-F.col("n")).alias("m"), F.col("value").alias("v"))).alias("b"), F.sum("n").alias("n")
     )
     modes = {r["name"]: (r["b"]["v"], rows - r["n"]) for r in best.collect()}  # one row per column
-    fill = local_frame(df.sparkSession, 
-        [(c, modes[c][0], modes[c][1]) for c in cols if c in modes], "name string, value string, extra bigint"
+    fill = local_frame(
+        df.sparkSession,
+        [(c, modes[c][0], modes[c][1]) for c in cols if c in modes],
+        "name string, value string, extra bigint",
     )
     filled = counts.df.join(F.broadcast(fill), ["name", "value"], "left").select(
-        "name", "value", (F.col("n") + F.coalesce("extra", F.lit(0))).alias("n")
+        "name", "value", (F.col("n") + F.coalesce("extra", F.lit(0)) < F.lit(min_share * rows)).alias("rare")
     )
-    common = filled.where(F.col("n") >= F.lit(min_share * rows)).select("name", "value")
-    frequent: dict[str, list[str]] = {c: [] for c in cols}
-    for r in common.collect():  # 1/min_share rows per column at most
-        frequent[r["name"]].append(r["value"])
-    rare = materialize(filled.where(F.col("n") < F.lit(min_share * rows)).select("name", "value"))
-    with_rare = {r["name"] for r in rare.df.select("name").distinct().collect()}
-    slots = {c: {"frequent": sorted(frequent[c]), "has_rare": c in with_rare} for c in cols}
+    # The collected lists have 1/min_share values per column at most.
+    common = F.collect_list(F.when(~F.col("rare"), F.col("value"))).alias("common")
+    per_name = filled.groupBy("name").agg(common, F.count_if("rare").alias("rare"))
+    found = {r["name"]: r for r in per_name.collect()}
+    slots = {
+        c: {"frequent": sorted(found[c]["common"]), "has_rare": found[c]["rare"] > 0}
+        if c in found
+        else {"frequent": [], "has_rare": False}
+        for c in cols
+    }
     fills = {c: modes[c][0] if c in modes else None for c in cols}
-    return slots, fills, rare if rare.rows else None
+    if not any(s["has_rare"] for s in slots.values()):
+        return slots, fills, None
+    return slots, fills, materialize(filled.where("rare").select("name", "value"))
 
 
 def _slot_column(out, df, c, slots, fill, rare, name):
@@ -240,8 +248,8 @@ def _slot_column(out, df, c, slots, fill, rare, name):
 def _one_hot(df, inputs, outputs, sizes):
     """Encoder with the given slot counts; the index past the end becomes all zeros."""
     encoder = OneHotEncoder(inputCols=inputs, outputCols=outputs, handleInvalid="keep", dropLast=True)
-    largest = local_frame(df.sparkSession, 
-        [tuple(float(s - 1) for s in sizes)], ", ".join(f"{c} double" for c in inputs)
+    largest = local_frame(
+        df.sparkSession, [tuple(float(s - 1) for s in sizes)], ", ".join(f"{c} double" for c in inputs)
     )
     return encoder.fit(largest)
 

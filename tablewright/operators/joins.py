@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ class Materialized:
     df: DataFrame
     rows: int
     small: bool
+    local: pa.Table | None = None
 
 
 def materialize(table: DataFrame, limit_rows: int | None = None) -> Materialized:
@@ -39,8 +41,8 @@ def materialize(table: DataFrame, limit_rows: int | None = None) -> Materialized
     try:
         rows = held.count()
         if rows <= limit_rows:
-            local = table.sparkSession.createDataFrame(held.toArrow(), schema=table.schema)
-            return Materialized(local, rows, True)
+            local = held.toArrow()
+            return Materialized(table.sparkSession.createDataFrame(local, schema=table.schema), rows, True, local)
         return Materialized(durable(held), rows, False)
     finally:
         held.unpersist()

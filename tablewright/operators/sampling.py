@@ -82,8 +82,11 @@ class ClassCounts:
 def class_counts(df: DataFrame, target: str) -> ClassCounts:
     counts = df.groupBy(quoted(target)).agg(F.count(F.lit(1)).alias("n"))
     held = materialize(counts)
-    row = held.df.agg(F.sum("n"), F.count(F.lit(1)), F.min("n"), F.max("n")).first()
-    return ClassCounts(held.df, int(row[0] or 0), int(row[1]), int(row[2] or 0), int(row[3] or 0))
+    if held.local is not None:
+        sizes = held.local.column("n").to_pylist()
+        return ClassCounts(held.df, sum(sizes), len(sizes), min(sizes, default=0), max(sizes, default=0))
+    row = held.df.agg(F.sum("n"), F.min("n"), F.max("n")).first()
+    return ClassCounts(held.df, int(row[0] or 0), held.rows, int(row[1] or 0), int(row[2] or 0))
 
 
 def can_stratify(counts: ClassCounts, test_size: float = 0.2) -> bool:
@@ -115,6 +118,7 @@ def train_test_split(
     seed: int = 42,
     key: Sequence[str] | None = None,
     stratify: bool = True,
+    counts: ClassCounts | None = None,
 ) -> DataFrame:
     """Add ``split`` (``train`` / ``test``) with exact sizes.
 
@@ -124,9 +128,9 @@ def train_test_split(
     key = list(key or df.columns)
     h = row_hash(key, seed)
     if not stratify:
-        total = df.count()
+        total = counts.rows if counts else df.count()
         return _plain_split(df, h, key, seed, total, math.ceil(total * test_size))
-    counts = class_counts(df, target)
+    counts = counts or class_counts(df, target)
     if not can_stratify(counts, test_size):
         return _plain_split(df, h, key, seed, counts.rows, math.ceil(counts.rows * test_size))
     wanted = stratified_allocation(counts, target, test_size)

@@ -67,21 +67,31 @@ def _shape(features: DataFrame, rows: int, classes: int) -> TrainShape:
 
 
 
+@dataclass
+class Candidate:
+    """One draw of one family, with its summed fold scores and fit time."""
+
+    family: Family
+    params: dict[str, Any]
+    score: float = 0.0
+    seconds: float = 0.0
+
+
 def cross_validate(
     train: DataFrame,
     preprocessor: Estimator,
-    candidates: dict[str, tuple[Family, list[dict[str, Any]]]],
+    candidates: Sequence[Candidate],
     task: str,
     folds: int,
     scoring: str | None = None,
     parallelism: int = 4,
-) -> dict[str, list[float]]:
-    """Mean fold score of every candidate.
+) -> None:
+    """Add the mean fold score to every candidate.
 
-    The preprocessor is fitted on the training part of each fold, once for all
-    candidates; the resulting vectors are kept for the fits of that fold only.
+    The preprocessor is fitted on the training part of each fold, once for the
+    candidates of all families; the resulting vectors are kept for that fold
+    only.
     """
-    totals = {name: [0.0] * len(draws) for name, (_, draws) in candidates.items()}
     classes = _classes(train) if task == "classification" else 0
     for fold in range(folds):
         part, rest = train.where(F.col(FOLD) != fold), train.where(F.col(FOLD) == fold)
@@ -90,20 +100,18 @@ def cross_validate(
         check_rows = fitted.transform(rest).select(*_kept_after(rest)).persist()
         try:
             shape = _shape(fit_rows, fit_rows.count(), classes)
-            jobs = [(n, i, fam, p) for n, (fam, draws) in candidates.items() for i, p in enumerate(draws)]
 
-            def run(job):
-                name, i, family, params = job
-                model = family.build(params, shape).fit(fit_rows)
-                return name, i, fold_score(model.transform(check_rows), task, scoring)
+            def run(c: Candidate) -> None:
+                started = time.time()
+                model = c.family.build(c.params, shape).fit(fit_rows)
+                c.score += fold_score(model.transform(check_rows), task, scoring) / folds
+                c.seconds += time.time() - started
 
             with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-                for name, i, score in pool.map(run, jobs):
-                    totals[name][i] += score / folds
+                list(pool.map(run, candidates))
         finally:
             fit_rows.unpersist()
             check_rows.unpersist()
-    return totals
 
 
 def _kept_after(df: DataFrame) -> list[str]:
@@ -135,34 +143,47 @@ def run_all(
     number of trees in a trial run.
     """
     spark = train.sparkSession
-    folded = assign_folds(train, folds, LABEL if task == "classification" else None, key=key)
-    trained: dict[str, Trained] = {}
+    candidates = [
+        Candidate(family, {**params, **(overrides or {})})
+        for family in model_registry(task, names).values()
+        for params in sample_params(family.space, n_iter)
+    ]
+    folded = assign_folds(train, folds, LABEL if task == "classification" else None, key=key).persist()
+    try:
+        cross_validate(folded, preprocessor, candidates, task, folds, scoring, parallelism)
+        best: dict[str, Candidate] = {}
+        for c in candidates:
+            if c.family.name not in best or c.score > best[c.family.name].score:
+                best[c.family.name] = c
+        trained = refit(folded.drop(FOLD), preprocessor, list(best.values()), task)
+    finally:
+        folded.unpersist()
     rows = []
-    for name, family in model_registry(task, names).items():
-        draws = [{**p, **(overrides or {})} for p in sample_params(family.space, n_iter)]
-        started = time.time()
-        scores = cross_validate(folded, preprocessor, {name: (family, draws)}, task, folds, scoring, parallelism)[name]
-        best = max(range(len(draws)), key=lambda i: scores[i])
-        result = refit(train, preprocessor, family, draws[best], task, scores[best])
-        result.fit_s = time.time() - started
+    for name, result in trained.items():
+        result.fit_s += sum(c.seconds for c in candidates if c.family.name == name)
         evaluate(result, test, task)
         if artifacts_dir:
             result.path = save_model(result, f"{artifacts_dir}/best_model__{name}")
-        trained[name] = result
         rows.append(_run_row(result))
     return local_frame(spark, rows, RUN_COLUMNS), trained
 
 
-def refit(train, preprocessor, family, params, task, score) -> Trained:
-    """Fit preprocessor and model on all training rows."""
+def refit(
+    train: DataFrame, preprocessor: Estimator, chosen: Sequence[Candidate], task: str
+) -> dict[str, Trained]:
+    """Fit the preprocessor once and every chosen candidate on all training rows."""
     fitted = preprocessor.fit(train)
     rows = fitted.transform(train).select(*_kept_after(train)).persist()
+    out = {}
     try:
         shape = _shape(rows, rows.count(), _classes(train) if task == "classification" else 0)
-        model = family.build(params, shape).fit(rows)
+        for c in chosen:
+            started = time.time()
+            model = c.family.build(c.params, shape).fit(rows)
+            out[c.family.name] = Trained(c.family.name, c.params, c.score, fitted, model, time.time() - started)
     finally:
         rows.unpersist()
-    return Trained(family.name, params, score, fitted, model)
+    return out
 
 
 def evaluate(result: Trained, test: DataFrame, task: str) -> None:

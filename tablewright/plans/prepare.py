@@ -80,7 +80,10 @@ def prepare(
     df = drop_null_target(nan_to_null(df), target)
     if task == "regression":
         regression_target(df, target)  # fails early on values that are not numbers
-    leaks = fit_leakage(df, target, task, whole_word=whole_word, order_by=order_by) if guard_leakage else Leaks([], [])
+    counts = class_counts(df, target) if task == "classification" else None
+    leaks = Leaks([], [])
+    if guard_leakage:
+        leaks = fit_leakage(df, target, task, whole_word=whole_word, order_by=order_by, counts=counts)
     # The key is needed until the split, whatever the guard says about it.
     row_key = F.xxhash64(*[quoted(k) for k in key]).alias(ROW_ID)
     features = [c for c in df.columns if c != target and c not in leaks.names]
@@ -101,14 +104,13 @@ def prepare(
 
     stratified, ratio, encoded = False, None, False
     if task == "classification":
-        counts = class_counts(data, target)
         stratified = can_stratify(counts, test_size)
         ratio = counts.largest / counts.rows if counts.rows else 0.0
         encoded = schema_kind(data.schema[target].dataType) != "num"
-        data = encode_label(data, target)
+        data = encode_label(data, target, counts=counts)
     else:
         data = regression_target(data, target)
-    data = train_test_split(data, target, test_size, seed, [ROW_ID], stratify=stratified)
+    data = train_test_split(data, target, test_size, seed, [ROW_ID], stratified, counts)
     info = PreparedInfo(
         target, task, num_cols, cat_cols, leaks, dropped, stratified, encoded, ratio,
         None if ratio is None else ratio >= IMBALANCED, groups["date_cols"],

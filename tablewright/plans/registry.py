@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profile_queries", "merge_queries", "cleaning_queries", "advice_queries", "run_queries")
+MODULES = ("profile_queries", "merge_queries", "cleaning_queries", "advice_queries", "run_queries", "model_queries")
 
 
 def _merged(attribute: str) -> dict:
