@@ -215,11 +215,15 @@ def hash_cutoffs(
     tagged = [quoted(g).alias(t) for g, t in zip(groups, tags)]
     inside = df.select(*tagged, row_hash(keys, seed).alias(HASH))
     state = wanted.where(F.col("k") > 0).select(*tagged, "slot", F.col("k").alias("left"))
+    # Ranks count within the bucket found before, so that bucket is part of the group.
+    state = state.withColumn("__parent", F.lit(0).cast("bigint"))
+    parent = F.lit(0).cast("bigint")
 
     for b in levels:
         bucket = F.shiftright(F.col(HASH), 64 - b)
-        counted = inside.groupBy(*tags, bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        state = _advance(counted, state, tags)
+        keyed = [*tags, parent.alias("__parent"), bucket.alias("b")]
+        counted = inside.groupBy(*keyed).agg(F.count(F.lit(1)).alias("n"))
+        state = _advance(counted, state, [*tags, "__parent"])
         edge = state.select(*[F.col(t).alias("e" + t) for t in tags], F.col("b").alias("e__b")).distinct()
         if spots <= SMALL_GROUPS:
             edge = F.broadcast(edge)
@@ -227,9 +231,11 @@ def hash_cutoffs(
         for t in tags:
             cond = cond & F.col(t).eqNullSafe(F.col("e" + t))
         inside = inside.join(edge, cond, "left_semi")
-        state = state.drop("b")
-    counted = inside.groupBy(*tags, F.col(HASH).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    done = _advance(counted, state, tags)
+        state = state.withColumn("__parent", F.col("b")).drop("b")
+        parent = bucket
+    keyed = [*tags, parent.alias("__parent"), F.col(HASH).alias("b")]
+    counted = inside.groupBy(*keyed).agg(F.count(F.lit(1)).alias("n"))
+    done = _advance(counted, state, [*tags, "__parent"])
     return done.select(*[F.col(t).alias(g) for g, t in zip(groups, tags)], "slot", F.col("b").alias("cut"))
 
 
