@@ -8,11 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.missing import quoted, value_of
-from tablewright.session import durable
+from tablewright.functions.missing import quoted, sql_value
+from tablewright.session import durable, local_frame, small_in_memory
 
-EXACT_ROWS = 1_000_000
-SKETCH_ACCURACY = 20_000
+EXACT_ROWS = 20_000
+EXACT_VALUES = 40_000
+BRACKET_ROWS = 1_000_000
+SKETCH_ACCURACY = 5_000
 ONE_TASK_ROWS = 200_000
 RANGE_ROWS = 200_000
 MAX_RANGES = 10_000
@@ -28,30 +30,42 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     counts: dict[str, int] | None = None,
+    cached: bool = False,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of numeric columns, exact at any size.
 
-    ``percentile`` keeps every distinct value of a column in one task, so it is
-    used only where few rows are left. Beyond that, a sketch brackets the wanted
-    rank, one counting pass proves the bracket, and it is narrowed until the
-    rows inside are few. Every pass is one scan with a one-row result.
+    ``percentile`` keeps the distinct values of a column in one task, so it is
+    used only for columns of few rows or few distinct values. For the others a
+    sketch brackets the wanted rank, one counting pass proves the bracket, it is
+    narrowed until few rows are inside, and those are ranked. Every pass is one
+    scan with a small result.
     """
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
-    values = {c: value_of(df.schema[c]).cast("double") for c in cols}
+    if cached:
+        return _exact_quantiles(df, cols, probs, counts)
+    with small_in_memory(df.select(*[quoted(c) for c in cols])) as held:
+        return _exact_quantiles(held, cols, probs, counts)
+
+
+def _exact_quantiles(df, cols, probs, counts):
+    values = {c: f"cast({sql_value(df.schema[c])} as double)" for c in cols}
     if counts is None:
-        row = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        row = df.selectExpr(*[f"count({values[c]}) AS n{i}" for i, c in enumerate(cols)]).first()
         counts = {c: row[i] for i, c in enumerate(cols)}
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-
     small = [c for c in cols if 0 < counts[c] <= EXACT_ROWS]
+    large = [c for c in cols if counts[c] > EXACT_ROWS]
+    if large:
+        row = df.selectExpr(*[f"approx_count_distinct({values[c]}) AS d{i}" for i, c in enumerate(large)]).first()
+        small += [c for i, c in enumerate(large) if row[i] <= EXACT_VALUES]
+        large = [c for i, c in enumerate(large) if row[i] > EXACT_VALUES]
     if small:
-        exact = [F.percentile(values[c], F.array(*[F.lit(float(p)) for p in probs])) for c in small]
-        row = df.agg(*[e.alias(f"q{i}") for i, e in enumerate(exact)]).first()
+        points = ", ".join(_number(p) for p in probs)
+        row = df.selectExpr(*[f"percentile({values[c]}, array({points})) AS q{i}" for i, c in enumerate(small)]).first()
         for i, c in enumerate(small):
             result[c] = list(row[i])
-    large = [c for c in cols if counts[c] > EXACT_ROWS]
     if large:
         result.update(_bracketed_quantiles(df, values, large, probs, counts))
     return result
@@ -66,24 +80,13 @@ def _bracketed_quantiles(df, values, cols, probs, counts):
     out = {c: [None] * len(probs) for c in cols}
     open_keys = list(positions)
     while open_keys:
-        margin = 2.0 / SKETCH_ACCURACY
-        sketches = []
-        for key in open_keys:
-            c = values[key[0]]
-            if key in bracket:
-                lo, hi = bracket[key]
-                c = F.when(c.between(F.lit(lo), F.lit(hi)), c)
-            share = (positions[key] - below[key]) / max(1, inside[key] - 1)
-            ends = [max(0.0, share - margin), min(1.0, share + margin)]
-            sketches.append(F.percentile_approx(c, ends, SKETCH_ACCURACY))
-        row = df.agg(*[s.alias(f"b{i}") for i, s in enumerate(sketches)]).first()
-        tries = {key: tuple(row[i]) for i, key in enumerate(open_keys)}
+        tries = _sketch_brackets(df, values, open_keys, positions, bracket, below, inside)
 
         tallies = []
         for key, (lo, hi) in tries.items():
             c = values[key[0]]
-            tallies += [F.count_if(c < F.lit(lo)), F.count_if(c.between(F.lit(lo), F.lit(hi)))]
-        row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first()
+            tallies += [f"count_if({c} < {_number(lo)})", f"count_if({_between(c, lo, hi)})"]
+        row = df.selectExpr(*[f"{t} AS t{i}" for i, t in enumerate(tallies)]).first()
 
         ready, still_open = [], []
         for i, (key, (lo, hi)) in enumerate(tries.items()):
@@ -96,37 +99,81 @@ def _bracketed_quantiles(df, values, cols, probs, counts):
             bracket[key], below[key], inside[key] = (lo, hi), under, within
             if lo == hi:
                 out[key[0]][key[1]] = lo
-            elif within <= EXACT_ROWS:
+            elif within <= BRACKET_ROWS:
                 ready.append(key)
             else:
                 still_open.append(key)
         if ready:
-            last = []
-            for key in ready:
-                c, (lo, hi) = values[key[0]], bracket[key]
-                share = (positions[key] - below[key]) / max(1, inside[key] - 1)
-                share = min(1.0, max(0.0, share))
-                last.append(F.percentile(F.when(c.between(F.lit(lo), F.lit(hi)), c), F.lit(share)))
-            row = df.agg(*[e.alias(f"e{i}") for i, e in enumerate(last)]).first()
+            found = _ranked_values(df, values, ready, positions, bracket, below)
             for i, key in enumerate(ready):
-                out[key[0]][key[1]] = row[i]
+                pos = positions[key]
+                a, b = found[i, math.floor(pos) - below[key]], found[i, math.ceil(pos) - below[key]]
+                out[key[0]][key[1]] = a + (b - a) * (pos - math.floor(pos))
         open_keys = still_open
     return out
 
 
+def _ranked_values(df, values, keys, positions, bracket, below):
+    """The values at the wanted ranks of each bracket, by ranking the few rows inside."""
+    inside = [_between(values[key[0]], *bracket[key]) for key in keys]
+    cells = [
+        f"named_struct('i', {i}, 'v', if({test}, {values[key[0]]}, NULL))" for i, (key, test) in enumerate(zip(keys, inside))
+    ]
+    rows = df.where(" OR ".join(inside)).selectExpr(f"inline(array({', '.join(cells)}))").where("v IS NOT NULL")
+    counted = rows.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.select("i", "v", "n", F.sum("n").over(w).alias("upto"))
+    ranks = {(i, f(positions[key]) - below[key]) for i, key in enumerate(keys) for f in (math.floor, math.ceil)}
+    wanted = local_frame(df.sparkSession, sorted(ranks), "j int, rank bigint")
+    # Two ranks per bracket.
+    hit = (F.col("i") == F.col("j")) & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    return {(r["i"], r["rank"]): r["v"] for r in upto.join(F.broadcast(wanted), hit).select("i", "rank", "v").collect()}
+
+
+def _number(x: float) -> str:
+    return f"double('{float(x)!r}')"
+
+
+def _between(c: str, lo: float, hi: float) -> str:
+    return f"({c} >= {_number(lo)} AND {c} <= {_number(hi)})"
+
+
+def _sketch_brackets(df, values, keys, positions, bracket, below, inside):
+    """Values just below and above each wanted rank, from one sketch per bracket."""
+    margin = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list] = {}
+    for key in keys:
+        shared.setdefault((key[0], bracket.get(key)), []).append(key)
+    sketches = []
+    for (col, known), group in shared.items():
+        c = values[col] if known is None else f"if({_between(values[col], *known)}, {values[col]}, NULL)"
+        ends = []
+        for key in group:
+            share = (positions[key] - below[key]) / max(1, inside[key] - 1)
+            ends += [max(0.0, share - margin), min(1.0, share + margin)]
+        points = ", ".join(_number(e) for e in ends)
+        sketches.append(f"percentile_approx({c}, array({points}), {SKETCH_ACCURACY})")
+    row = df.selectExpr(*[f"{s} AS b{i}" for i, s in enumerate(sketches)]).first()
+    tries = {}
+    for i, group in enumerate(shared.values()):
+        for j, key in enumerate(group):
+            tries[key] = (row[i][2 * j], row[i][2 * j + 1])
+    return tries
+
+
 def _halve(df, c, known, pos):
     """Shrink a bracket by its middle value until it is proven and smaller."""
     if known is None:
-        row = df.agg(F.min(c), F.max(c), F.count(c)).first()
-        return row[0], row[1], 0, row[2]
+        return tuple(df.selectExpr(f"min({c})", f"max({c})", "0", f"count({c})").first())
     lo, hi = known
     mid = lo + (hi - lo) / 2
-    row = df.agg(
-        F.count_if(c < F.lit(lo)).alias("under"),
-        F.count_if((c >= F.lit(lo)) & (c <= F.lit(mid))).alias("left"),
-        F.count_if((c > F.lit(mid)) & (c <= F.lit(hi))).alias("right"),
-        F.max(F.when((c >= F.lit(lo)) & (c <= F.lit(mid)), c)).alias("left_max"),
-        F.min(F.when((c > F.lit(mid)) & (c <= F.lit(hi)), c)).alias("right_min"),
+    left, right = _between(c, lo, mid), f"({c} > {_number(mid)} AND {c} <= {_number(hi)})"
+    row = df.selectExpr(
+        f"count_if({c} < {_number(lo)}) AS under",
+        f"count_if({left}) AS left",
+        f"count_if({right}) AS right",
+        f"max(if({left}, {c}, NULL)) AS left_max",
+        f"min(if({right}, {c}, NULL)) AS right_min",
     ).first()
     first_right = row["under"] + row["left"]
     if math.ceil(pos) < first_right:
@@ -134,11 +181,9 @@ def _halve(df, c, known, pos):
     if math.floor(pos) >= first_right:
         return row["right_min"], hi, first_right, row["right"]
     # The wanted rank lies between the two halves: keep just its neighbours.
-    edge = df.agg(
-        F.count_if(c < F.lit(row["left_max"])).alias("under"),
-        F.count_if(c.between(F.lit(row["left_max"]), F.lit(row["right_min"]))).alias("within"),
-    ).first()
-    return row["left_max"], row["right_min"], edge["under"], edge["within"]
+    ends = row["left_max"], row["right_min"]
+    edge = df.selectExpr(f"count_if({c} < {_number(ends[0])})", f"count_if({_between(c, *ends)})").first()
+    return *ends, edge[0], edge[1]
 
 
 # --------------------------------------------------- running sums and ranks

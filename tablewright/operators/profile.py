@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,11 +12,11 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_datetime
 from tablewright.functions.kinds import fields_of, names_of, require_flat, schema_kind
-from tablewright.functions.missing import nan_to_null, quoted, sql_missing, sql_text, sql_value
+from tablewright.functions.missing import nan_to_null, quoted, sql_missing, sql_name, sql_text, sql_value
 from tablewright.functions.pii import mask_pii
 from tablewright.operators.joins import materialize
 from tablewright.operators.ordering import exact_quantiles
-from tablewright.session import local_frame
+from tablewright.session import local_copy, local_frame, small_in_memory
 
 # The reported percentiles.
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -88,21 +89,62 @@ def _key_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _key_pairs(df, cols).groupBy("name", "digest", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """A tiny table (name, pos) of the given columns."""
-    return local_frame(df.sparkSession, [(n, i) for i, n in enumerate(names)], "name string, pos int")
+def _distinct_counts(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(table, name, nunique) for the given columns of each table.
+
+    Cells are (column number, key) pairs. Values of up to eight bytes are told
+    apart by their 64-bit hash alone, which maps them one to one, so those keys
+    are grouped as plain numbers. Text and wide decimals go by text or digest.
+    All tables meet in one distinct count per kind of key.
+    """
+    numbered: list[tuple[str, str]] = []
+    cells: dict[str, list[DataFrame]] = {"hash": [], "text": []}
+    for table, (df, cols) in tables.items():
+        fields = [df.schema[c] for c in cols]
+        by_hash = [f for f in fields if schema_kind(f.dataType) != "text" and not isinstance(f.dataType, T.DecimalType)]
+        for kind, group in (("hash", by_hash), ("text", [f for f in fields if f not in by_hash])):
+            if not group:
+                continue
+            keys = ", ".join(_hash_key(f) if kind == "hash" else _text_key(f) for f in group)
+            cell = df.selectExpr(f"posexplode(array({keys})) AS (i, key)").where("key IS NOT NULL")
+            cells[kind].append(cell.selectExpr(f"i + {len(numbered)} AS i", "key"))
+            numbered += [(table, f.name) for f in group]
+    counts = []
+    for parts in cells.values():
+        if parts:
+            keys = reduce(lambda a, b: a.union(b), parts).distinct()
+            counts.append(keys.groupBy("i").agg(F.count(F.lit(1)).alias("nunique")))
+    names = local_frame(
+        next(iter(tables.values()))[0].sparkSession,
+        [(i, t, c) for i, (t, c) in enumerate(numbered)],
+        "i int, table string, name string",
+    )
+    # One row per column on both sides.
+    found = names.join(F.broadcast(reduce(lambda a, b: a.union(b), counts)), "i", "left")
+    return found.select("table", "name", F.coalesce("nunique", F.lit(0)).cast("bigint").alias("nunique"))
+
+
+def _hash_key(f: T.StructField) -> str:
+    return f"if({sql_missing(f)}, NULL, xxhash64({sql_name(f.name)}))"
+
+
+def _text_key(f: T.StructField) -> str:
+    v = f"cast({sql_name(f.name)} as string)"
+    return f"if(length({v}) > {LONG_TEXT}, concat('d', md5({v})), concat('s', {v}))"
 
 
 def nunique(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Distinct non-missing values per column; ``exact=False`` needs no shuffle."""
     cols = list(cols or df.columns)
+    with small_in_memory(df.select(*[quoted(c) for c in cols])) as held:
+        return local_copy(_nunique(held, cols, exact, rsd))
+
+
+def _nunique(df: DataFrame, cols: Sequence[str], exact: bool = True, rsd: float = 0.01) -> DataFrame:
     if not exact:
         fields = [df.schema[c] for c in cols]
         return per_column(df, fields, lambda f: {"nunique": f"approx_count_distinct({sql_value(f)}, {rsd})"})
-    per_name = _key_counts(df, cols).groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
-    listed = F.broadcast(_named(df, cols))
-    joined = listed.join(per_name, "name", "left")
-    return joined.select("name", F.coalesce("nunique", F.lit(0)).cast("bigint").alias("nunique"))
+    return _distinct_counts({"": (df, cols)}).drop("table")
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:
@@ -114,6 +156,12 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     if not fields:
         schema = "name string, count bigint, mean double, std double, min double, max double"
         return local_frame(df.sparkSession, [], schema + "".join(f", {p} double" for p in PERCENTILES))
+    with small_in_memory(df.select(*[quoted(f.name) for f in fields])) as held:
+        return local_copy(_numeric_summary(held))
+
+
+def _numeric_summary(df: DataFrame) -> DataFrame:
+    fields = [df.schema[c] for c in _numeric_names(df)]
     moments = per_column(df, fields, _moment_parts)
     return moments.join(F.broadcast(_quantile_table(df, [f.name for f in fields])), "name").select(
         "name", *MOMENTS, *PERCENTILES
@@ -133,7 +181,7 @@ def _moment_parts(f: T.StructField) -> dict[str, str]:
 
 def _quantile_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(name, p05 .. p95): one row per column, so it is always small."""
-    points = exact_quantiles(df, names, list(PERCENTILES.values()))
+    points = exact_quantiles(df, names, list(PERCENTILES.values()), cached=True)
     rows = [(c, *[None if q is None else round(q, 4) for q in points[c]]) for c in names]
     return local_frame(df.sparkSession, rows, "name string" + "".join(f", {p} double" for p in PERCENTILES))
 
@@ -166,13 +214,18 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Top values of the text columns, each row with the column's distinct count."""
     cols = list(cols or names_of(df, "text"))
-    return top_values(df, cols, k).join(F.broadcast(nunique(df, cols)), "name")
+    return top_values(df, cols, k).join(F.broadcast(_nunique(df, cols)), "name")
 
 
 def describe_all(df: DataFrame) -> DataFrame:
     """Every column in one table: numeric summary, or count, distinct and top value."""
     require_flat(df)
-    numbers = numeric_summary(df)
+    with small_in_memory(df) as held:
+        return local_copy(_describe_all(held))
+
+
+def _describe_all(df: DataFrame) -> DataFrame:
+    numbers = _numeric_summary(df) if _numeric_names(df) else numeric_summary(df)
     others = [f for f in df.schema.fields if f.name not in set(_numeric_names(df))]
     columns = ["name", "count", "unique", "top", "freq", *MOMENTS[1:], *PERCENTILES]
     if not others:
@@ -182,7 +235,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     counts = per_column(df, others, lambda f: {"count": f"count({sql_value(f)})"})
     top = top_values(df, names, 1).select("name", F.col("value").alias("top"), F.col("count").alias("freq"))
     # One row per column on each side.
-    words = counts.join(F.broadcast(nunique(df, names)), "name").join(F.broadcast(top), "name", "left")
+    words = counts.join(F.broadcast(_nunique(df, names)), "name").join(F.broadcast(top), "name", "left")
     words = words.select("name", "count", F.col("nunique").alias("unique"), "top", "freq")
     return numbers.unionByName(words, allowMissingColumns=True).select(*columns)
 
@@ -217,17 +270,21 @@ def promote_dates(df: DataFrame, cols: Sequence[str] | None = None, min_share: f
 
 # ----------------------------------------------------------------- profile
 
+
 def light_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Name, type, rows, missing and distinct values: what the advisors read."""
     return catalog_profile({"": df}, exact).drop("table")
 
 
 def catalog_profile(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
-    """Light profiles of many tables in one job: one row per (table, column).
+    """Light profiles of many tables in one job: one row per (table, column)."""
+    with ExitStack() as held:
+        copies = {name: held.enter_context(small_in_memory(df)) for name, df in tables.items()}
+        return local_copy(_catalog_profile(copies, exact))
 
-    The cells of all tables meet in a single value-count shuffle.
-    """
-    facts, counted, cells = [], [], []
+
+def _catalog_profile(tables: Mapping[str, DataFrame], exact: bool) -> DataFrame:
+    facts, counted, keys, sketches = [], [], {}, []
     for name, df in tables.items():
         require_flat(df)
         facts += [
@@ -236,12 +293,11 @@ def catalog_profile(tables: Mapping[str, DataFrame], exact: bool = True) -> Data
         tag = F.lit(name).alias("table")
         base = per_column(df, df.schema.fields, lambda f: {"rows": "count(1)", "missing": f"count_if({sql_missing(f)})"})
         counted.append(base.select(tag, "*"))
-        part = _key_pairs(df, df.columns) if exact else nunique(df, exact=False)
-        cells.append(part.select(tag, "*"))
-    long = reduce(lambda a, b: a.unionByName(b), cells)
-    if exact:
-        keys = long.groupBy("table", "name", "digest", "value").agg(F.count(F.lit(1)).alias("n"))
-        long = keys.groupBy("table", "name").agg(F.count(F.lit(1)).alias("nunique"))
+        if exact:
+            keys[name] = (df, df.columns)
+        else:
+            sketches.append(_nunique(df, df.columns, exact=False).select(tag, "*"))
+    long = _distinct_counts(keys) if exact else reduce(lambda a, b: a.unionByName(b), sketches)
     described = local_frame(
         next(iter(tables.values())).sparkSession,
         facts,
@@ -268,20 +324,20 @@ def profile(df: DataFrame, k: int = 10, exact: bool = True, promote: bool = True
     """One row per column: type, missing, distinct, numeric summary, top values."""
     require_flat(df)
     df = nan_to_null(df)
-    if promote:
-        df = promote_dates(df)
-    numbers = numeric_summary(df)
+    with small_in_memory(promote_dates(df) if promote else df) as held:
+        return local_copy(_profile(held, k, exact))
+
+
+def _profile(df: DataFrame, k: int, exact: bool) -> DataFrame:
+    numbers = _numeric_summary(df) if _numeric_names(df) else numeric_summary(df)
     words = names_of(df, "text")
-    joined = light_profile(df, exact=exact).join(F.broadcast(numbers), "name", "left")
-    if words:
-        packed = F.sort_array(F.collect_list(F.struct("rank", "value", "count")))
-        tops = top_values(df, words, k).groupBy("name").agg(packed.alias("t"))
-        tops = tops.select("name", F.transform("t", lambda x: F.struct(x["value"], x["count"])).alias("top_values"))
-        joined = joined.join(F.broadcast(tops), "name", "left")
-    else:
-        none = F.lit(None).cast("array<struct<value:string,count:bigint>>")
-        joined = joined.withColumn("top_values", none)
-    return joined
+    joined = _catalog_profile({"": df}, exact).drop("table").join(F.broadcast(numbers), "name", "left")
+    if not words:
+        return joined.withColumn("top_values", F.lit(None).cast("array<struct<value:string,count:bigint>>"))
+    packed = F.sort_array(F.collect_list(F.struct("rank", "value", "count")))
+    tops = top_values(df, words, k).groupBy("name").agg(packed.alias("t"))
+    tops = tops.select("name", F.transform("t", lambda x: F.struct(x["value"], x["count"])).alias("top_values"))
+    return joined.join(F.broadcast(tops), "name", "left")
 
 
 def masked_examples(df: DataFrame, n: int = 5) -> DataFrame:

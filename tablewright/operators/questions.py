@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.joins import lookup_join, materialize
-from tablewright.operators.runs import SCORE, best_run
+from tablewright.operators.runs import SCORE
 
 # The aliases of metrics and methods, and the lists by question type.
 METRIC_COLUMNS = {"accuracy": "acc", "f1_macro": "f1_macro", "roc_auc": "roc_auc", "rmse": "rmse", "mae": "mae", "r2": "r2"}
@@ -51,19 +51,23 @@ def run_context(runs: DataFrame, run: str = "run_id") -> DataFrame:
         for name, col in METRIC_COLUMNS.items()
         if col in runs.columns
     ]
+    best = F.min(F.struct(F.col(SCORE).isNull(), -F.col(SCORE), F.col("model").alias("model"), F.col(SCORE).alias("score")))
     context = runs.groupBy(run).agg(
         F.max("task").alias("task"),
         F.max("target").alias("run_target"),
         F.array_compact(F.array(*measured)).alias("measured"),
         F.collect_set(family_of(F.col("model"))).alias("families"),
+        best.alias("b"),
+    )
+    return context.select(
+        run, "task", "run_target", "measured", "families", F.col("b.model").alias("best_model"), F.col("b.score").alias("best_score")
     )
-    best = best_run(runs, run).select(run, F.col("model").alias("best_model"), F.col(SCORE).alias("best_score"))
-    # One row per run on both sides, hash-partitioned by run already.
-    return context.join(best, run)
 
 
 def _with_context(questions: DataFrame, runs: DataFrame, run: str) -> DataFrame:
-    context = run_context(runs, run)
+    """Questions with the context of their run; runs without a question are left out first."""
+    asked = materialize(questions.select(run).distinct())
+    context = run_context(lookup_join(runs, asked, [run], "left_semi"), run)
     return lookup_join(questions, materialize(context), [run], "left")
 
 

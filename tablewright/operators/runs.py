@@ -41,20 +41,30 @@ def best_run(runs: DataFrame, run: str = "run_id") -> DataFrame:
 def metric_summary(runs: DataFrame, metrics: Sequence[str] | None = None, run: str = "run_id") -> DataFrame:
     """Minimum, maximum, mean, population deviation and best model's value per metric."""
     metrics = [m for m in (metrics or CLASS_METRICS + NUMBER_METRICS) if m in runs.columns] + [SCORE]
+    metrics = list(dict.fromkeys(metrics))
+    aggs = []
+    for m in metrics:
+        v = F.col(m).cast("double")
+        aggs += [
+            F.min(v).alias(f"{m}__min"),
+            F.max(v).alias(f"{m}__max"),
+            F.avg(v).alias(f"{m}__mean"),
+            F.stddev_pop(v).alias(f"{m}__std"),
+        ]
+    # All metrics of a run in one row, so that each log row is aggregated once.
+    best = F.min(F.struct(_best_first().alias("key"), *[F.col(m).cast("double").alias(m) for m in metrics]))
+    wide = runs.groupBy(run).agg(*aggs, best.alias("b"))
     cells = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in dict.fromkeys(metrics)]
+        *[
+            F.struct(
+                F.lit(m).alias("metric"),
+                *[F.col(f"{m}__{part}").alias(part) for part in ("min", "max", "mean", "std")],
+                F.col(f"b.{m}").alias("best"),
+            )
+            for m in metrics
+        ]
     )
-    long = runs.select(run, "model", SCORE, F.inline(cells))
-    best = F.min(F.struct(_best_first().alias("key"), F.col("value").alias("value")))
-    grouped = long.groupBy(run, "metric").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        best.alias("b"),
-        F.count("value").alias("n"),
-    )
-    return grouped.where(F.col("n") > 0).select(run, "metric", "min", "max", "mean", "std", F.col("b.value").alias("best"))
+    return wide.select(run, F.inline(cells)).where(F.col("min").isNotNull())
 
 
 def time_stats(runs: DataFrame, run: str = "run_id") -> DataFrame:

@@ -96,10 +96,10 @@ def cross_validate(
     for fold in range(folds):
         part, rest = train.where(F.col(FOLD) != fold), train.where(F.col(FOLD) == fold)
         fitted = preprocessor.fit(part)
-        fit_rows = fitted.transform(part).select(*_kept_after(part)).persist()
-        check_rows = fitted.transform(rest).select(*_kept_after(rest)).persist()
+        fit_rows, n = _kept(fitted.transform(part).select(*_kept_after(part)))
+        check_rows, _ = _kept(fitted.transform(rest).select(*_kept_after(rest)))
         try:
-            shape = _shape(fit_rows, fit_rows.count(), classes)
+            shape = _shape(fit_rows, n, classes)
 
             def run(c: Candidate) -> None:
                 started = time.time()
@@ -114,6 +114,23 @@ def cross_validate(
             check_rows.unpersist()
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """Cached rows and their number; few partitions are spread over all cores.
+
+    The learners read these rows many times. Large inputs come in many
+    partitions already and are left where they are.
+    """
+    held = df.persist()
+    rows = held.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows < cores or held.rdd.getNumPartitions() >= cores:
+        return held, rows
+    spread = held.repartition(cores).persist()
+    spread.count()
+    held.unpersist()
+    return spread, rows
+
+
 def _kept_after(df: DataFrame) -> list[str]:
     return [FEATURES, *[c for c in (ROW_ID, LABEL) if c in df.columns]]
 
@@ -173,10 +190,10 @@ def refit(
 ) -> dict[str, Trained]:
     """Fit the preprocessor once and every chosen candidate on all training rows."""
     fitted = preprocessor.fit(train)
-    rows = fitted.transform(train).select(*_kept_after(train)).persist()
+    rows, n = _kept(fitted.transform(train).select(*_kept_after(train)))
     out = {}
     try:
-        shape = _shape(rows, rows.count(), _classes(train) if task == "classification" else 0)
+        shape = _shape(rows, n, _classes(train) if task == "classification" else 0)
         for c in chosen:
             started = time.time()
             model = c.family.build(c.params, shape).fit(rows)

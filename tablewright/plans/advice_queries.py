@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import advise
-from tablewright.operators.joins import materialize
 from tablewright.operators.profile import catalog_profile
 from tablewright.plans.tables import CATALOG_SQL, catalog_tables
 from tablewright.sources.tables import plan_to_json
@@ -24,8 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 def profiles(spark, sf):
-    """Profile rows of the catalog, computed once: the rules read them several times."""
-    return materialize(catalog_profile(catalog_tables(spark, sf))).df
+    """Profile rows of the catalog: computed once, as the rules read them several times."""
+    return catalog_profile(catalog_tables(spark, sf))
 
 
 CATALOG = f'WITH p AS ({CATALOG_SQL})'

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,30 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | Struct
     arrow = to_arrow_schema(typed)
     columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=typed)
+
+
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+@contextmanager
+def small_in_memory(df: DataFrame) -> Iterator[DataFrame]:
+    """A cached copy over all cores while several passes read a small table.
+
+    The size is Spark's own estimate from the input files. A small file is often
+    a single split, which would keep all but one core idle in every pass. Larger
+    tables are passed through and scanned in place.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT_BYTES:
+        yield df
+        return
+    held = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def local_copy(df: DataFrame) -> DataFrame:
+    """Compute a result of a few rows now and keep it as a local relation."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)

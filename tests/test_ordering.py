@@ -28,7 +28,9 @@ def shapes():
 
 @pytest.mark.parametrize("shape", list(shapes()))
 def test_bracketed_quantiles_match_numpy(spark, monkeypatch, shape):
-    monkeypatch.setattr(ordering, "EXACT_ROWS", 40)
+    monkeypatch.setattr(ordering, "EXACT_ROWS", 0)
+    monkeypatch.setattr(ordering, "EXACT_VALUES", 0)
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", 40)
     monkeypatch.setattr(ordering, "SKETCH_ACCURACY", 100)
     values = shapes()[shape]
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -39,12 +41,10 @@ def test_bracketed_quantiles_match_numpy(spark, monkeypatch, shape):
 def test_halving_is_used_when_the_sketch_misses(spark):
     values = np.arange(1001.0)
     df = frame(spark, values)
-    from pyspark.sql import functions as F
-
-    lo, hi, under, inside = ordering._halve(df, F.col("x"), (0.0, 1000.0), 700.0)
+    lo, hi, under, inside = ordering._halve(df, "x", (0.0, 1000.0), 700.0)
     assert lo <= 700.0 <= hi and under == (values < lo).sum() and inside == ((values >= lo) & (values <= hi)).sum()
     # A rank between the halves keeps both neighbours.
-    lo, hi, under, inside = ordering._halve(df, F.col("x"), (0.0, 1000.0), 500.5)
+    lo, hi, under, inside = ordering._halve(df, "x", (0.0, 1000.0), 500.5)
     assert (lo, hi, under, inside) == (500.0, 501.0, 500, 2)
 
 
@@ -72,8 +72,8 @@ def test_running_sums_by_ranges_match_one_window(spark, monkeypatch):
     assert a == want and b == want
 
 
-@pytest.mark.parametrize("cutoff_rows", [1, 7, 50_000])
-def test_cutoffs_take_exact_counts_in_every_group(spark, monkeypatch, cutoff_rows):
+@pytest.mark.parametrize("cutoff_rows, largest, spots", [(1, 2700, 4), (7, 2700, 4), (1, 10**7, 4), (1, 10**7, 10**6), (50_000, 2700, 4)])
+def test_cutoffs_take_exact_counts_in_every_group(spark, monkeypatch, cutoff_rows, largest, spots):
     monkeypatch.setattr(ordering, "CUTOFF_ROWS", cutoff_rows)
     # One class holds most rows.
     data = [(i, "hot" if i % 10 else f"rare{i % 30}") for i in range(3000)]
@@ -81,7 +81,7 @@ def test_cutoffs_take_exact_counts_in_every_group(spark, monkeypatch, cutoff_row
     wanted = local_frame(
         spark, [("hot", 0, 700), ("hot", 1, 2699), ("rare0", 0, 1), ("rare10", 0, 100)], "c string, slot int, k bigint"
     )
-    cuts = ordering.hash_cutoffs(df, ["id"], 42, wanted, ["c"], 2700, 4).collect()
+    cuts = ordering.hash_cutoffs(df, ["id"], 42, wanted, ["c"], largest, spots).collect()
     hashes = df.select("c", ordering.row_hash(["id"], 42).alias("h")).toPandas()
     got = {(r["c"], r["slot"]): int(((hashes.c == r["c"]) & (hashes.h <= r["cut"])).sum()) for r in cuts}
     assert got == {("hot", 0): 700, ("hot", 1): 2699, ("rare0", 0): 1, ("rare10", 0): 100}
