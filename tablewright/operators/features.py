@@ -19,7 +19,7 @@ from tablewright.functions.numbers import to_numeric
 from tablewright.operators.joins import BROADCAST_ROWS, lookup_join, materialize
 from tablewright.operators.leakage import target_codes
 from tablewright.operators.ordering import exact_quantiles
-from tablewright.operators.profile import value_counts
+from tablewright.operators.profile import category_text, value_counts
 from tablewright.operators.sampling import ClassCounts
 from tablewright.session import local_frame
 
@@ -231,7 +231,7 @@ def fit_slots(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHARE,
 
 def _slot_column(out, df, c, slots, fill, rare, name):
     """Index of the category: its own slot, the rare slot, or one past the end."""
-    v = value_of(df.schema[c]).cast("string")
+    v = F.expr(category_text(df.schema[c]))
     value = F.coalesce(v, F.lit(fill)) if fill is not None else v
     frequent = slots["frequent"]
     end = len(frequent) + int(slots["has_rare"])
@@ -259,7 +259,7 @@ def onehot_sums(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHAR
     slots, fills, _ = fit_slots(df, cols, min_share)
     cells = []
     for c in cols:
-        v = value_of(df.schema[c]).cast("string")
+        v = F.expr(category_text(df.schema[c]))
         value = F.coalesce(v, F.lit(fills[c])) if fills[c] is not None else v
         frequent = slots[c]["frequent"]
         slot = F.when(value.isin(*frequent), value) if frequent else F.when(F.lit(False), value)

@@ -54,22 +54,28 @@ def missing_pct(df: DataFrame) -> DataFrame:
     )
 
 
+LONG_TEXT = 64
+
+
+def category_text(f: T.StructField) -> str:
+    """A column as category text; long texts stand as their 128-bit digest."""
+    v = f"cast({sql_value(f)} as string)"
+    if schema_kind(f.dataType) != "text":
+        return v
+    return f"if(length({v}) > {LONG_TEXT}, concat('md5:', md5({v})), {v})"
+
+
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(name, value, n) of the non-missing values of the columns, in one shuffle.
+    """(name, value, n) of the non-missing categories of the columns, in one shuffle.
 
     Counting is combined in each task first, so a value that holds a third of
-    the rows travels once per task.
+    the rows travels once per task, and long texts never travel.
     """
-    pairs = [
-        f"named_struct('name', {sql_text(c)}, 'value', cast({sql_value(df.schema[c])} as string))" for c in cols
-    ]
+    pairs = [f"named_struct('name', {sql_text(c)}, 'value', {category_text(df.schema[c])})" for c in cols]
     long = df.selectExpr(f"inline(array({', '.join(pairs)}))").where("value IS NOT NULL")
     return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-LONG_TEXT = 64
-
-
 def _key_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(name, value, digest) cells; long texts are replaced by their 128-bit digest.
 

@@ -23,6 +23,12 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*cols)
 
 
+def apply_keep(df: DataFrame, keep: Sequence[str], target: str | None = None) -> DataFrame:
+    """The advised columns, with the target behind them; unknown names are passed over."""
+    names = [c for c in keep if c in df.columns and c != target]
+    return df.select(*[quoted(c) for c in names + ([target] if target else [])])
+
+
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(~is_missing(df.schema[target]))
 

@@ -13,7 +13,7 @@ from tablewright.sources.model_store import load_model
 
 @pytest.fixture
 def words(spark):
-    """The small tables of the reference's checks: text, number and mixed targets."""
+    """Small tables with a text target, a number target, and a category among the features."""
     text = pd.DataFrame({"feature1": range(1, 6), "feature2": range(10, 60, 10), "target": ["funny", "sad", "happy", "angry", "funny"]})
     number = text.assign(target=[1.5, 2.7, 3.1, 4.8, 5.9])
     mixed = pd.DataFrame(
@@ -85,6 +85,7 @@ def test_preprocessor_matches_numpy(spark, tmp_path):
     x = pdf["x"].fillna(pdf["x"].median())
     assert got[:, 0] == pytest.approx((x - x.mean()) / x.std(ddof=0), abs=1e-9)
     assert (got[:, 1] == 0).all()
+    assert sampling.apply_keep(train, ["x", "gone", "s"], "s").columns == ["x", "s"]
     mode = pdf["s"].mode()[0]
     assert (got[:, 2:5] == pd.get_dummies(pdf["s"].fillna(mode)).values).all()
     # Every value of ``r`` is below 1 %: one shared slot, which unseen values do not get.
@@ -97,6 +98,14 @@ def test_preprocessor_matches_numpy(spark, tmp_path):
     assert [r["features"].toArray().tolist() for r in loaded.transform(unseen).select("features").collect()] == rows
 
 
+def test_long_texts_are_categories_too(spark):
+    long = "w " * 60
+    df = spark.createDataFrame([(long, 1.0)] * 6 + [("b", 1.0)] * 3 + [(None, 1.0)], "s string, x double")
+    pre = features.TablePreprocessor(numericCols=[], categoricalCols=["s"]).fit(df)
+    got = [r["features"].toArray().tolist() for r in pre.transform(df).select("features").collect()]
+    assert got == [[0.0, 1.0]] * 6 + [[1.0, 0.0]] * 3 + [[0.0, 1.0]]
+
+
 def test_registry_and_sampler():
     assert list(models.model_registry("classification", ["knn", "magic"])) == ["knn"]
     assert list(models.model_registry("regression", ["magic"])) == ["rf", "xgb"]
