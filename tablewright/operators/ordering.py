@@ -43,7 +43,7 @@ def exact_quantiles(
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
-    if cached:
+    if cached or df.is_cached:
         return _exact_quantiles(df, cols, probs, counts)
     with small_in_memory(df.select(*[quoted(c) for c in cols])) as held:
         return _exact_quantiles(held, cols, probs, counts)

@@ -165,14 +165,14 @@ def run_all(
         for family in model_registry(task, names).values()
         for params in sample_params(family.space, n_iter)
     ]
-    folded = assign_folds(train, folds, LABEL if task == "classification" else None, key=key).persist()
+    folded, _ = _kept(assign_folds(train, folds, LABEL if task == "classification" else None, key=key))
     try:
         cross_validate(folded, preprocessor, candidates, task, folds, scoring, parallelism)
         best: dict[str, Candidate] = {}
         for c in candidates:
             if c.family.name not in best or c.score > best[c.family.name].score:
                 best[c.family.name] = c
-        trained = refit(folded.drop(FOLD), preprocessor, list(best.values()), task)
+        trained = _refit(folded.drop(FOLD), preprocessor, list(best.values()), task)
     finally:
         folded.unpersist()
     rows = []
@@ -189,6 +189,14 @@ def refit(
     train: DataFrame, preprocessor: Estimator, chosen: Sequence[Candidate], task: str
 ) -> dict[str, Trained]:
     """Fit the preprocessor once and every chosen candidate on all training rows."""
+    held, _ = _kept(train)
+    try:
+        return _refit(held, preprocessor, chosen, task)
+    finally:
+        held.unpersist()
+
+
+def _refit(train: DataFrame, preprocessor: Estimator, chosen: Sequence[Candidate], task: str) -> dict[str, Trained]:
     fitted = preprocessor.fit(train)
     rows, n = _kept(fitted.transform(train).select(*_kept_after(train)))
     out = {}
@@ -207,17 +215,20 @@ def evaluate(result: Trained, test: DataFrame, task: str) -> None:
     """Measure on the test rows; the prediction time covers every test row."""
     started = time.time()
     predictions = result.transform(test)
-    result.metrics = {}
-    if task == "classification":
-        result.metrics = classification_scores(predictions, LABEL, "prediction").first().asDict()
-        result.predict_s = time.time() - started
-        score = positive_score(predictions)
-        if score is not None and _classes(test) <= 2:
-            scored = predictions.select(quoted(LABEL).alias("y"), score.alias("score"))
-            result.metrics["roc_auc"] = roc_auc(scored).first()[0]
-    else:
-        result.metrics = regression_scores(predictions, LABEL, "prediction").first().asDict()
+    score = positive_score(predictions) if task == "classification" else None
+    wanted = [quoted(LABEL), quoted("prediction")] + ([score.alias("score")] if score is not None else [])
+    held = predictions.select(*wanted).persist()
+    try:
+        held.count()
         result.predict_s = time.time() - started
+        if task != "classification":
+            result.metrics = regression_scores(held, LABEL, "prediction").first().asDict()
+            return
+        result.metrics = classification_scores(held, LABEL, "prediction").first().asDict()
+        if score is not None and _classes(held) <= 2:
+            result.metrics["roc_auc"] = roc_auc(held, LABEL, "score").first()[0]
+    finally:
+        held.unpersist()
 
 
 def _run_row(t: Trained) -> tuple:
