@@ -42,7 +42,7 @@ class PerfectHash:
     same keys saves the search.
     """
 
-    def __init__(self, keys: list[bytes], shift: np.ndarray | None = None, load: int = 4):
+    def __init__(self, keys: list[bytes], shift: np.ndarray | None = None, load: int = 2):
         n = self.n = len(keys)
         self.buckets = max(1, -(-n // load))
         self.value: list[int] = [-1] * n
