@@ -97,44 +97,56 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], pattern: str, shift: np.ndarray | None = None):
         self.tokens, self.table, self.split = tokens, PerfectHash(tokens, shift), regex.compile(pattern)
+        self.rank = {t: i for i, t in enumerate(tokens)}
         self.memo: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary: always the pair of least rank, then leftmost."""
-        n, get = len(piece), self.table.get
+        n, rank_of = len(piece), self.rank.get
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := get(piece[i : end[j]])) >= 0:
-                heapq.heappush(heap, (rank, i, end[j]))
-
+        heap = []
         for i in range(n - 1):
-            offer(i)
+            rank = rank_of(piece[i : i + 2])
+            if rank is not None:
+                heap.append((rank, i, i + 2))
+        heapq.heapify(heap)
         while heap:
             _, i, stop = heapq.heappop(heap)
-            if end[i] < 0 or after[i] >= n or end[after[i]] != stop:
-                continue  # one of its two parts has changed since
             j = after[i]
+            if end[i] < 0 or j >= n or end[j] != stop:
+                continue  # one of its two parts has changed since
             end[i], after[i], end[j] = stop, after[j], -1
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            j = after[i]
+            if j < n:
+                before[j] = i
+                rank = rank_of(piece[i : end[j]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, end[j]))
+            h = before[i]
+            if h >= 0:
+                rank = rank_of(piece[h:stop])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, h, stop))
         out, i = [], 0
         while i < n:
-            out.append(get(piece[i : end[i]]))
+            out.append(rank_of(piece[i : end[i]]))
             i = after[i]
         return out
 
     def piece_ids(self, piece: str) -> list[int]:
         out: list[int] = []
         for token in self.split.findall(piece):
-            raw = token.encode()
-            rank = self.table.get(raw)
-            out += [rank] if rank >= 0 else self.merge(raw)
+            ids = self.known.get(token)
+            if ids is None:
+                raw = token.encode()
+                rank = self.table.get(raw)
+                ids = [rank] if rank >= 0 else self.merge(raw)
+                if len(raw) <= 64:
+                    if len(self.known) >= MEMO_PIECES:
+                        self.known.clear()
+                    self.known[token] = ids
+            out += ids
         return out
 
     def encode(self, text: str) -> list[int]:

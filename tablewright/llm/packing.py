@@ -14,6 +14,8 @@ joined in the same order and cut again by powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,27 +27,39 @@ from pyspark.sql import functions as F
 
 CAPACITY, LEAST = 4096, 64
 #: White-space pieces whose ids a task remembers; beyond it the memory starts anew.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 400_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
 
 
+#: Letters that stay letters when lower-cased, and ASCII signs but the apostrophe and <, with which added tokens start.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"\x21-\x26\x28-\x3b\x3d-\x40\x5b-\x60\x7b-\x7e"
+_PIECE = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[{_SIGNS}]++(?!['<]|[^\x00-\x7f])|[^ \t\n\r\f\v]+")
+
+
 class WordIds:
-    """Ids of texts by a ``tokenizers`` file, one lookup per white-space piece.
+    """Ids of texts by a ``tokenizers`` file, one lookup per piece.
 
-    Valid for tokenizers that drop white space, as the word-level files do: the
-    ids of a text are those of its pieces between ASCII white space, in order.
+    Valid for tokenizers that drop white space, part runs of letters from runs of
+    signs and lower-case, as the word-level files do. A text is cut at ASCII white space, and
+    between letters and signs where no apostrophe, added token or other character
+    could join with them; the ids of a text are then those of its pieces in order.
     """
 
     def __init__(self, spec: str):
+        # The tasks of an executor share its cores; a pool of threads in each would only fight over them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_str(spec), {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if not all(t.content.startswith("<") and not set(t.content) & set(" \t\n\r\f\v") for t in added):
+            raise ValueError("added tokens must start with < and have no white space")
 
-    def ids(self, text: bytes) -> list[int]:
+    def ids(self, text: str) -> list[int]:
         memo, out = self.memo, []
-        pieces = text.split()
+        pieces = _PIECE.findall(text)
         try:
             for p in pieces:
                 out += memo[p]
@@ -54,8 +68,12 @@ class WordIds:
             if len(memo) > MEMO_PIECES:
                 memo.clear()
         out, new = [], list(dict.fromkeys(p for p in pieces if p not in memo))
-        found = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
-        fresh = {p: e.ids for p, e in zip(new, found, strict=True)}
+        # A-Z and a-z only need lower-casing before the merges; all else takes the whole way.
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        other = [p for p in new if not (p.isascii() and p.isalpha())]
+        fresh = {p: [t.id for t in self.tokenizer.model.tokenize(p.lower())] for p in plain}
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        fresh |= {p: e.ids for p, e in zip(other, found, strict=True)}
         memo.update(x for x in fresh.items() if len(x[0]) <= 256)
         for p in pieces:
             ids = memo.get(p)
@@ -155,13 +173,11 @@ def pack_documents(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc_id.as_py(), np.array([*words.ids(text.as_py() or b""), end_id], "<u4"))
+                packer.add(doc_id.as_py(), np.array([*words.ids(text.as_py() or ""), end_id], "<u4"))
                 if len(packer.rows) >= 20_000:
                     yield flush()
         packer.finish()
         yield flush()
 
-    rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text")
-    )
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

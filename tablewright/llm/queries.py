@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm.byte_bpe import encode_documents
+from tablewright.llm.embedding_dedup import near_vectors
 from tablewright.llm.exact_dedup import exact_duplicates
+from tablewright.llm.language import fit_language_model, held_out, identify
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.secrets import find_secrets, span_text
+from tablewright.llm.simhash import near_duplicates
+from tablewright.llm.suffix_dedup import remove_repeats
+from tablewright.llm.toxicity import fit_severity, severity
+from tablewright.llm.warc import archive_and_audit
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +28,50 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 not toxic, 1 toxic, 2 toxic in a text of low quality."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    model = fit_severity(docs, labels.select(F.col("doc_id").cast("long"), grade.alias("grade")))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), severity(F.col("text"), model).alias("s"))
+    return found.select("doc_id", "s.severity", "s.p_toxic", "s.toxic")
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(_table(spark, folder, "documents"), shingle_words=3, radius=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(_table(spark, folder, "documents"), length=50, with_kept=False)
+    return found.drop("spans", "kept")
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = find_secrets(docs, into="spans")
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = fit_language_model(docs, train=~held_out(F.col("doc_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = identify(rows, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +87,14 @@ def op8_byte_bpe(spark: SparkSession, folder: str, ranks: str | None = None) ->
     return encode_documents(docs, data, public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
+def op9_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"), threshold=0.98)
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_and_audit(_table(spark, folder, "pages"))
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -44,12 +104,102 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def _spans_sql(kind: str, place: int, pattern: str, test: str = "true") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {place} AS place, gap_chars + match_chars AS s,
+           gap_chars + match_chars + length(m) AS e, m
+    FROM (SELECT doc_id, unnest(ms) AS m,
+                 unnest([list_sum([length(x) for x in gaps[1:i]]) for i in range(1, len(ms) + 1)])::BIGINT AS gap_chars,
+                 unnest([coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) for i in range(1, len(ms) + 1)])::BIGINT
+                     AS match_chars
+          FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS ms,
+                       string_split_regex(t, '{quoted}') AS gaps FROM d))
+    WHERE {test}"""
+
+
+_KEYWORDS = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+    "|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+)
+_ASSIGN = _KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN_TEST = "length(regexp_extract(m, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8"
+_HIGH = "list_filter(range(1, length(m) - 18), i -> list_aggregate(string_split(m[i:i + 19], ''), 'entropy') >= bits)"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_spans_sql("assign", 0, _ASSIGN, _ASSIGN_TEST)}
+    UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]{12,}")}
+    UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{32,}")}),
+candidate AS (
+    SELECT *, CASE WHEN regexp_matches(m, '^[0-9A-Fa-f]+$') AND regexp_matches(m, '[0-9]')
+                        AND regexp_matches(m, '[A-Fa-f]') THEN 3.0001
+                   WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]')
+                        AND regexp_matches(m, '[a-z]') THEN 3.8001 END::DOUBLE AS bits
+    FROM ({_spans_sql("entropy", 3, "[A-Za-z0-9+/=_-]{20,}")})
+    WHERE NOT regexp_matches(lower(m), 'example|sample|dummy|placeholder|redacted|changeme')
+      AND NOT regexp_matches(m, '^sha(256|384|512)-')
+      AND NOT regexp_matches(lower(m), '0123456789|abcdefghij|zyxwvutsrq')),
+free AS (
+    SELECT * FROM candidate c WHERE bits IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND b.e > c.s)),
+found AS (
+    SELECT doc_id, kind, place, s, e FROM base
+    UNION ALL
+    SELECT doc_id, kind, place, s + list_min(high) - 1, s + list_max(high) + 19
+    FROM (SELECT *, {_HIGH} AS high FROM free) WHERE len(high) > 0),
+listed AS (
+    SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access,
+           count(*) FILTER (WHERE place = 2) AS n_hex,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE place < 3) AS base,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+    FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+_NODES = """SELECT archive, node // 16 AS node, min(first) AS first, max(last) AS last,
+    sha256(string_agg(first || ':' || last || ':' || hash, ',' ORDER BY node)) AS hash
+FROM {} GROUP BY archive, node // 16"""
+
+OP10_SQL = f"""
+WITH n AS (SELECT greatest(1, (count(*) + 999) // 1000) AS n FROM pages),
+made AS (
+    SELECT page_id, ('0x' || substr(md5(page_id || ' ' || u), 1, 7))::BIGINT % n AS archive,
+           concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: resource', 'WARC-Record-ID: <urn:page:' || page_id || '>',
+               'WARC-Target-URI: ' || u, 'WARC-Date: 2000-01-01T00:00:00Z', 'Content-Type: text/html; charset=utf-8',
+               'Content-Length: ' || octet_length(encode(h)), '', h, '', '') AS r
+    FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '[' || chr(13) || chr(10) || ']', '', 'g') AS u,
+                 coalesce(html, '') AS h FROM pages), n),
+leaf AS (
+    SELECT page_id, archive, row_number() OVER w - 1 AS record_no,
+           coalesce(sum(octet_length(encode(r))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+               AS record_offset,
+           octet_length(encode(r)) AS record_length, sha256(r) AS record_sha256
+    FROM made WINDOW w AS (PARTITION BY archive ORDER BY page_id)),
+l0 AS (SELECT archive, record_no AS node, record_offset AS first, record_offset + record_length AS last,
+              record_sha256 AS hash FROM leaf),
+l1 AS ({_NODES.format("l0")}), l2 AS ({_NODES.format("l1")}), l3 AS ({_NODES.format("l2")})
+SELECT leaf.*, l3.hash AS archive_root, true AS intact
+FROM leaf JOIN l3 ON l3.archive = leaf.archive AND l3.node = 0
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_secrets": op5_secrets,
+    "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op5_secrets": OP5_SQL,
+    "op10_warc": OP10_SQL,
 }

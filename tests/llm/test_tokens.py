@@ -21,6 +21,7 @@ TEXTS = [
     "aB3$" * 500 + " end  ",
     "zero​width <|endoftext|> 12345 ½ \U0001f600\U0001f600",
     "word " * 4000,
+    "the%%% it's %'s 'tis don't=x =\u0338 e\u0301% \u201cq\u201d% \u0130% f\u00fcr%% a1b2 \u216b% \x7f\x01a",
     "same",
     "same",
 ]
