@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -155,31 +156,27 @@ class Codec:
         A space before a character that is no space always starts a match of the
         pattern, so the text is cut there and equal pieces are looked up once.
         """
-        memo, out, piece = self.memo, [], None
+        memo, pieces, piece = self.memo, [], None
         for part in text.split(" "):
             if piece is None:
                 piece = part
-                continue
-            if part and not part[0].isspace():
-                ids = memo.get(piece)
-                if ids is None:
-                    ids = self._learn(piece)
-                out += ids
+            elif part and not part[0].isspace():
+                pieces.append(piece)
                 piece = " " + part
             else:
                 piece += " " + part
-        if piece:
-            out += memo.get(piece) or self._learn(piece)
+        pieces.append(piece)
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
+        new = set(pieces).difference(memo)
+        for piece in new:
+            memo[piece] = self.piece_ids(piece)
+        out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        for piece in new:
+            if len(piece) > 256:
+                del memo[piece]
         return out
 
-    def _learn(self, piece: str) -> list[int]:
-        ids = self.piece_ids(piece)
-        if len(piece) <= 256:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 

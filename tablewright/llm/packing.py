@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,26 +59,22 @@ class WordIds:
             raise ValueError("added tokens must start with < and have no white space")
 
     def ids(self, text: str) -> list[int]:
-        memo, out = self.memo, []
+        memo = self.memo
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
         pieces = _PIECE.findall(text)
-        try:
-            for p in pieces:
-                out += memo[p]
-            return out
-        except KeyError:
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
-        out, new = [], list(dict.fromkeys(p for p in pieces if p not in memo))
+        new = set(pieces).difference(memo)
         # A-Z and a-z only need lower-casing before the merges; all else takes the whole way.
-        plain = [p for p in new if p.isascii() and p.isalpha()]
         other = [p for p in new if not (p.isascii() and p.isalpha())]
-        fresh = {p: [t.id for t in self.tokenizer.model.tokenize(p.lower())] for p in plain}
-        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        fresh |= {p: e.ids for p, e in zip(other, found, strict=True)}
-        memo.update(x for x in fresh.items() if len(x[0]) <= 256)
-        for p in pieces:
-            ids = memo.get(p)
-            out += fresh[p] if ids is None else ids
+        merges = self.tokenizer.model.tokenize
+        for p in new.difference(other):
+            memo[p] = [t.id for t in merges(p.lower())]
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[p] = e.ids
+        out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        for p in new:
+            if len(p) > 256:
+                del memo[p]
         return out
 
 

@@ -124,7 +124,7 @@ _KEYWORDS = (
 )
 _ASSIGN = _KEYWORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ASSIGN_TEST = "length(regexp_extract(m, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8"
-_HIGH = "list_filter(range(1, length(m) - 18), i -> list_aggregate(string_split(m[i:i + 19], ''), 'entropy') >= bits)"
+_HIGH = "list_filter(range(1, length(m) - 18), lambda i: list_aggregate(string_split(m[i:i + 19], ''), 'entropy') >= bits)"
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
