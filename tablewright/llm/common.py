@@ -41,6 +41,22 @@ def attach(facts: DataFrame, classes: DataFrame, keys: list[str], rows: str) ->
     return near.unionByName(far)
 
 
+def even_sample(rows: DataFrame, by: str, per_value: int, most: int) -> DataFrame:
+    """About ``per_value`` rows of each value of ``by`` and ``most`` in all, by the hash of ``id``.
+
+    Every value keeps the share of the hash range that its count calls for, so no
+    value is gathered in one task. Of more values than ``most`` the most frequent
+    are kept. The same ids give the same sample, however the rows are dealt.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most)
+    order = F.xxhash64("id")
+    # A tenth more, so that a value seldom falls short of its number.
+    share = F.lit(1.1 * per_value) / F.col("n")
+    place = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
+    drawn = rows.join(F.broadcast(counts), by).where(place < share).drop("n")
+    return drawn.orderBy(order, "id").limit(most)
+
+
 def first_id(id_col: str, row_col: str) -> Column:
     """The smallest id of a group with its row; rows without an id come last."""
     return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row_col).alias("row")))
@@ -81,4 +97,4 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-__all__ = ["HOT_PARTS", "attach", "durable", "first_id", "id_and_text", "keep_rows", "last_id", "text_hash"]
+__all__ = ["HOT_PARTS", "attach", "durable", "even_sample", "first_id", "id_and_text", "keep_rows", "last_id", "text_hash"]

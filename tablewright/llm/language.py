@@ -15,9 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import even_sample
+
 #: n-gram lengths, hashed into 2^BUCKET_BITS features.
 ORDERS, BUCKET_BITS = (1, 2, 3), 16
 #: Bound of the labelled sample that weights are fitted on, per language and in all.
@@ -136,9 +138,9 @@ def fit_language_model(
 ) -> LanguageModel:
     """Fit on the rows of ``docs`` where ``train`` holds and id, text and language are given.
 
-    Document frequencies cover all of those rows. The sample has ``per_lang`` of the
-    smallest id hashes per language and ``sample_rows`` in all; a fifth of it
-    calibrates. Without any such row the model knows no language.
+    Document frequencies cover all of those rows. The sample has about ``per_lang``
+    rows per language by the hash of the id, and ``sample_rows`` in all at most; a
+    fifth of it calibrates. Without any such row the model knows no language.
     """
     bits, features = BUCKET_BITS, 1 << BUCKET_BITS
     rows = docs.where(train).select(
@@ -167,10 +169,7 @@ def fit_language_model(
             df[f] = n
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    order = F.xxhash64("id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
-    chosen = rows.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
-    chosen = chosen.orderBy("rank", order, "id").limit(sample_rows)
+    chosen = even_sample(rows.select("id", "lang").distinct(), "lang", per_lang, sample_rows)
     sample = rows.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"]).select("id", "lang", "text")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import even_sample
+
 #: Bound of the labelled sample that the model is fitted on, per grade.
 SAMPLE_PER_GRADE = 3000
+MOST_GRADES = 8
 #: A word needs so many documents of the sample to get a weight.
 LEAST_DOCS = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -128,13 +131,13 @@ def fit_severity(
 
     ``grades`` has doc_id and grade (0, 1, 2, ... by severity); null ids and grades
     are not used, and of several grades of a document the highest counts. The sample
-    has the ``per_grade`` smallest id hashes of each grade; a fifth of it sets the
-    cut. Without graded documents every severity is 0.
+    has about ``per_grade`` documents of each grade by the hash of the id, and no
+    more than MOST_GRADES times as many; a fifth of it sets the cut. Without graded documents every severity is 0.
     """
     graded = grades.where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(order, "doc_id"))
-    chosen = graded.withColumn("rank", rank).where(F.col("rank") <= per_grade).select("doc_id", "grade")
+    chosen = even_sample(graded.withColumnRenamed("doc_id", "id"), "grade", per_grade, MOST_GRADES * per_grade)
+    chosen = chosen.withColumnRenamed("id", "doc_id")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
