@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_datetime
 from tablewright.functions.missing import quoted
 
-PROBE_VALUES = 50
-PROBE_SHARE = 0.8
-PROBE_ROWS = 1000
+DATE_SHARE = 0.8
 
 _DATES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -41,32 +40,13 @@ def require_flat(df: DataFrame) -> None:
 
 
 def date_like_text(df: DataFrame) -> list[str]:
-    """Text columns of whose first 50 non-missing values over 80 % read as dates.
-
-    Only parse flags come to the driver: 1000 rows of them at most, then 50 per
-    column that was too sparse in those rows. ``take`` opens partitions one
-    after another, so a wide scan never starts.
-    """
+    """Text columns of whose non-missing values over 80 % read as dates: one aggregate over all rows."""
     names = names_of(df, "text")
     if not names:
         return []
-    flags = {c: parse_datetime(quoted(c)).isNotNull() for c in names}
-
-    def flag(c):
-        from pyspark.sql import functions as F
-
-        return F.when(quoted(c).isNotNull(), flags[c])
-
-    rows = df.select(*[flag(c).alias(f"f{i}") for i, c in enumerate(names)]).take(PROBE_ROWS)
-    found = []
-    for i, c in enumerate(names):
-        seen = [r[i] for r in rows if r[i] is not None][:PROBE_VALUES]
-        if len(seen) < PROBE_VALUES and len(rows) == PROBE_ROWS:
-            sparse = df.where(quoted(c).isNotNull()).select(flags[c].alias("f")).take(PROBE_VALUES)
-            seen = [r[0] for r in sparse]
-        if seen and sum(seen) / len(seen) > PROBE_SHARE:
-            found.append(c)
-    return found
+    shares = [F.avg(F.when(quoted(c).isNotNull(), parse_datetime(quoted(c)).isNotNull().cast("int"))) for c in names]
+    row = df.agg(*[share.alias(f"s{i}") for i, share in enumerate(shares)]).first()
+    return [c for i, c in enumerate(names) if (row[i] or 0.0) > DATE_SHARE]
 
 
 def analyze_columns(df: DataFrame) -> dict[str, list[str]]:

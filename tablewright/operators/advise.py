@@ -59,7 +59,8 @@ LOCAL_NAMES = {
 }
 AVAILABLE = {
     "classification": ["logreg", "rf", "xgb", "knn", "mlp"],
-    "regression": ["linreg", "ridge", "rf", "xgb", "knn", "mlp"],
+    # There is no neural-network regressor to train, so none is advised.
+    "regression": ["linreg", "ridge", "rf", "xgb", "knn"],
 }
 
 TABLE = "table"
@@ -105,7 +106,7 @@ def normalize_profile(df: DataFrame) -> DataFrame:
     rows = first_of(["rows", "n_rows"], "bigint")
     from_share = F.round(first_of(["missing_pct"], "double") * 0.01 * rows).cast("bigint")
     table = F.col(TABLE) if TABLE in df.columns else F.lit("")
-    pos = F.col("pos") if "pos" in df.columns else F.monotonically_increasing_id().cast("int")
+    pos = F.col("pos") if "pos" in df.columns else F.monotonically_increasing_id()
     return df.select(
         table.alias(TABLE),
         first_of(["name", "col", "column"], "string").alias("name"),

@@ -67,9 +67,9 @@ def cast_columns(df: DataFrame, fitted: Mapping[str, str]) -> DataFrame:
         if family in ("double", "bigint") and kind != "date":
             new[name] = to_numeric(f).cast(family if family == "bigint" or kind == "text" else f.dataType)
         elif family == "boolean":
-            new[name] = quoted(name).cast("boolean")
+            new[name] = value_of(f).cast("boolean")
         elif family == "string":
-            new[name] = quoted(name).cast("string")
+            new[name] = value_of(f).cast("string")
     return df.withColumns(new)
 
 

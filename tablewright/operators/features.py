@@ -19,7 +19,7 @@ from tablewright.functions.numbers import to_numeric
 from tablewright.operators.joins import BROADCAST_ROWS, lookup_join, materialize
 from tablewright.operators.leakage import target_codes
 from tablewright.operators.ordering import exact_quantiles
-from tablewright.operators.profile import category_text, value_counts
+from tablewright.operators.profile import LONG_TEXT, category_text, top_values, value_counts
 from tablewright.operators.sampling import ClassCounts
 from tablewright.session import local_frame
 
@@ -201,10 +201,11 @@ def fit_slots(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHARE,
         return {}, {}, None
     counts = materialize(value_counts(df, cols), BROADCAST_ROWS)
     rows = df.count() if rows is None else rows
-    best = counts.df.groupBy("name").agg(
-        F.min(F.struct((-F.col("n")).alias("m"), F.col("value").alias("v"))).alias("b"), F.sum("n").alias("n")
-    )
-    modes = {r["name"]: (r["b"]["v"], rows - r["n"]) for r in best.collect()}  # one row per column
+    # The same rule for ties as everywhere: the smallest text, however long it is.
+    key = F.when(F.length("value") > LONG_TEXT, F.concat(F.lit("md5:"), F.md5("value"))).otherwise(F.col("value"))
+    best = top_values(df, cols, 1).select("name", key.alias("v"))
+    totals = counts.df.groupBy("name").agg(F.sum("n").alias("n"))
+    modes = {r["name"]: (r["v"], rows - r["n"]) for r in best.join(totals, "name").collect()}  # one row per column
     fill = local_frame(
         df.sparkSession,
         [(c, modes[c][0], modes[c][1]) for c in cols if c in modes],

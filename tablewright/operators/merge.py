@@ -102,6 +102,10 @@ def horizontal_join(
 
 def _disambiguate(tables, keys, prefix):
     stems = {name: os.path.splitext(os.path.basename(name))[0] for name in tables}
+    if len(set(stems.values())) < len(stems):
+        stems = {name: os.path.splitext(name)[0].replace("/", "_") for name in tables}
+    if prefix and len(set(stems.values())) < len(stems):
+        raise ValueError(f"tables {sorted(tables)} have no different prefixes")
     if prefix:
         return {
             n: prefix_columns(t, keys, stems[n]).select(

@@ -102,7 +102,7 @@ def _forest(kind):
             featuresCol=FEATURES,
             labelCol=LABEL,
             numTrees=params.get("n_estimators", 100),
-            maxDepth=min(MAX_DEPTH, params.get("max_depth", 10)),
+            maxDepth=_depth(params, 10),
             minInstancesPerNode=params.get("min_samples_leaf", 1),
             featureSubsetStrategy=params.get("max_features", "sqrt") or "all",
             seed=42,
@@ -111,13 +111,20 @@ def _forest(kind):
     return build
 
 
+def _depth(params, default: int) -> int:
+    depth = params.get("max_depth", default)
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth}: Spark ML trees have {MAX_DEPTH} levels at most")
+    return depth
+
+
 def _boosted(kind):
     def build(params, shape):
         return kind(
             featuresCol=FEATURES,
             labelCol=LABEL,
             maxIter=params.get("n_estimators", 300),
-            maxDepth=min(MAX_DEPTH, params.get("max_depth", 6)),
+            maxDepth=_depth(params, 6),
             stepSize=params.get("learning_rate", 0.3),
             subsamplingRate=params.get("subsample", 1.0),
             featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
@@ -135,7 +142,9 @@ def _boosted_classes(params, shape):
 
 
 def _mlp(params, shape):
+    # A learning rate acts with gradient descent only.
     return MultilayerPerceptronClassifier(
+        solver="gd" if "learning_rate_init" in params else "l-bfgs",
         featuresCol=FEATURES,
         labelCol=LABEL,
         layers=[shape.width, *params.get("hidden_layer_sizes", (64,)), max(2, shape.classes)],

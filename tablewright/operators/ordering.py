@@ -95,7 +95,10 @@ def _bracketed_quantiles(df, values, cols, probs, counts):
             narrowed = key not in bracket or within < inside[key]
             if not (holds and narrowed):
                 # The sketch missed: fall back to halving the value range.
-                lo, hi, under, within = _halve(df, values[key[0]], bracket.get(key), pos)
+                lo, hi, under, within, neighbours = _halve(df, values[key[0]], bracket.get(key), pos)
+                if neighbours:
+                    out[key[0]][key[1]] = lo + (hi - lo) * (pos - math.floor(pos))
+                    continue
             bracket[key], below[key], inside[key] = (lo, hi), under, within
             if lo == hi:
                 out[key[0]][key[1]] = lo
@@ -162,9 +165,13 @@ def _sketch_brackets(df, values, keys, positions, bracket, below, inside):
 
 
 def _halve(df, c, known, pos):
-    """Shrink a bracket by its middle value until it is proven and smaller."""
+    """Shrink a bracket by its middle value until it is proven and smaller.
+
+    The last part of the result says that the ends are the two values on either
+    side of the wanted rank, which then lies between them.
+    """
     if known is None:
-        return tuple(df.selectExpr(f"min({c})", f"max({c})", "0", f"count({c})").first())
+        return (*df.selectExpr(f"min({c})", f"max({c})", "0", f"count({c})").first(), False)
     lo, hi = known
     mid = lo + (hi - lo) / 2
     left, right = _between(c, lo, mid), f"({c} > {_number(mid)} AND {c} <= {_number(hi)})"
@@ -177,13 +184,11 @@ def _halve(df, c, known, pos):
     ).first()
     first_right = row["under"] + row["left"]
     if math.ceil(pos) < first_right:
-        return lo, row["left_max"], row["under"], row["left"]
+        return lo, row["left_max"], row["under"], row["left"], False
     if math.floor(pos) >= first_right:
-        return row["right_min"], hi, first_right, row["right"]
-    # The wanted rank lies between the two halves: keep just its neighbours.
-    ends = row["left_max"], row["right_min"]
-    edge = df.selectExpr(f"count_if({c} < {_number(ends[0])})", f"count_if({_between(c, *ends)})").first()
-    return *ends, edge[0], edge[1]
+        return row["right_min"], hi, first_right, row["right"], False
+    # The wanted rank lies between the two halves, so between their inner ends.
+    return row["left_max"], row["right_min"], row["under"], row["left"] + row["right"], True
 
 
 # --------------------------------------------------- running sums and ranks
@@ -244,9 +249,10 @@ def hash_cutoffs(
     """The hash at which exactly the wanted number of rows has been passed.
 
     ``wanted`` has the group columns, a ``slot`` number and ``k`` (how many rows
-    to take). The result has the group columns, ``slot`` and ``cut``. Rows are
-    ordered by a 64-bit hash of their key; copies of one key share a hash and
-    stay together.
+    to take). The result has the group columns, ``slot``, ``cut``, ``take`` (how
+    many of the rows with just that hash belong to the wanted ones) and ``at``
+    (how many rows have it). Rows are ordered by a 64-bit hash of their key, which
+    copies of one key share.
 
     The hash space is cut into equal buckets (it is uniform, so buckets are
     even), counted with map-side combine, and only the one bucket that holds a
@@ -281,7 +287,9 @@ def hash_cutoffs(
     keyed = [*tags, parent.alias("__parent"), F.col(HASH).alias("b")]
     counted = inside.groupBy(*keyed).agg(F.count(F.lit(1)).alias("n"))
     done = _advance(counted, state, [*tags, "__parent"])
-    return done.select(*[F.col(t).alias(g) for g, t in zip(groups, tags)], "slot", F.col("b").alias("cut"))
+    return done.select(
+        *[F.col(t).alias(g) for g, t in zip(groups, tags)], "slot", F.col("b").alias("cut"), F.col("left").alias("take"), "at"
+    )
 
 
 def _advance(counted: DataFrame, state: DataFrame, tags: list[str]) -> DataFrame:
@@ -293,4 +301,36 @@ def _advance(counted: DataFrame, state: DataFrame, tags: list[str]) -> DataFrame
     for t in tags:
         cond = cond & F.col(t).eqNullSafe(F.col("s" + t))
     rest = F.col("left") - F.col("upto") + F.col("n")
-    return upto.join(ranks, cond).select(*tags, "slot", "b", rest.alias("left"))
+    return upto.join(ranks, cond).select(*tags, "slot", "b", rest.alias("left"), F.col("n").alias("at"))
+
+
+CUTS = "__cuts"
+
+
+def passed_cuts(placed: DataFrame, groups: Sequence[str], h: Column, name: str, tied: bool) -> DataFrame:
+    """Add ``name``: how many of a row's cut-offs (``CUTS``, an array of cut, take, at) lie before it.
+
+    A cut-off that falls among rows of one hash takes only some of them. Those rows
+    are kept in a checkpoint and numbered: each partition numbers its own per group
+    and hash, and starts behind the partitions before it. No hash is gathered in one
+    task. Without such cut-offs (``tied`` false) no row moves.
+    """
+    before = F.size(F.filter(F.col(CUTS), lambda c: c["cut"] < h))
+    if not tied:
+        return placed.withColumn(name, before)
+    split = F.coalesce(F.exists(F.col(CUTS), lambda c: (c["cut"] == h) & (c["take"] < c["at"])), F.lit(False))
+    rest = placed.where(~split).withColumn(name, before)
+    edge = durable(placed.where(split)).select("*", h.alias("__h"), F.spark_partition_id().alias("__part"))
+    keys = [*[quoted(g) for g in groups], F.col("__h")]
+    tags = [f"__e{i}" for i in range(len(keys))]
+    sizes = edge.groupBy(*[k.alias(t) for k, t in zip(keys, tags)], "__part").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*tags).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*tags, F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__from"))
+    own = Window.partitionBy("__part", *keys).orderBy(F.lit(0))
+    cond = F.col("__part") == F.col("__p")
+    for k, t in zip(keys, tags):
+        cond = cond & k.eqNullSafe(F.col(t))
+    numbered = edge.withColumn("__own", F.row_number().over(own) - 1).join(starts, cond)
+    number = F.col("__own") + F.col("__from")
+    ahead = F.filter(F.col(CUTS), lambda c: (c["cut"] < F.col("__h")) | ((c["cut"] == F.col("__h")) & (number >= c["take"])))
+    return rest.unionByName(numbered.withColumn(name, F.size(ahead)).select(*placed.columns, name))

@@ -77,17 +77,16 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _key_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(name, value, digest) cells; long texts are replaced by their 128-bit digest.
+    """(name, value, digest) cells; of a long text the beginning and a 128-bit digest stand for it.
 
-    Whole documents so never enter a shuffle; ``digest`` tells the two apart.
+    Whole documents so never enter a shuffle, and beginnings sort as the texts do.
     """
     pairs = []
     for c in cols:
         f = df.schema[c]
         v = f"cast({sql_value(f)} as string)"
-        long = f"coalesce(length({v}) > {LONG_TEXT}, false)" if schema_kind(f.dataType) == "text" else "false"
-        short = f"if({long}, md5({v}), {v})" if long != "false" else v
-        pairs.append(f"named_struct('name', {sql_text(c)}, 'value', {short}, 'digest', {long})")
+        digest = f"if(length({v}) > {LONG_TEXT}, md5({v}), NULL)" if schema_kind(f.dataType) == "text" else "cast(NULL as string)"
+        pairs.append(f"named_struct('name', {sql_text(c)}, 'value', left({v}, {LONG_TEXT}), 'digest', {digest})")
     return df.selectExpr(f"inline(array({', '.join(pairs)}))").where("value IS NOT NULL")
 
 
@@ -195,26 +194,29 @@ def _quantile_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def top_values(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
     """(name, rank, value, count): the ``k`` most frequent values.
 
-    Ties go by value, with long texts after the others in digest order. The rank
-    filter is pushed below the shuffle as a group limit: every task passes on
-    ``k`` rows per column at most.
+    Ties go by value. The rank filter is pushed below the shuffle as a group
+    limit: every task passes on ``k`` rows per column, and those that tie with the
+    last of them in count and in how their texts begin.
     """
-    w = Window.partitionBy("name").orderBy(F.desc("n"), "digest", "value")
-    ranked = _key_counts(df, cols).select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    top = materialize(ranked).df
-    long = top.where("digest").select("name", "value")
-    names = sorted({r["name"] for r in long.collect()})  # k rows per column at most
+    w = Window.partitionBy("name").orderBy(F.desc("n"), "value")
+    ranked = _key_counts(df, cols).select("*", F.rank().over(w).alias("rank")).where(F.col("rank") <= k).drop("rank")
+    held = materialize(ranked)
+    top = held.df
+    long = top.where("digest IS NOT NULL").select("name", "digest")
+    names = sorted(r["name"] for r in long.select("name").distinct().collect())
     shown = F.col("value")
     if names:
-        # A second scan fetches the few texts that made it, instead of sending
-        # all texts through the shuffle.
+        # A second scan fetches the texts that made it, instead of sending all
+        # texts through the shuffle.
         cells = F.array(*[F.struct(F.lit(c).alias("name"), quoted(c).alias("text")) for c in names])
-        texts = df.select(F.inline(cells)).where(F.length("text") > LONG_TEXT).withColumn("value", F.md5("text"))
-        texts = texts.join(F.broadcast(long), ["name", "value"], "left_semi")
-        texts = texts.groupBy("name", "value").agg(F.min("text").alias("text"))
-        top = top.join(F.broadcast(texts), ["name", "value"], "left")
-        shown = F.when(F.col("digest"), F.col("text")).otherwise(F.col("value"))
-    return top.select("name", "rank", shown.alias("value"), F.col("n").alias("count"))
+        texts = df.select(F.inline(cells)).where(F.length("text") > LONG_TEXT).withColumn("digest", F.md5("text"))
+        texts = texts.join(F.broadcast(long) if held.small else long, ["name", "digest"], "left_semi")
+        texts = texts.groupBy("name", "digest").agg(F.first("text").alias("text"))
+        top = top.join(texts, ["name", "digest"], "left")
+        shown = F.coalesce("text", "value")
+    order = Window.partitionBy("name").orderBy(F.desc("n"), "whole")
+    final = top.select("name", shown.alias("whole"), "n").withColumn("rank", F.row_number().over(order))
+    return final.where(F.col("rank") <= k).select("name", "rank", F.col("whole").alias("value"), F.col("n").alias("count"))
 
 
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:

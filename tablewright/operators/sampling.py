@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.missing import is_missing, quoted
 from tablewright.operators.joins import lookup_join, materialize
-from tablewright.operators.ordering import global_index, hash_cutoffs, row_hash
+from tablewright.operators.ordering import CUTS, global_index, hash_cutoffs, passed_cuts, row_hash
 from tablewright.session import local_frame
 
 TOP_N_ROWS = 100_000
@@ -141,16 +141,35 @@ def train_test_split(
         return _plain_split(df, h, key, seed, counts.rows, math.ceil(counts.rows * test_size))
     wanted = stratified_allocation(counts, target, test_size)
     cuts = hash_cutoffs(df, key, seed, wanted, [target], counts.largest, counts.classes)
-    table = materialize(cuts.select(quoted(target), F.col("cut").alias("__cut")))
-    side = F.when(row_hash(key, seed) <= F.col("__cut"), "test").otherwise("train")
-    return lookup_join(df, table, [target]).withColumn(SPLIT, side).drop("__cut").select(*df.columns, SPLIT)
+    table, tied = _cut_table(cuts, [target])
+    placed = passed_cuts(lookup_join(df, table, [target]), [target], h, "__passed", tied)
+    side = F.when(F.col("__passed") == 0, "test").otherwise("train")
+    return placed.withColumn(SPLIT, side).select(*df.columns, SPLIT)
+
+
+def _cut_table(cuts: DataFrame, groups: Sequence[str]):
+    """The cut-offs of each group as one array, and whether one of them falls among rows of one hash."""
+    packed = F.sort_array(F.collect_list(F.struct("cut", "take", "at"))).alias(CUTS)
+    table = materialize(cuts.groupBy(*[quoted(g) for g in groups]).agg(packed))
+    tied = table.df.where(F.exists(F.col(CUTS), lambda c: c["take"] < c["at"])).isEmpty()
+    return table, not tied
+
+
+def _one_row(df: DataFrame, table) -> DataFrame:
+    """Give every row the only row of a table of cut-offs, which has k - 1 entries at most."""
+    row = table.df.first()
+    listed = [] if row is None else row[CUTS]
+    one = [F.struct(*[F.lit(c[n]).cast("bigint").alias(n) for n in ("cut", "take", "at")]) for c in listed]
+    empty = F.array().cast("array<struct<cut:bigint,take:bigint,at:bigint>>")
+    return df.withColumn(CUTS, F.array(*one) if one else empty)
 
 
 def _plain_split(df, h, key, seed, total, n_test):
     wanted = local_frame(df.sparkSession, [(0, n_test)], "slot int, k bigint")
-    row = hash_cutoffs(df, key, seed, wanted, largest=total).first()
-    side = F.when(h <= F.lit(row["cut"]), "test").otherwise("train") if row else F.lit("train")
-    return df.withColumn(SPLIT, side)
+    table, tied = _cut_table(hash_cutoffs(df, key, seed, wanted, largest=total), [])
+    placed = passed_cuts(_one_row(df, table), [], h, "__passed", tied)
+    side = F.when((F.col("__passed") == 0) & (F.size(CUTS) > 0), "test").otherwise("train")
+    return placed.withColumn(SPLIT, side).select(*df.columns, SPLIT)
 
 
 def assign_folds(
@@ -178,18 +197,12 @@ def assign_folds(
     wanted = table.select(*[quoted(g) for g in groups], "n", slots.alias("slot"))
     wanted = wanted.select(*[quoted(g) for g in groups], "slot", F.expr(f"(slot * n) div {k}").alias("k"))
     cuts = hash_cutoffs(df, key, seed + 1, wanted, groups, largest, spots)
-    per_group = cuts.groupBy(*[quoted(g) for g in groups]).agg(F.collect_list("cut").alias("__cuts"))
-    # k-1 cut-offs per class: a row's fold is the number of cut-offs below its
-    # hash, plus the empty slots of classes with fewer than k rows.
-    position = F.size(F.filter(F.col("__cuts"), lambda c: c < h)) + (F.lit(k - 1) - F.size("__cuts"))
+    table, tied = _cut_table(cuts, groups)
+    # k-1 cut-offs per class: a row's fold is the number of cut-offs before it,
+    # plus the empty slots of classes with fewer than k rows.
+    placed = lookup_join(df, table, [target]) if target else _one_row(df, table)
+    placed = passed_cuts(placed, groups, h, "__passed", tied)
+    fold = F.coalesce(F.col("__passed") + (F.lit(k - 1) - F.size(CUTS)), F.lit(k - 1))
     if target:
-        placed = lookup_join(df, materialize(per_group), [target])
-        position = F.coalesce(position, F.lit(k - 1)) + F.pmod(F.xxhash64(quoted(target)), F.lit(k))
-        fold = F.pmod(position, F.lit(k)).cast("int")
-        return placed.withColumn(FOLD, fold).select(*df.columns, FOLD)
-    row = per_group.first()
-    cut_list = sorted(row[0]) if row else []
-    position = F.lit(k - 1 - len(cut_list))
-    for c in cut_list:
-        position = position + (h > F.lit(c)).cast("int")
-    return df.withColumn(FOLD, position.cast("int"))
+        fold = F.pmod(fold + F.pmod(F.xxhash64(quoted(target)), F.lit(k)), F.lit(k))
+    return placed.withColumn(FOLD, fold.cast("int")).select(*df.columns, FOLD)

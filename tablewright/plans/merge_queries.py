@@ -102,6 +102,28 @@ def stratified_split(spark, sf):
     )
 
 
+@query(
+    "split_repeated_rows",
+    """WITH t AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS test FROM lineitem)
+    SELECT 'test' AS split, test AS rows FROM t UNION ALL SELECT 'train', n - test FROM t""",
+)
+def split_repeated_rows(spark, sf):
+    """Few different rows, each many times, and no other key than the row."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    split = sampling.train_test_split(rows, "l_returnflag", stratify=False)
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "folds_repeated_rows",
+    """SELECT CAST(f AS INTEGER) AS fold, ((f + 1) * n) // 5 - (f * n) // 5 AS rows
+    FROM (SELECT count(*) AS n FROM lineitem), range(5) AS r(f)""",
+)
+def folds_repeated_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return sampling.assign_folds(rows, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "can_stratify",
     """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)

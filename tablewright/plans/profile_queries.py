@@ -202,8 +202,8 @@ def categorical_top10(spark, sf):
 
 @query(
     "text_top5",
-    """WITH counts AS (SELECT text AS value, count(*) AS count, length(text) > 64 AS long FROM documents GROUP BY text),
-    ranked AS (SELECT *, row_number() OVER (ORDER BY count DESC, long, CASE WHEN long THEN md5(value) ELSE value END) AS rank FROM counts)
+    """WITH counts AS (SELECT text AS value, count(*) AS count FROM documents GROUP BY text),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY count DESC, value) AS rank FROM counts)
     SELECT 'text' AS name, rank, md5(value) AS value, count, (SELECT count(*) FROM counts) AS nunique FROM ranked WHERE rank <= 5""",
 )
 def text_top5(spark, sf):

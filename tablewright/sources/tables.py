@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,16 +40,31 @@ def read_table(
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Read each file; what cannot be read is reported and left out."""
+    """Read each file; what cannot be read is reported and left out.
+
+    A table is called by its file name; files of the same name get as many of their
+    folders as tell them apart. A path given twice is read once.
+    """
     tables, failures = {}, {}
+    paths = list(dict.fromkeys(p.rstrip("/") for p in paths))
     for path in paths:
         try:
-            tables[path.rstrip("/").rsplit("/", 1)[-1]] = read_table(spark, path)
-        except AnalysisException as error:
+            tables[short_name(path, paths)] = read_table(spark, path)
+        except (PySparkException, Py4JJavaError) as error:
             failures[path] = str(error)
     return tables, failures
 
 
+def short_name(path: str, paths: Sequence[str]) -> str:
+    """The shortest end of a path, in whole parts, that no other path has."""
+    parts = path.split("/")
+    others = [p.split("/") for p in paths if p != path]
+    for n in range(1, len(parts)):
+        if all(o[-n:] != parts[-n:] for o in others):
+            return "/".join(parts[-n:])
+    return path
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 

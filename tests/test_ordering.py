@@ -41,11 +41,11 @@ def test_bracketed_quantiles_match_numpy(spark, monkeypatch, shape):
 def test_halving_is_used_when_the_sketch_misses(spark):
     values = np.arange(1001.0)
     df = frame(spark, values)
-    lo, hi, under, inside = ordering._halve(df, "x", (0.0, 1000.0), 700.0)
-    assert lo <= 700.0 <= hi and under == (values < lo).sum() and inside == ((values >= lo) & (values <= hi)).sum()
+    lo, hi, under, inside, between = ordering._halve(df, "x", (0.0, 1000.0), 700.0)
+    assert not between and lo <= 700.0 <= hi and under == (values < lo).sum() and inside == ((values >= lo) & (values <= hi)).sum()
     # A rank between the halves keeps both neighbours.
-    lo, hi, under, inside = ordering._halve(df, "x", (0.0, 1000.0), 500.5)
-    assert (lo, hi, under, inside) == (500.0, 501.0, 500, 2)
+    lo, hi, *_, between = ordering._halve(df, "x", (0.0, 1000.0), 500.5)
+    assert between and (lo, hi) == (500.0, 501.0)
 
 
 def test_quantiles_ignore_nan_and_null(spark):
