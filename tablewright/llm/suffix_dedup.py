@@ -44,11 +44,12 @@ class AnchorFinder:
 
     def __init__(self, k: int, length: int):
         self.k, self.length, self.width = k, length, length - k + 1
-        base = 0x9E3779B97F4A7C15 | 1
-        size = _SLICE + length + 1
-        self.up = np.cumprod(np.concatenate(([1], np.full(size, base, np.uint64))).astype(np.uint64), dtype=np.uint64)
-        back = np.uint64(pow(base, -1, 1 << 64))
-        self.down = np.cumprod(np.concatenate(([1], np.full(size, back, np.uint64))).astype(np.uint64), dtype=np.uint64)
+        base = 0x9E3779B97F4A7C15
+        steps = np.ones(_SLICE + length + 2, np.uint64)
+        steps[1:] = base
+        self.up = np.cumprod(steps, dtype=np.uint64)
+        steps[1:] = pow(base, -1, 1 << 64)
+        self.down = np.cumprod(steps, dtype=np.uint64)
 
     def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors of a text."""
@@ -84,35 +85,49 @@ def common_classes(strings: list[bytes], length: int) -> np.ndarray:
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum(sizes)
-    m = len(strings)
-    # The suffixes in order: whose they are, their lengths, and what each shares with the one before.
-    owner, size, shared = np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.uint8)
+    ends = np.cumsum(sizes).astype(np.int32)
+    # The suffixes in order: where each starts, and what it shares with the one before. A suffix of
+    # no symbols starts at its string's end, told from the next string's start by its place in the order.
+    empty = np.arange(len(strings), dtype=np.int32) + ends
+    start = np.concatenate(([0], empty[:-1] + 1)).astype(np.int32)
+    symbols = np.zeros(int(empty[-1]) + 1 if len(strings) else 0, np.uint8)
+    inner = np.ones(len(symbols), bool)
+    inner[empty] = False
+    symbols[inner] = flat
+    more = np.ones(len(symbols), bool)
+    more[start] = False
+    at, shared = empty, np.zeros(len(strings), np.uint8)
     for _ in range(int(sizes.max(initial=0))):
-        grows = np.flatnonzero(size < sizes[owner])
-        symbol = flat[ends[owner[grows]] - size[grows] - 1]
+        from_ = np.flatnonzero(more[at]).astype(np.int32)
+        before = at[from_] - 1
+        symbol = symbols[before]
         order = np.argsort(symbol, kind="stable")
-        at, symbol = grows[order], symbol[order]
-        table = [shared]
-        while (1 << len(table)) <= len(shared):
-            above, half = table[-1], 1 << (len(table) - 1)
-            table.append(np.minimum(above[:-half], above[half:]))
-        common = np.zeros(len(at), np.uint8)
+        from_, symbol = from_[order], symbol[order]
         same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-        low, high = at[same - 1] + 1, at[same] + 1
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            pick = level == k
-            a, b = low[pick], high[pick] - (1 << int(k))
-            common[same[pick]] = np.minimum(np.minimum(table[k][a], table[k][b]), length - 1) + 1
-        owner = np.concatenate((np.arange(m), owner[at]))
-        size = np.concatenate((np.zeros(m, np.int64), size[at] + 1))
-        shared = np.concatenate((np.zeros(m, np.uint8), common))
+        low, high = from_[same - 1] + 1, from_[same] + 1
+        common = np.zeros(len(from_), np.uint8)
+        common[same] = np.minimum(_least(shared, low, high), length - 1) + 1
+        at = np.concatenate((empty, before[order]))
+        shared = np.concatenate((np.zeros(len(strings), np.uint8), common))
+    size = np.repeat(empty, sizes + 1)[at] - at
     number = np.cumsum((shared < length) | (size < length))
-    out = np.full(len(flat), -1, np.int64)
+    out = np.full(len(symbols), -1, np.int64)
     whole = size >= length
-    out[ends[owner[whole]] - size[whole]] = number[whole]
-    return out
+    out[at[whole]] = number[whole]
+    return out[inner]
+
+
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least value in each range, high exclusive; no range is empty."""
+    levels = max(1, int((high - low).max(initial=1)).bit_length())
+    table = np.empty((levels, len(values)), np.uint8)
+    table[0] = values
+    for k in range(1, levels):
+        half = 1 << (k - 1)
+        table[k] = table[k - 1]
+        np.minimum(table[k - 1, :-half], table[k - 1, half:], out=table[k, :-half])
+    level = np.frexp((high - low).astype(np.float32))[1] - 1
+    return np.minimum(table[level, low], table[level, high - (1 << level)])
 
 
 def _bytes(values, kind: str) -> bytes:
@@ -144,7 +159,7 @@ def _seen_anchors(docs: DataFrame, finder: tuple[int, int], buckets: int) -> Dat
             order = np.argsort(h, kind="stable")
             doc, place, h = doc[order], place[order], h[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            group = np.cumsum(np.isin(np.arange(len(h)), first)) - 1
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
             several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) if len(h) else first > 0
             here = several[group] if len(h) else np.zeros(0, bool)
             rows = [(number % buckets, number, _DOCS, _bytes(keys, "<i8"))]
@@ -193,8 +208,9 @@ def _shared_anchors(seen: DataFrame, buckets: int) -> DataFrame:
             unit, h, doc, place = unit[order], h[order], doc[order], place[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(first, len(h)))
-            key = unit * np.int64(1 << 20) + doc  # distinct within a unit, and units differ by more than that
-            several = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+            several = np.zeros(len(first), bool)
+            for part in (unit, doc):
+                several |= np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
             pick = np.repeat(several, sizes) & (place != 0xFFFFFFFF)
             unit, doc, place = unit[pick], doc[pick], place[pick]
             order = np.argsort(unit, kind="stable")
@@ -347,8 +363,12 @@ def _compared(contexts: DataFrame, length: int, collection: int) -> DataFrame:
             if len(group) > collection:
                 for part in _windows(group, length, -(-len(group) // 256)):
                     out += _decide(part, length) if part else []
-            elif len(group) > 1:
+            elif any(r[4] != group[0][4] for r in group):
                 held += group
+            elif group:
+                # One string: nothing to sort, all but the smallest id lose it.
+                least = min(r[1] for r in group)
+                out += [(r[1], r[2], _bytes([(r[3], r[3] + len(r[4]))], "<i8")) for r in group if r[1] > least]
             group = []
             if held and (last or len(held) >= collection):
                 out += _decide(held, length)

@@ -11,7 +11,7 @@ from tablewright.llm.components import components
 from tablewright.llm.embedding_dedup import near_vectors, tile_links
 from tablewright.llm.exact_dedup import exact_duplicates
 from tablewright.llm.simhash import BKTree, fingerprint, near_duplicates
-from tablewright.llm.suffix_dedup import common_classes, merged, remove_repeats
+from tablewright.llm.suffix_dedup import AnchorFinder, common_classes, merged, remove_repeats
 
 DOCS = "doc_id long, text string, keep_id string, kept string, row_no string"
 
@@ -199,6 +199,22 @@ def test_repeats(spark):
     assert remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_anchors_are_few_and_follow_the_text():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 400).astype(np.uint8)
+    a = np.concatenate((rng.integers(97, 123, 333).astype(np.uint8), passage))
+    b = np.concatenate((rng.integers(97, 123, 71).astype(np.uint8), passage))
+    finder = AnchorFinder(24, 50)
+    found = []
+    for text, start in ((a, 333), (b, 71)):
+        at, h = finder.find(text)
+        assert len(at) < len(text) / 8 and np.diff(at).max() <= 27
+        found.append({(p - start, x) for p, x in zip(at.tolist(), h.tolist(), strict=True) if p >= start + 26})
+    inner = [{x for x in f if x[0] < 340} for f in found]
+    assert inner[0] == inner[1] and len(inner[0]) > 15
+    assert len(finder.find(a[:49])[0]) == 0
+
+
 def test_classes_and_runs():
     strings = [b"banana", b"bananas", b"nana", b"an", b""]
     classes = common_classes(strings, 3)
