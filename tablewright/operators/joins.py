@@ -14,7 +14,9 @@ from tablewright.session import durable, local_frame
 
 BROADCAST_ROWS = 50_000
 HOT_SHARE = 1 / 256
-SALTS = 64
+#: Rows of a hot key that share a salt, and the least number of salts of such a key.
+SALT_ROWS = 200_000
+LEAST_SALTS = 8
 
 _SALT = "__salt"
 _HOT = "__hot"
@@ -61,20 +63,21 @@ def _filler(dtype: T.DataType) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float | None = None) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows: 1/share rows at most."""
+    """Keys that hold more than ``share`` of all rows, 1/share at most, with the salts their rows call for."""
     share = HOT_SHARE if share is None else share
     counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
     total = df.count()
-    hot = counts.where(F.col("__n") > F.lit(total * share)).select(*[quoted(k) for k in keys])
-    schema = T.StructType([df.schema[k] for k in keys])
+    salts = F.greatest(F.ceil(F.col("__n") / SALT_ROWS), F.lit(LEAST_SALTS)).cast("int").alias(_HOT)
+    hot = counts.where(F.col("__n") > F.lit(total * share)).select(*[quoted(k) for k in keys], salts)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(_HOT, T.IntegerType())])
     for f in schema.fields:
         f.nullable = True
     return local_frame(df.sparkSession, hot.collect(), schema)
 
 
 def _flag_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark rows with a hot key; ``hot`` has 1/share rows at most, so it is broadcast."""
-    renamed = hot.select(*[quoted(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.lit(True).alias(_HOT))
+    """Give rows with a hot key its number of salts; ``hot`` has 1/share rows at most, so it is broadcast."""
+    renamed = hot.select(*[quoted(k).alias(f"__h{i}") for i, k in enumerate(keys)], _HOT)
     cond = None
     for i, k in enumerate(keys):
         one = quoted(k).eqNullSafe(F.col(f"__h{i}"))
@@ -88,14 +91,14 @@ def _scatter(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     # The salt depends on the row alone, so a task that is run again after an
     # executor loss gives every row the same salt. Identical copies share one
     # salt; adaptive skew handling splits what is left of those.
-    spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.col(_HOT)).cast("int")
     flagged = _flag_hot(df, hot, keys)
-    return flagged.withColumn(_SALT, F.when(F.col(_HOT), spread).otherwise(F.lit(0))).drop(_HOT)
+    return flagged.withColumn(_SALT, F.coalesce(spread, F.lit(0))).drop(_HOT)
 
 
 def _replicate(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """Give every salt a copy of the rows of hot keys."""
-    salts = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.coalesce(F.sequence(F.lit(0), F.col(_HOT) - 1), F.array(F.lit(0)))
     return _flag_hot(df, hot, keys).withColumn(_SALT, F.explode(salts)).drop(_HOT)
 
 
@@ -144,9 +147,12 @@ def lookup_join(df: DataFrame, table: Materialized, keys: list[str], how: str =
 
 
 def skewed_inner_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which either side may have hot keys."""
-    hot_left = hot_keys(left, keys)
-    hot_right = null_safe_join(hot_keys(right, keys), hot_left, keys, "left_anti")
+    """Inner join in which either side may have hot keys.
+
+    A key that is hot on both sides becomes a grid: left rows are dealt over its rows
+    and copied along its columns, right rows the other way round.
+    """
+    hot_left, hot_right = hot_keys(left, keys), hot_keys(right, keys)
     l = _replicate(_scatter(left, hot_left, keys).withColumnRenamed(_SALT, "__s1"), hot_right, keys)
     r = _scatter(right, hot_right, keys).withColumnRenamed(_SALT, "__s2")
     r = _replicate(r, hot_left, keys).withColumnRenamed(_SALT, "__s1").withColumnRenamed("__s2", _SALT)

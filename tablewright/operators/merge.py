@@ -155,8 +155,3 @@ def _join_two(left, right, keys, how):
     if how == "outer":
         result = result.unionByName(skewed_anti_join(right, left, keys), allowMissingColumns=True)
     return result
-
-
-def simple_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Plain null-safe join for tables without hot keys; Spark picks the strategy."""
-    return null_safe_join(nan_to_null(left), nan_to_null(right), list(keys), how)

@@ -85,7 +85,9 @@ def _train(name: str, data, family: str, params: dict[str, Any], task: str = "cl
         candidate = Candidate(model_registry(task, [family])[family], params)
         trained = refit(prepared.train, prepared.preprocessor, [candidate], task)[family]
         evaluate(trained, prepared.test, task)
-        return local_frame(spark, [_fact(trained.name, trained.metrics, prepared, task)], _FACTS)
+        facts = [_fact(trained.name, trained.metrics, prepared, task)]
+        prepared.release()
+        return local_frame(spark, facts, _FACTS)
 
     query(name, _facts_sql(*_SOURCES[data.__name__], [family]))(run)
 
@@ -166,6 +168,7 @@ def _board(spark, runs, prepared: Prepared, task: str):
     for r in runs.collect():  # one row per model
         name, train, test, reached = _fact(r["model"], r.asDict(), prepared, task)
         rows.append((name, train, test, reached and r["cv_score"] is not None))
+    prepared.release()
     return local_frame(spark, rows, _FACTS)
 
 

@@ -41,6 +41,11 @@ class Prepared:
     data: DataFrame
     preprocessor: TablePreprocessor
     info: PreparedInfo
+    held: DataFrame
+
+    def release(self) -> None:
+        """Let go of the narrowed table once its rows are no longer read."""
+        self.held.unpersist()
 
     @property
     def train(self) -> DataFrame:
@@ -72,7 +77,8 @@ def prepare(
 
     Column decisions look at all rows; filling, scaling and encoding are left to
     the preprocessor, which is fitted on training rows only. ``key`` identifies
-    a row for the split; by default the whole row does.
+    a row for the split; by default the whole row does. The narrowed table is read
+    by every later step, so it is kept until ``release``.
     """
     if target not in df.columns:
         raise ValueError(f"target {target!r} not found")
@@ -87,7 +93,7 @@ def prepare(
     # The key is needed until the split, whatever the guard says about it.
     row_key = F.xxhash64(*[quoted(k) for k in key]).alias(ROW_ID)
     features = [c for c in df.columns if c != target and c not in leaks.names]
-    data = df.select(row_key, quoted(target), *[quoted(c) for c in features])
+    held = data = df.select(row_key, quoted(target), *[quoted(c) for c in features]).persist()
 
     groups = analyze_columns(data.select(*[quoted(c) for c in features]))
     if expand_dates and groups["date_cols"]:
@@ -117,4 +123,5 @@ def prepare(
     )
     keep = [ROW_ID, SPLIT, LABEL, *[c for c in rest if c in num_cols or c in cat_cols]]
     data = data.withColumn(LABEL, quoted(LABEL).cast("double")).select(*[quoted(c) for c in keep])
-    return Prepared(data, TablePreprocessor(numericCols=num_cols, categoricalCols=cat_cols, minFrequency=rare_share), info)
+    preprocessor = TablePreprocessor(numericCols=num_cols, categoricalCols=cat_cols, minFrequency=rare_share)
+    return Prepared(data, preprocessor, info, held)
