@@ -20,16 +20,19 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import even_sample
 
 #: Bound of the labelled sample that the model is fitted on, per grade.
-SAMPLE_PER_GRADE = 3000
+SAMPLE_PER_GRADE = 2000
 MOST_GRADES = 8
 #: A word needs so many documents of the sample to get a weight.
 LEAST_DOCS = 3
+#: Letters of a longer word that stand for its stem.
+STEM = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> set[str]:
-    """The different words of a lower-cased text: runs of letters."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The features of a text: its different lower-cased words (runs of letters), and how longer ones begin."""
+    found = set(_WORD.findall(text.lower())) if text else set()
+    return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
 @dataclass
@@ -58,9 +61,9 @@ def fit_cumulative_link(
     rows: list[np.ndarray],
     grades: np.ndarray,
     features: int,
-    l1: float = 1e-3,
+    l1: float = 3e-4,
     l2: float = 1e-4,
-    rounds: int = 250,
+    rounds: int = 200,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds for rows of feature numbers (each present once) and grades 0..K.
 
@@ -132,7 +135,8 @@ def fit_severity(
     ``grades`` has doc_id and grade (0, 1, 2, ... by severity); null ids and grades
     are not used, and of several grades of a document the highest counts. The sample
     has about ``per_grade`` documents of each grade by the hash of the id, and no
-    more than MOST_GRADES times as many; a fifth of it sets the cut. Without graded documents every severity is 0.
+    more than MOST_GRADES times as many; a fifth of it sets the cut. Without graded
+    documents every severity is 0.
     """
     graded = grades.where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     order = F.xxhash64("doc_id")
