@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import durable
@@ -85,16 +87,24 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     marked = docs.select(
         "*", id_key.alias(keys[0]), docs["doc_id"].isNull().alias(keys[1]), text_hash(docs["text"]).alias(keys[2])
     )
-    from pyspark.sql import Window
-
     # Rows of one key are together after the join, so counting them moves nothing.
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
     found = marked.join(wanted.distinct(), keys, "left_semi")
     return found.withColumn("__tw_n", number).where("__tw_n = 1").select(*[found[c] for c in docs.columns])
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed.
+
+    Spark removes them when the driver collects the plans they belong to, which a
+    driver with memory to spare may put off until the disks of the executors are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-__all__ = ["HOT_PARTS", "attach", "durable", "even_sample", "first_id", "id_and_text", "keep_rows", "last_id", "text_hash"]
+__all__ = ["HOT_PARTS", "attach", "durable", "even_sample", "first_id", "id_and_text", "keep_rows", "last_id", "release", "text_hash"]

@@ -14,14 +14,17 @@ every window of ``length`` bytes the one with the least hash is its anchor. Equa
 have equal anchors at equal places, so only anchors that two documents share count,
 and each contributes its context: the bytes of all windows that can hold it, at most
 2 * length - k. The contexts of an anchor, and those of neighbouring anchors up to
-``collection`` strings, are one collection. A third of all documents may share a
-passage: a task that sees it more than once decides for all but the smallest id by
-itself and passes on one row.
+``collection`` strings, are one collection. Long equal stretches are met as blocks of
+some anchors first: of equal blocks only the smallest id's goes on to its contexts, the
+others are removed whole. A third of all documents may share a passage: a task that sees
+a block more than once decides for all but the smallest id by itself and passes on one
+row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import durable, text_hash
+from tablewright.llm.common import durable, release, text_hash
 
 LENGTH, ANCHOR = 50, 24
-#: Bytes of text that a task looks at as one unit, strings of a collection, anchors in a bucket.
-UNIT_BYTES, COLLECTION, BUCKET_ANCHORS = 16 << 20, 2048, 1_000_000
+#: Bytes of text that a task looks at as one unit, strings of a collection, anchors in a bucket and in a block.
+UNIT_BYTES, COLLECTION, BUCKET_ANCHORS, BLOCK_ANCHORS = 16 << 20, 2048, 1_000_000, 16
 _SLICE = 1 << 20
 _LAST_ID = (1 << 63) - 1
 
@@ -277,8 +280,18 @@ _CONTEXT = ["anchor", "id", "hash", "start", "context", "ranges"]
 _CONTEXT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
-def _contexts(texts: DataFrame, k: int, length: int) -> DataFrame:
-    """Contexts to compare, one per unit and different context, and ranges that the unit decides by itself."""
+_BLOCK = ["key", "id", "hash", "start", "block", "places", "ranges"]
+_BLOCK_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_BLOCK_SCHEMA = "key binary, id long, hash long, start long, block binary, places binary, ranges binary"
+
+
+def _blocks(texts: DataFrame, k: int, length: int) -> DataFrame:
+    """The stretches of text around shared anchors, in blocks, one per unit and different block.
+
+    An anchor whose own bytes say so begins a block, so equal stretches fall into
+    equal blocks. The rows of a block that the unit has seen in a smaller document
+    are ranges to remove.
+    """
     reach = length - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,20 +303,29 @@ def _contexts(texts: DataFrame, k: int, length: int) -> DataFrame:
             rows = []
             for i, t, text, places in held:
                 gone = []
-                for a in np.frombuffer(places, "<u4").tolist():
-                    s = max(0, a - reach)
-                    context = text[s : a + length]
-                    if first.setdefault(context, i) < i:
-                        gone.append((s, s + len(context)))
+                at = np.frombuffer(places, "<u4").astype(np.int64)
+                begins = np.array([zlib.crc32(text[a : a + k]) % BLOCK_ANCHORS == 0 for a in at.tolist()], bool)
+                begins[1:] |= np.diff(at) > length
+                begins[:1] = True
+                # However regular a text is, no block has more than so many anchors.
+                number = np.arange(len(at))
+                begins |= (number - np.maximum.accumulate(np.where(begins, number, 0))) % (8 * BLOCK_ANCHORS) == 0
+                cuts = np.flatnonzero(begins).tolist()
+                for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                    s = max(0, int(at[x]) - reach)
+                    block, inner = text[s : int(at[y - 1]) + length], _bytes(at[x:y] - s, "<u4")
+                    key = hashlib.blake2b(block + inner, digest_size=16).digest()
+                    if first.setdefault(key, i) < i:
+                        if len(block) >= length:
+                            gone.append((s, s + len(block)))
                     else:
-                        h = int.from_bytes(hashlib.blake2b(text[a : a + k], digest_size=8).digest(), "little", signed=True)
-                        rows.append((h, i, t, s, context, None))
+                        rows.append((key, i, t, s, block, inner, None))
                 if gone:
-                    rows.append((i ^ t, i, t, 0, None, _bytes(gone, "<i8")))
-                if len(rows) >= 50_000:
-                    yield _batch(rows, _CONTEXT, _CONTEXT_TYPES)
+                    rows.append((_bytes([i, t], "<i8"), i, t, 0, None, None, _bytes(gone, "<i8")))
+                if len(rows) >= 20_000:
+                    yield _batch(rows, _BLOCK, _BLOCK_TYPES)
                     rows = []
-            yield _batch(rows, _CONTEXT, _CONTEXT_TYPES)
+            yield _batch(rows, _BLOCK, _BLOCK_TYPES)
 
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -314,8 +336,36 @@ def _contexts(texts: DataFrame, k: int, length: int) -> DataFrame:
                     held, used = [], 0
         yield from unit()
 
+    return texts.mapInArrow(run, _BLOCK_SCHEMA)
+
+
+def _contexts(blocks: DataFrame, k: int, length: int) -> DataFrame:
+    """Contexts to compare, of the first document of each block, and ranges that all others lose."""
+    reach = length - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, least = None, 0
+        for b in batches:
+            rows = []
+            for key, i, t, start, block, places, ranges in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if block is None:
+                    rows.append((i ^ t, i, t, 0, None, ranges))
+                    continue
+                if key != now:
+                    now, least = key, i
+                if i > least:
+                    if len(block) >= length:
+                        rows.append((i ^ t, i, t, 0, None, _bytes([(start, start + len(block))], "<i8")))
+                    continue
+                for a in np.frombuffer(places, "<u4").tolist():
+                    s = max(0, a - reach)
+                    h = int.from_bytes(hashlib.blake2b(block[a : a + k], digest_size=8).digest(), "little", signed=True)
+                    rows.append((h, i, t, start + s, block[s : a + length], None))
+            for n in range(0, max(len(rows), 1), 50_000):
+                yield _batch(rows[n : n + 50_000], _CONTEXT, _CONTEXT_TYPES)
+
     schema = "anchor long, id long, hash long, start long, context binary, ranges binary"
-    return texts.mapInArrow(run, schema)
+    return blocks.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, schema)
 
 
 def _decide(rows: list[tuple], length: int) -> list[tuple]:
@@ -425,9 +475,11 @@ def remove_repeats(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(48, 2 * total / (length - anchor + 2) // BUCKET_ANCHORS))
     shared = durable(_shared_anchors(_seen_anchors(rows, (anchor, length), buckets), buckets))
+    release(docs.sparkSession)
     places = _by_document(shared)
     found = rows.join(places.hint("merge"), ["id", "hash"]).select("id", "hash", "text", "places")
-    ranges = durable(_compared(_contexts(found, anchor, length), length, collection))
+    ranges = durable(_compared(_contexts(_blocks(found, anchor, length), anchor, length), length, collection))
+    release(docs.sparkSession)
     per_doc = ranges.groupBy("id", "hash").agg(F.collect_set("ranges").alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
