@@ -28,6 +28,21 @@ RUN_COLUMNS = (
 )
 
 
+# The names of scorings, the first of each the default; the measure behind it, and its sign.
+CLASS_SCORES = {
+    "f1_macro": ("f1_macro", 1),
+    "accuracy": ("acc", 1),
+    "precision_macro": ("precision_macro", 1),
+    "recall_macro": ("recall_macro", 1),
+    "roc_auc": ("roc_auc", 1),
+}
+REGRESSION_SCORES = {
+    "neg_root_mean_squared_error": ("rmse", -1),
+    "neg_mean_absolute_error": ("mae", -1),
+    "r2": ("r2", 1),
+}
+
+
 @dataclass
 class Trained:
     """The refitted best candidate of one family."""
@@ -50,15 +65,22 @@ class Trained:
 
 
 def fold_score(predictions: DataFrame, task: str, scoring: str | None = None) -> float:
-    """Score of one fold, larger is better: macro F1 or negative RMSE by default."""
-    if task == "classification":
-        row = classification_scores(predictions, LABEL, "prediction").first()
-        return row[{"f1_macro": "f1_macro", "accuracy": "acc"}.get(scoring or "f1_macro", scoring)]
-    row = regression_scores(predictions, LABEL, "prediction").first()
-    name = scoring or "neg_root_mean_squared_error"
-    if name == "r2":
-        return row["r2"]
-    return -row["mae"] if name == "neg_mean_absolute_error" else -row["rmse"]
+    """Score of one fold, larger is better: macro F1 or negative RMSE by default.
+
+    Raises for a name that is not in CLASS_SCORES or REGRESSION_SCORES of the task.
+    """
+    known = CLASS_SCORES if task == "classification" else REGRESSION_SCORES
+    name = scoring or next(iter(known))
+    if name not in known:
+        raise ValueError(f"scoring {name!r} for {task}: one of {sorted(known)}")
+    if name == "roc_auc":
+        score = positive_score(predictions)
+        if score is None:
+            raise ValueError("roc_auc needs a model that gives the probability of two classes")
+        return roc_auc(predictions.select(quoted(LABEL), score.alias("score")), LABEL, "score").first()[0]
+    measure = classification_scores if task == "classification" else regression_scores
+    column, sign = known[name]
+    return sign * measure(predictions, LABEL, "prediction").first()[column]
 
 
 def _shape(features: DataFrame, rows: int, classes: int) -> TrainShape:

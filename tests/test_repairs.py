@@ -104,6 +104,21 @@ def test_advice_names_models_that_exist():
         _depth({"max_depth": 31}, 10)
 
 
+def test_scorings(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tablewright.operators.search import fold_score
+
+    rows = [(1.0, 1.0, Vectors.dense([0.2, 0.8])), (0.0, 1.0, Vectors.dense([0.4, 0.6])), (0.0, 0.0, Vectors.dense([0.9, 0.1]))]
+    df = spark.createDataFrame(rows, ["label", "prediction", "probability"])
+    assert fold_score(df, "classification", "roc_auc") == 1.0
+    assert fold_score(df, "classification", "accuracy") == pytest.approx(2 / 3)
+    assert fold_score(df, "regression", "neg_mean_absolute_error") == pytest.approx(-1 / 3)
+    for task in ("classification", "regression"):
+        with pytest.raises(ValueError, match="one of"):
+            fold_score(df, task, "no_such_score")
+
+
 def test_rank_between_two_heavy_values_ends(spark, monkeypatch):
     for name, value in (("EXACT_ROWS", 0), ("EXACT_VALUES", 0), ("BRACKET_ROWS", 1), ("SKETCH_ACCURACY", 100)):
         monkeypatch.setattr(ordering, name, value)
