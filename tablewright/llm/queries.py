@@ -159,6 +159,18 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN listed USING (doc_id)
 """
 
+OP9_SQL = """
+WITH RECURSIVE link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+found AS (SELECT vec_id, least(vec_id, coalesce(min(b), vec_id)) AS component_id
+          FROM embeddings LEFT JOIN reach ON a = vec_id GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM found LEFT JOIN counted ON a = vec_id
+"""
+
 _NODES = """SELECT archive, node // 16 AS node, min(first) AS first, max(last) AS last,
     sha256(string_agg(first || ':' || last || ':' || hash, ',' ORDER BY node)) AS hash
 FROM {} GROUP BY archive, node // 16"""
@@ -201,5 +213,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op5_secrets": OP5_SQL,
+    "op9_embedding_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
