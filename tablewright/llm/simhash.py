@@ -15,6 +15,8 @@ fingerprint, the smallest fingerprint it is joined with.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,25 +36,35 @@ _SLICE = 1 << 16
 
 def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     """SimHash of a text given as UTF-8: A-Z lower-cased, words between ASCII white space."""
+    return wide_fingerprint(text, shingle_words, 1, seed)[0]
+
+
+def wide_fingerprint(text: bytes, shingle_words: int, words64: int, seed: int = 42) -> list[int]:
+    """The SimHash and ``words64`` - 1 further ones, whose bits come from other mixtures of the same hashes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * words64
     hash_of = xxhash.xxh64_intdigest
-    if len(words) <= shingle_words:
-        hashes = np.array([hash_of(b" ".join(words), seed)], np.uint64)
-        return int(hashes[0])
     joined = b" ".join(words)
+    size = min(shingle_words, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle_words + 1
-    firsts, lasts = starts[:n].tolist(), ends[shingle_words - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    n = len(words) - size + 1
+    firsts, lasts = starts[:n].tolist(), ends[size - 1 :].tolist()
+    ones = np.zeros((words64, BITS), np.int64)
     for k in range(0, n, _SLICE):
         part = [hash_of(joined[i:j], seed) for i, j in zip(firsts[k : k + _SLICE], lasts[k : k + _SLICE], strict=True)]
-        octets = np.array(part, "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
-    return int(bits.view("<u8")[0])
+        h = np.array(part, "<u8")
+        for w in range(words64):
+            if w:
+                h = h + np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31))
+            octets = h.view(np.uint8).reshape(-1, 8)
+            ones[w] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little")
+    return [int(x) for x in bits.view("<u8")[:, 0]]
 
 
 class BKTree:
@@ -94,12 +106,16 @@ class BKTree:
         return found
 
 
-def joined_in_shard(tree_side: list[int], search_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """(value, smallest value it is joined with) for the values of a shard that have a link.
+def joined_in_shard(
+    tree_side: list[tuple], search_side: list[tuple] | None, radius: int, wide_radius: int | None = None
+) -> list[tuple[int, int]]:
+    """(node, smallest node it is joined with) for the rows (fingerprint, node, wide) of a shard that have a link.
 
-    With ``search_side`` None the values of the tree search it themselves.
+    With ``search_side`` None the rows of the tree search it themselves. With
+    ``wide_radius`` a link also needs that few differing bits in fingerprint and
+    wide together.
     """
-    tree, values, parent = BKTree(radius), [], []
+    tree, rows, parent = BKTree(radius), [], []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -107,60 +123,85 @@ def joined_in_shard(tree_side: list[int], search_side: list[int] | None, radius:
             i = parent[i]
         return i
 
-    def join(i: int, j: int) -> None:
-        i, j = root(i), root(j)
-        if i != j:
-            if values[i] > values[j]:
-                i, j = j, i
-            parent[j] = i
-
-    for v in tree_side:
-        near = tree.near(v) if search_side is None else []
-        tree.add(v)
-        parent.append(len(values))
-        values.append(v)
-        for j in near:
-            join(len(values) - 1, j)
-    for v in search_side or []:
-        near = tree.near(v)
-        if near:
-            parent.append(len(values))
-            values.append(v)
-            for j in near:
-                join(len(values) - 1, j)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := root(i)) != i]
-
-
-def fingerprints(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_no, text_hash and fingerprint (a long) per row."""
+    def near(row: tuple) -> list[int]:
+        found = tree.near(row[0])
+        if wide_radius is None:
+            return found
+        return [
+            j
+            for j in found
+            if (rows[j][0] ^ row[0]).bit_count() + (rows[j][2] ^ row[2]).bit_count() <= wide_radius
+        ]
+
+    def add(row: tuple, found: list[int]) -> None:
+        k = len(rows)
+        rows.append(row)
+        parent.append(k)
+        for j in found:
+            i, j = root(k), root(j)
+            if i != j:
+                if rows[i][1] > rows[j][1]:
+                    i, j = j, i
+                parent[j] = i
+
+    for row in tree_side:
+        found = near(row) if search_side is None else []
+        tree.add(row[0])
+        add(row, found)
+    for row in search_side or []:
+        found = near(row)
+        if found:
+            add(row, found)
+    return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i]
+
+
+def fingerprints(docs: DataFrame, shingle_words: int, id_col: str, text_col: str, words64: int = 1) -> DataFrame:
+    """doc_id, row_no, text_hash, fp (the fingerprint as a long) and wide (the further ones) per row."""
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "row_no", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle_words) for t in b.column(3)], np.uint64)
+            found = [wide_fingerprint(t.as_py(), shingle_words, words64) for t in b.column(3)]
+            found = np.array(found, np.uint64).reshape(-1, words64)
+            wide = pa.array([x.tobytes() for x in found[:, 1:].astype("<u8")], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "row_no", "text_hash", "fp"]
+                [*b.columns[:3], pa.array(found[:, 0].copy().view(np.int64)), wide],
+                ["doc_id", "row_no", "text_hash", "fp", "wide"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long, wide binary")
 
 
-def shard_links(values: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (fp) within ``radius`` bits, at most one per value and search."""
-    blocks, at = [], 0
+def equal_blocks(radius: int) -> list[int]:
+    """Masks of radius + 1 blocks of bits: fingerprints within the radius agree in one of them."""
+    masks, at = [], 0
     for k in range(radius + 1):
         width = (BITS - at) // (radius + 1 - k)
-        mask = (1 << width) - 1
-        shifted = F.shiftrightunsigned("fp", at) if at else F.col("fp")
-        blocks.append(F.struct(F.lit(k).alias("block"), shifted.bitwiseAND(F.lit(mask)).alias("part")))
+        masks.append(((1 << width) - 1) << at)
         at += width
-    spread = values.select("fp", F.explode(F.array(*blocks)).alias("key")).select("fp", "key.block", "key.part")
+    return masks
+
+
+def shard_links(
+    values: DataFrame, masks: list[int], radius: int, shard_rows: int = SHARD_ROWS, wide_radius: int | None = None
+) -> DataFrame:
+    """Links (a, b) between the nodes of ``values`` (fp, node, wide) that lie near each other in a shard.
+
+    A shard holds the values that agree in the bits of one of the masks. At most
+    one link per value and search comes out.
+    """
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(
+        *[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)]
+    )
+    spread = values.select("fp", "node", "wide", F.explode(keys).alias("key"))
+    spread = spread.select("fp", "node", "wide", "key.block", "key.part")
     sizes = durable(spread.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = attach(spread, sizes, ["block", "part"], "n")
     # Part numbers come from the value alone, so a task that runs again deals alike.
     cuts = F.ceil(F.col("n") / shard_rows).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), cuts).cast("int")
+    mine = F.pmod(F.xxhash64("fp", "node"), cuts).cast("int")
     rows = rows.select("*", cuts.alias("cuts"), mine.alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
     rows = rows.select("*", other).select(
@@ -170,23 +211,26 @@ def shard_links(values: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS
         F.greatest("mine", "other").alias("search"),
         "mine",
         "fp",
+        "node",
+        "wide",
     )
     keys = ["block", "part", "tree", "search"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple | None, sides: list[list[int]]) -> list[tuple[int, int]]:
+        def done(key: tuple | None, sides: list[list[tuple]]) -> list[tuple[int, int]]:
             if key is None:
                 return []
             within = key[2] == key[3]
-            return joined_in_shard(sides[0] + (sides[1] if within else []), None if within else sides[1], radius)
+            return joined_in_shard(sides[0], None if within else sides[1], radius, wide_radius)
 
         now, sides, out = None, [[], []], []
         for b in batches:
-            for *key, mine, fp in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for *key, mine, fp, node, wide in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if tuple(key) != now:
                     out += done(now, sides)
                     now, sides = tuple(key), [[], []]
-                sides[int(mine != key[2])].append(fp & 0xFFFFFFFFFFFFFFFF)
+                value = fp & 0xFFFFFFFFFFFFFFFF, node, int.from_bytes(wide, "little") if wide else 0
+                sides[int(mine != key[2])].append(value)
             yield _link_batch(out)
             out = []
         yield _link_batch(done(now, sides))
@@ -196,7 +240,7 @@ def shard_links(values: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS
 
 
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+    both = np.array(links, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
@@ -221,14 +265,48 @@ def near_duplicates(
     an empty result; further columns are not read.
     """
     rows = durable(fingerprints(docs, shingle_words, id_col, text_col))
+    return _joined(rows, equal_blocks(radius), radius, shard_rows, None)
+
+
+def similar_duplicates(
+    docs: DataFrame,
+    shingle_words: int = 5,
+    similarity: float = 0.8,
+    recall: float = 0.9,
+    shard_rows: int = SHARD_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Components of texts whose shingle sets have about the Jaccard similarity or more; as ``near_duplicates``.
+
+    At a similarity J a share of acos(2 J / (1 + J)) / pi of the fingerprint's bits
+    differ, about ten of 64 at 0.8. No block of bits is safe from so many, so shards are
+    made by random sets of bits instead: as many bits as leave a few texts in a
+    shard, and as many sets as find a pair at the similarity itself with the
+    probability ``recall`` (nearer pairs more often). A link found by a shard's
+    BK-tree must also hold for 256 bits, which tell similarities to about 0.04.
+    """
+    rows = durable(fingerprints(docs, shingle_words, id_col, text_col, 4))
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(8, max(1, rows.count()).bit_length() - 3)
+    sets = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
+    draw = random.Random(7)
+    masks = [sum(1 << b for b in draw.sample(range(BITS), bits)) for _ in range(sets)]
+    within = [round(n * apart + (n * apart * (1 - apart)) ** 0.5 * s) for n, s in ((BITS, 2), (4 * BITS, 1))]
+    return _joined(rows, masks, within[0], shard_rows, within[1])
+
+
+def _joined(rows: DataFrame, masks: list[int], radius: int, shard_rows: int, wide_radius: int | None) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("best")
-    values = durable(rows.groupBy("fp").agg(best, F.count(F.lit(1)).alias("n_rows")))
-    roots = components(shard_links(values.select("fp"), radius, shard_rows)).withColumnRenamed("node", "fp")
-    linked = durable(values.join(roots, "fp"))
+    values = durable(
+        rows.groupBy("fp", "wide").agg(best, F.count(F.lit(1)).alias("n_rows")).withColumn("node", F.col("best.row_no"))
+    )
+    roots = components(shard_links(values.select("fp", "node", "wide"), masks, radius, shard_rows, wide_radius))
+    linked = durable(values.join(roots, "node"))
     per_root = durable(linked.groupBy("root").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("n_values")))
-    first = attach(linked.select("fp", "root"), per_root, ["root"], "n_values").select("fp", "first")
-    classes = values.join(first, "fp", "left").select("fp", "n_rows", F.coalesce("first", "best").alias("first"))
-    return attach(rows, durable(classes), ["fp"], "n_rows").select(
+    first = attach(linked.select("node", "root"), per_root, ["root"], "n_values").select("node", "first")
+    classes = values.join(first, "node", "left").select("fp", "wide", "n_rows", F.coalesce("first", "best").alias("first"))
+    return attach(rows, durable(classes), ["fp", "wide"], "n_rows").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),
