@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import even_sample
 
 #: Bound of the labelled sample that the model is fitted on, per grade.
-SAMPLE_PER_GRADE = 2000
+SAMPLE_PER_GRADE = 1500
 MOST_GRADES = 8
 #: A word needs so many documents of the sample to get a weight.
 LEAST_DOCS = 3
