@@ -123,33 +123,28 @@ def joined_in_shard(
             i = parent[i]
         return i
 
-    def near(row: tuple) -> list[int]:
-        found = tree.near(row[0])
-        if wide_radius is None:
-            return found
-        return [
-            j
-            for j in found
-            if (rows[j][0] ^ row[0]).bit_count() + (rows[j][2] ^ row[2]).bit_count() <= wide_radius
-        ]
-
     def add(row: tuple, found: list[int]) -> None:
-        k = len(rows)
+        k = top = len(rows)
         rows.append(row)
         parent.append(k)
         for j in found:
-            i, j = root(k), root(j)
-            if i != j:
-                if rows[i][1] > rows[j][1]:
-                    i, j = j, i
-                parent[j] = i
+            other = root(j)
+            if other == top:
+                continue  # joined already by a nearer way
+            if wide_radius is not None:
+                apart = (rows[j][0] ^ row[0]).bit_count() + (rows[j][2] ^ row[2]).bit_count()
+                if apart > wide_radius:
+                    continue
+            if rows[other][1] < rows[top][1]:
+                top, other = other, top
+            parent[other] = top
 
     for row in tree_side:
-        found = near(row) if search_side is None else []
+        found = tree.near(row[0]) if search_side is None else []
         tree.add(row[0])
         add(row, found)
     for row in search_side or []:
-        found = near(row)
+        found = tree.near(row[0])
         if found:
             add(row, found)
     return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i]
