@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 #: Pieces of text whose ids a task remembers; beyond it the memory starts anew.
 MEMO_PIECES = 200_000
+_WIDE_GAP = re.compile(r" (?:\s|$)")
 SCHEMA = "doc_id long, ids binary, decoded_sha256 string, n_tokens long, ids_sha256 string"
 
 
@@ -105,30 +107,32 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary: always the pair of least rank, then leftmost."""
         n, rank_of = len(piece), self.rank.get
+        # A heap entry is one number: rank, place of the left part, end of the right part.
+        width = n.bit_length()
+        mask, low = (1 << width) - 1, 2 * width
+        pairs = map(rank_of, [piece[i : i + 2] for i in range(n - 1)])
+        heap = [rank << low | i << width | i + 2 for i, rank in enumerate(pairs) if rank is not None]
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 2))
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            code = pop(heap)
+            stop, i = code & mask, code >> width & mask
             j = after[i]
-            if end[i] < 0 or j >= n or end[j] != stop:
+            if j >= n or end[j] != stop or end[i] < 0:
                 continue  # one of its two parts has changed since
-            end[i], after[i], end[j] = stop, after[j], -1
-            j = after[i]
+            end[i], end[j] = stop, -1
+            after[i] = j = after[j]
             if j < n:
                 before[j] = i
                 rank = rank_of(piece[i : end[j]])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[j]))
+                    push(heap, rank << low | i << width | end[j])
             h = before[i]
             if h >= 0:
                 rank = rank_of(piece[h:stop])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, h, stop))
+                    push(heap, rank << low | h << width | stop)
         out, i = [], 0
         while i < n:
             out.append(rank_of(piece[i : end[i]]))
@@ -156,16 +160,17 @@ class Codec:
         A space before a character that is no space always starts a match of the
         pattern, so the text is cut there and equal pieces are looked up once.
         """
-        memo, pieces, piece = self.memo, [], None
-        for part in text.split(" "):
-            if piece is None:
-                piece = part
-            elif part and not part[0].isspace():
-                pieces.append(piece)
-                piece = " " + part
-            else:
-                piece += " " + part
-        pieces.append(piece)
+        memo, parts = self.memo, text.split(" ")
+        pieces = [parts[0], *[" " + p for p in parts[1:]]]
+        if _WIDE_GAP.search(text):
+            # A piece that starts with white space after its space belongs to the one before.
+            joined = pieces[:1]
+            for piece in pieces[1:]:
+                if piece == " " or piece[1].isspace():
+                    joined[-1] += piece
+                else:
+                    joined.append(piece)
+            pieces = joined
         if len(memo) > MEMO_PIECES:
             memo.clear()
         new = set(pieces).difference(memo)
