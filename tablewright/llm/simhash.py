@@ -10,7 +10,10 @@ broadcast; a shard of more than ``shard_rows`` is cut into parts, and every pair
 parts is searched: one part's tree by the other part's fingerprints.
 
 Searching yields no pairs: a task joins what it links at once and gives back, per
-fingerprint, the smallest fingerprint it is joined with.
+fingerprint, the smallest one it is joined with.
+
+``near_duplicates`` finds every link within a small radius. ``similar_duplicates`` is for
+similarities that lie many bits apart: its shards agree in random sets of bits.
 """
 
 from __future__ import annotations
