@@ -104,8 +104,24 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
+def joined_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every group of the links (a, b), and the smallest group that the links join it with."""
+    groups, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends.reshape(2, -1)
+    root = np.arange(len(groups))
+    while len(i):
+        # The larger root of a link hangs on the smaller one, then every group on its root.
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        i, j = root[i], root[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+    return groups, groups[root]
+
+
 def _compare(parts: list[tuple], axes: dict[int, np.ndarray], threshold: float) -> list[np.ndarray]:
-    """Rows (group, number of others' rows linked, smallest group linked) of one tile's searching groups."""
+    """Rows (group, number of others' rows linked to a searching group, smallest group joined) for one tile's links."""
     if not parts:
         return []
     mine, group, size, raw = (np.concatenate([p[k] for p in parts]) for k in range(4))
@@ -121,10 +137,13 @@ def _compare(parts: list[tuple], axes: dict[int, np.ndarray], threshold: float)
         sure[part] &= _cosines(raw[i[part]], raw[j[part]]) >= threshold
     i, j = i[sure], j[sure]
     linked = np.bincount(i, size[j].astype(float), len(mine)).astype(np.int64)
-    least = group.copy()
-    np.minimum.at(least, i, group[j])
+    if not len(i):
+        return []
     hit = np.flatnonzero(linked)
-    return [np.stack([group[hit], linked[hit], least[hit]], axis=1)] if len(hit) else []
+    groups, least = joined_groups(group[i], group[j])
+    counted = np.zeros(len(groups), np.int64)
+    counted[np.searchsorted(groups, group[hit])] = linked[hit]
+    return [np.stack([groups, counted, least], axis=1)]
 
 
 def near_vectors(

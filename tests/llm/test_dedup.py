@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tablewright.llm.components import components
-from tablewright.llm.embedding_dedup import near_vectors, tile_links
+from tablewright.llm.embedding_dedup import joined_groups, near_vectors, tile_links
 from tablewright.llm.exact_dedup import exact_duplicates
 from tablewright.llm.simhash import BKTree, fingerprint, near_duplicates, similar_duplicates
 from tablewright.llm.suffix_dedup import AnchorFinder, common_classes, merged, remove_repeats
@@ -167,6 +167,41 @@ def test_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_with_late_hubs(spark):
+    """Members that do not link each other are joined by a hub of a larger id, or by a chain."""
+    turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    rows = [(1, turn(0)), (2, turn(20)), (3, turn(10))]
+    # A chain whose ids alternate, and a hub of 30 members that lie along axes of their own.
+    rows += [(100 + (k * 7) % 12, turn(90 + 10 * k)) for k in range(12)]
+    rows = [(i, [*v, *[0.0] * 30], 0) for i, v in rows]
+    hub = np.full(32, 1.0)
+    hub[:2] = 0
+    for k in range(30):
+        member = hub.copy()
+        member[2 + k] += 1.06
+        rows.append((200 + k, member.tolist(), 1))
+    rows.append((900, hub.tolist(), 1))
+    vectors = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    label = {i: g for i, _, g in rows}
+    links = [(a, b) for a in label for b in label if a < b and label[a] == label[b] and vectors[a] @ vectors[b] >= 0.98]
+    want = roots(list(label), links)
+    assert want[2] == 1 and want[229] == 200 and not any(200 <= a < b < 900 for a, b in links)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").orderBy("vec_id").coalesce(1)
+    for block_rows in (1024, 5):
+        for r in near_vectors(frame, 0.98, block_rows=block_rows).collect():
+            assert r.n_links == sum(r.vec_id in p for p in links), r.vec_id
+            assert r.component_id == want[r.vec_id] and r.kept == (want[r.vec_id] == r.vec_id), r.vec_id
+
+
+def test_joined_groups():
+    rng = random.Random(8)
+    for n in (1, 5, 60, 400):
+        links = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(n)) if a != b] or [(2, 1)]
+        a, b = (np.array(x, np.int64) for x in zip(*links, strict=True))
+        groups, least = joined_groups(a, b)
+        assert dict(zip(groups.tolist(), least.tolist(), strict=True)) == roots({x for p in links for x in p}, links)
+
+
 def test_tile_bound_loses_nothing():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(200, 30)) * np.linspace(3, 0.1, 30)
