@@ -13,14 +13,14 @@ Searching yields no pairs: a task joins what it links at once and gives back, pe
 fingerprint, the smallest one it is joined with.
 
 ``near_duplicates`` finds every link within a small radius. ``similar_duplicates`` is for
-similarities that lie many bits apart: its shards agree in random sets of bits.
+similarities that lie many bits apart: it compares the shingle sets themselves, found by
+prefixes of the sets.
 """
 
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import attach, durable, id_and_text, text_hash
+from tablewright.llm.common import attach, durable, id_and_text, release, text_hash
 from tablewright.llm.components import components
 
 BITS = 64
 #: Largest shard that one task searches as a whole.
 SHARD_ROWS = 20_000
+#: Texts whose shingles are counted for the order of prefixes, and the most shingles that are listed.
+ORDER_DOCS, MOST_FREQUENT = 10_000, 500_000
 _SLICE = 1 << 16
 
 
@@ -266,32 +268,156 @@ def near_duplicates(
     return _joined(rows, equal_blocks(radius), radius, shard_rows, None)
 
 
+def shingle_set(text: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles (see ``fingerprint``), ascending."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    size = min(shingle_words, len(words))
+    hash_of = xxhash.xxh64_intdigest
+    found = {hash_of(b" ".join(words[i : i + size]), seed) for i in range(len(words) - size + 1)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the order that all sets share: those not in ``frequent``, then its own order.
+
+    Two sets of the Jaccard similarity or more have a shingle of these in common: they
+    share at least similarity * n of the n shingles of either.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        by_value = np.argsort(frequent, kind="stable")
+        at = np.minimum(np.searchsorted(frequent, shingles, sorter=by_value), len(frequent) - 1)
+        rank = np.where(frequent[by_value[at]] == shingles, by_value[at] + 1, 0)
+    length = n - math.ceil(similarity * n - 1e-9) + 1
+    return shingles[np.lexsort((shingles, rank))[:length]]
+
+
+def _arrays(of: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, of)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *of])))
+
+
+def _node(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """node (a hash of the shingle set) and shingles for each text (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(0)]
+            nodes = pa.array([_node(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, _arrays(sets)], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def frequent_shingles(texts: DataFrame, shingle_words: int, docs: int = ORDER_DOCS) -> np.ndarray:
+    """Shingles of more than a thousandth of a sample of texts (ten at least), the rarest first.
+
+    They only decide the order of ``prefix_of``, so what the sample misses costs time and no link.
+    """
+    share = min(1.0, docs / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = _sets(drawn, shingle_words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= max(10, docs // 1000)).orderBy("n", "s").limit(MOST_FREQUENT).select("s").toArrow()
+    return found["s"].to_numpy().astype(np.int64)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the Jaccard similarity or more."""
+    pairs = durable(pairs.distinct())
+    for side in ("a", "b"):
+        counts = pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        classes = durable(sets.join(counts, "node").select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"), "n"))
+        pairs = attach(pairs, classes, [side], "n").drop("n")
+    shared, both = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    near = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b")) - 1e-6
+    return durable(pairs.where(near & (shared >= similarity * (both - shared) - 1e-6)).select("a", "b"))
+
+
+def similar_links(tokens: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) that join all nodes of the similarity or more, from (node, token): the prefixes.
+
+    First every node of a token is compared with the token's smallest and largest
+    node; after that only nodes that are not joined yet, so a large group of
+    near copies is not compared with itself.
+    """
+    spark = tokens.sparkSession
+    ends = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = durable(ends.where("lo <> hi"))
+    release(spark)
+    shared = durable(attach(tokens, ends, ["token"], "n").select("token", "node", "lo", "hi").distinct())
+    release(spark)
+    sets = durable(sets_of(shared.select("node").distinct()))
+    stars = shared.select(F.col("node").alias("a"), F.col("lo").alias("b")).union(shared.select("node", "hi")).where("a <> b")
+    first = _similar(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, similarity)
+    roots = durable(components(first))
+    sizes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    of_node = durable(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n"))
+    placed = durable(attach(shared.select("token", "node"), of_node, ["node"], "n").drop("n"))
+    per_root = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+    most = F.max(F.struct("m", "root"))["root"].alias("most")
+    open_ = per_root.groupBy("token").agg(most, F.sum("m").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    placed = durable(attach(placed, durable(open_), ["token"], "n").select("token", "node", "root", F.col("root") == F.col("most"), "n").toDF("token", "node", "root", "most", "n"))
+    rest = placed.where("not most").select("token", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = placed.select("token", F.col("node").alias("a"), "root", "most").join(rest, "token")
+    pairs = pairs.where("root <> root_b and (most or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return first.union(_similar(pairs, sets, similarity))
+
+
 def similar_duplicates(
     docs: DataFrame,
     shingle_words: int = 5,
     similarity: float = 0.8,
-    recall: float = 0.9,
-    shard_rows: int = SHARD_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Components of texts whose shingle sets have about the Jaccard similarity or more; as ``near_duplicates``.
-
-    At a similarity J a share of acos(2 J / (1 + J)) / pi of the fingerprint's bits
-    differ, about ten of 64 at 0.8. No block of bits is safe from so many, so shards are
-    made by random sets of bits instead: as many bits as leave a few texts in a
-    shard, and as many sets as find a pair at the similarity itself with the
-    probability ``recall`` (nearer pairs more often). A link found by a shard's
-    BK-tree must also hold for 256 bits, which tell similarities to about 0.04.
+    """Components of texts whose shingle sets have the Jaccard similarity or more; as ``near_duplicates``.
+
+    No link is lost, whatever the size of the table: of each set of n shingles the first
+    n - ceil(similarity * n) + 1 in an order common to all sets are looked up, and two
+    sets of the similarity share one of them. The order puts frequent shingles
+    last. The sets themselves decide each link; equal ones are one node.
     """
-    rows = durable(fingerprints(docs, shingle_words, id_col, text_col, 4))
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(8, max(1, rows.count()).bit_length() - 3)
-    sets = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
-    draw = random.Random(7)
-    masks = [sum(1 << b for b in draw.sample(range(BITS), bits)) for _ in range(sets)]
-    within = [round(n * apart + (n * apart * (1 - apart)) ** 0.5 * s) for n, s in ((BITS, 2), (4 * BITS, 1))]
-    return _joined(rows, masks, within[0], shard_rows, within[1])
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie in (0, 1]")
+    whole = id_and_text(docs, id_col, text_col)
+    texts = whole.select(F.col("text").cast("binary").alias("text"))
+    frequent = frequent_shingles(texts, shingle_words)
+    whole = whole.select("doc_id", "row_no", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [t.as_py() for t in b.column(3)]
+            fp = np.array([fingerprint(t, shingle_words) for t in found], np.uint64).view(np.int64)
+            sets = [shingle_set(t, shingle_words) for t in found]
+            nodes = pa.array([_node(x) for x in sets], pa.int64())
+            prefixes = _arrays([prefix_of(x, frequent, similarity) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(fp), nodes, prefixes], ["doc_id", "row_no", "text_hash", "fp", "node", "prefix"]
+            )
+
+    rows = durable(
+        whole.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long, node long, prefix array<long>")
+    )
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        known = rows.groupBy("node", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        hashes = known.join(nodes, "node").groupBy("text_hash").agg(F.sum("n").alias("n"))
+        wanted = attach(whole.select("text_hash", "text"), durable(hashes), ["text_hash"], "n").select("text")
+        return _sets(wanted, shingle_words).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    tokens = rows.select("node", F.explode("prefix").alias("token"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("best")
+    values = durable(rows.groupBy("node").agg(best, F.count(F.lit(1)).alias("n_rows")))
+    return _components_of(rows, values, ["node"], similar_links(tokens, sets_of, similarity))
 
 
 def _joined(rows: DataFrame, masks: list[int], radius: int, shard_rows: int, wide_radius: int | None) -> DataFrame:
@@ -299,12 +425,18 @@ def _joined(rows: DataFrame, masks: list[int], radius: int, shard_rows: int, wid
     values = durable(
         rows.groupBy("fp", "wide").agg(best, F.count(F.lit(1)).alias("n_rows")).withColumn("node", F.col("best.row_no"))
     )
-    roots = components(shard_links(values.select("fp", "node", "wide"), masks, radius, shard_rows, wide_radius))
+    links = shard_links(values.select("fp", "node", "wide"), masks, radius, shard_rows, wide_radius)
+    return _components_of(rows, values, ["fp", "wide"], links)
+
+
+def _components_of(rows: DataFrame, values: DataFrame, keys: list[str], links: DataFrame) -> DataFrame:
+    """The result from ``values`` (the keys, node, best, n_rows), a row per node, and links between nodes."""
+    roots = components(links)
     linked = durable(values.join(roots, "node"))
     per_root = durable(linked.groupBy("root").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("n_values")))
     first = attach(linked.select("node", "root"), per_root, ["root"], "n_values").select("node", "first")
-    classes = values.join(first, "node", "left").select("fp", "wide", "n_rows", F.coalesce("first", "best").alias("first"))
-    return attach(rows, durable(classes), ["fp", "wide"], "n_rows").select(
+    classes = values.join(first, "node", "left").select(*keys, "n_rows", F.coalesce("first", "best").alias("first"))
+    return attach(rows, durable(classes), keys, "n_rows").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),

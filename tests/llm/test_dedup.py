@@ -123,6 +123,37 @@ def test_similar_texts(spark):
     assert similar_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_similar_texts_lose_no_pair(spark):
+    """Isolated pairs just above and below 0.8, of short and long texts, against the shingle sets."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((12, 40, 90, 300)))]
+        copy = list(words)
+        for x in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice((0.01, 0.021, 0.023, 0.03))))):
+            copy[x] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    passage = [f"p{x}" for x in range(60)]
+    for k in range(60):
+        words = passage[:]
+        words[k : k + 1 + k % 3] = [f"q{k}"]
+        rows.append((1000 + k, " ".join(words)))
+        rows.append((2000 + k, " ".join(passage + [f"r{rng.randrange(10**6)}" for _ in range(60)])))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(a, b) >= 0.8]
+    want = roots(list(sets), links)
+    assert 30 < sum(want[2 * k + 1] == 2 * k for k in range(150)) < 149
+    for frame in (docs_of(spark, rows).repartition(3), docs_of(spark, rows[::-1])):
+        got = {r.doc_id: r.component_id for r in similar_duplicates(frame).collect()}
+        assert got == want
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = random.Random(1)
     values = [rng.getrandbits(16) for _ in range(500)]
