@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import durable
-from tablewright.session import checkpoint_ready
+from tablewright.session import checkpoint_ready, local_frame
 
-#: Mean number of pages in an archive, children of a node, and levels above the records.
+#: Mean number of pages in an archive, children of a node, and least number of levels above the records.
 PAGES_PER_ARCHIVE, FAN, LEVELS = 1000, 16, 3
+#: An archive has at most this many times the mean number of pages.
+MOST_OF_MEAN = 4
 #: The date that records carry, since pages have none, and the end of a record.
 RECORD_DATE = "2000-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -32,7 +34,9 @@ _LEAF = ["archive", "record_no", "record_offset", "record_length", "record_sha25
 def records(pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE, date: str = RECORD_DATE) -> DataFrame:
     """page_id, archive, record (text without its end), record_length (bytes with it), record_sha256.
 
-    The archive is a hash of page_id and url, so copies of one row share an archive.
+    The archive is a hash of page_id and url. Where that gives an archive more than
+    MOST_OF_MEAN times ``per_archive`` pages, as with many copies of one row, its
+    pages are numbered instead and dealt to further archives of ``per_archive`` each.
     Null html is an empty block, a null page_id or url an empty field; line breaks
     in a url are dropped, as a header has one line. Further columns are not read.
     """
@@ -55,12 +59,34 @@ def records(pages: DataFrame, per_archive: int = PAGES_PER_ARCHIVE, date: str =
         place.cast("int").alias("archive"),
         F.concat(F.concat_ws("\r\n", *lines), F.lit(END), html).alias("record"),
     )
+    made = _capped(made, n, per_archive)
     whole = F.concat("record", F.lit(END))
     return made.select(
         "*", F.octet_length(whole).cast("long").alias("record_length"), F.sha2(whole, 256).alias("record_sha256")
     )
 
 
+def _capped(made: DataFrame, archives: int, per_archive: int) -> DataFrame:
+    """``made`` with the pages of archives that are too large in archives from number ``archives`` on."""
+    counts = made.groupBy("archive").agg(F.count(F.lit(1)).alias("n"))
+    large = durable(counts.where(F.col("n") > MOST_OF_MEAN * per_archive).select("archive"))
+    if large.isEmpty():
+        return made
+    # The checkpoint keeps the numbers, since copies of a row differ in nothing else.
+    moved = made.join(F.broadcast(large), "archive", "left_semi").withColumn("row_no", F.monotonically_increasing_id())
+    moved = durable(moved.select("page_id", "record", "row_no"))
+    part, place = F.shiftright("row_no", 33).cast("int"), F.col("row_no").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, at = [], 0
+    for k, n in sorted(moved.groupBy(part).agg(F.count(F.lit(1))).collect()):
+        starts.append((k, at))
+        at += n
+    known = local_frame(made.sparkSession, starts, "part int, start long")
+    number = F.floor((F.col("start") + place) / per_archive) + archives
+    dealt = moved.withColumn("part", part).join(F.broadcast(known), "part")
+    stay = made.join(F.broadcast(large), "archive", "left_anti")
+    return stay.unionByName(dealt.select("page_id", number.cast("int").alias("archive"), "record"))
+
+
 def manifest(made: DataFrame) -> DataFrame:
     """Where each record lies in its archive: page_id, archive, record_no, record_offset, record_length, record_sha256."""
     order = Window.partitionBy("archive").orderBy("page_id", "record_sha256")
@@ -196,8 +222,8 @@ def archive_and_audit(
     """Write ``pages`` as WARC archives, read the files back, and audit them against the table.
 
     Returns a row per page: page_id, archive, record_no, record_offset,
-    record_length, record_sha256, archive_root (of the first fan^levels records) and
-    intact (false where the file differs). An empty table gives an empty result and
+    record_length, record_sha256, archive_root (of all records: there are ``levels`` levels
+    or as many more as that takes) and intact (false where the file differs). An empty table gives an empty result and
     no files. Without ``path`` the files go to the folder for checkpoints and are
     deleted after the audit.
     """
@@ -215,6 +241,9 @@ def archive_and_audit(
     if path is None:
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    most = expected.agg(F.max("record_no")).first()[0] + 1
+    while fan**levels < most:
+        levels += 1
     mine = [durable(x) for x in merkle_levels(expected, fan, levels)[1:]]
     theirs = [durable(x) for x in merkle_levels(found, fan, levels)[1:]]
     faults = audit([merkle_levels(expected, fan, 0)[0], *mine], [merkle_levels(found, fan, 0)[0], *theirs], fan)

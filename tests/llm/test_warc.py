@@ -1,5 +1,6 @@
 import glob
 import gzip
+import hashlib
 
 from tablewright.llm.warc import archive_and_audit, audit, cut_records, manifest, merkle_levels, read_archives, records, write_archives
 
@@ -51,3 +52,29 @@ def test_damage_is_located(spark, tmp_path):
     lost = [r for (a, _), r in found.items() if a == number(second)]
     assert len(lost) == 1 and lost[0].in_mine and not lost[0].in_theirs
     assert sum(a == number(third) for a, _ in found) == want.where(f"archive = {number(third)}").count()
+
+
+def test_copies_of_a_row_are_spread(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}", "x") for i in range(300)] + [(7, "http://h/7", "<p>7", "x")] * 150
+    rows += [(None, None, None, "x")] * 150
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive string").repartition(5)
+    got = archive_and_audit(pages, per_archive=20, fan=4, levels=2).collect()
+    assert len(got) == 600 and all(r.intact for r in got)
+    by_archive = {}
+    for r in got:
+        by_archive.setdefault(r.archive, []).append(r)
+    assert max(map(len, by_archive.values())) <= 80
+    assert sorted((r.page_id is None, r.page_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    for found in by_archive.values():
+        assert sorted(r.record_no for r in found) == list(range(len(found)))
+        assert len({r.archive_root for r in found}) == 1
+    # The root covers every record, those beyond fan^levels too.
+    a, found = next((a, f) for a, f in by_archive.items() if len(f) > 16)
+    level = [(r.record_offset, r.record_offset + r.record_length, r.record_sha256) for r in sorted(found, key=lambda r: r.record_no)]
+    depth = 0
+    while depth < 2 or len(level) > 1 or 4**depth < max(map(len, by_archive.values())):
+        level = [level[k : k + 4] for k in range(0, len(level), 4)]
+        join = lambda c: hashlib.sha256(",".join(f"{s}:{e}:{h}" for s, e, h in c).encode()).hexdigest()
+        level = [(c[0][0], c[-1][1], join(c)) for c in level]
+        depth += 1
+    assert level[0][2] == found[0].archive_root
