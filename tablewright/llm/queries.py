@@ -14,6 +14,7 @@ from tablewright.llm.language import fit_language_model, held_out, identify
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.secrets import find_secrets, span_text
 from tablewright.llm.simhash import near_duplicates
+from tablewright.llm.substring_dedup import remove_repeated_passages
 from tablewright.llm.suffix_dedup import remove_repeats
 from tablewright.llm.toxicity import fit_severity, severity
 from tablewright.llm.warc import archive_and_audit
@@ -95,6 +96,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_audit(_table(spark, folder, "pages"))
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeated_passages(_table(spark, folder, "documents"), window=35, with_kept=False)
+    return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -197,6 +203,26 @@ SELECT leaf.*, l3.hash AS archive_root, true AS intact
 FROM leaf JOIN l3 ON l3.archive = leaf.archive AND l3.node = 0
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+passage AS (
+    SELECT doc_id, unnest([md5(array_to_string(w[i:i + 34], ' ')) for i in range(1, len(w) - 33)]) AS p,
+           unnest(range(1, len(w) - 33)) AS i
+    FROM d WHERE len(w) >= 35),
+twice AS (SELECT doc_id, i FROM passage WHERE p IN (SELECT p FROM passage GROUP BY p HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM twice),
+judged AS (SELECT doc_id, j, word, g.j IS NOT NULL AS cut FROM word LEFT JOIN gone g USING (doc_id, j)),
+run AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM judged),
+told AS (
+    SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+           string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT cut) AS kept
+    FROM run GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -208,6 +234,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_warc": op10_warc,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES = {
@@ -215,4 +242,5 @@ ORACLES = {
     "op5_secrets": OP5_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op13_substring_dedup": OP13_SQL,
 }
