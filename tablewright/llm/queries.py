@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tablewright.llm.byte_bpe import encode_documents
 from tablewright.llm.embedding_dedup import near_vectors
 from tablewright.llm.exact_dedup import exact_duplicates
+from tablewright.llm.hard_negatives import hard_negatives
 from tablewright.llm.language import fit_language_model, held_out, identify
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.prefix_trie import borrow_heads, prefix_trie, turns_of
 from tablewright.llm.secrets import find_secrets, span_text
 from tablewright.llm.simhash import near_duplicates
 from tablewright.llm.substring_dedup import remove_repeated_passages
@@ -96,6 +98,23 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_audit(_table(spark, folder, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), is_anchor=F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation c begins with the first crc32(c) % 6 turns of conversation c - c % 100."""
+    turns, members = borrow_heads(
+        turns_of(_table(spark, folder, "conversations")),
+        base=lambda c: c - c % 100,
+        head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6,
+        most=5,
+    )
+    return prefix_trie(turns, members).drop("prefix")
+
+
 def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeated_passages(_table(spark, folder, "documents"), window=35, with_kept=False)
     return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -203,6 +222,63 @@ SELECT leaf.*, l3.hash AS archive_root, true AS intact
 FROM leaf JOIN l3 ON l3.archive = leaf.archive AND l3.node = 0
 """
 
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE) for x in embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pair AS (
+    SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM v a JOIN v b ON a.id % 50 = 0 AND len(a.v) = len(b.v) AND NOT (a.id = b.id AND a.label = b.label)),
+positive AS (
+    SELECT a, b, score FROM pair WHERE same
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER w::INTEGER AS rank, n.b AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pair n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)
+QUALIFY rank <= 3
+"""
+
+# The CRC takes each character, then eight shifts (-1).
+OP12_SQL = """
+WITH RECURSIVE turn AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+    SELECT c, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten([
+               [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(c::VARCHAR, '')])),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 6 AS h
+    FROM (SELECT c, max(pos) AS n FROM turn GROUP BY c)),
+lent AS (SELECT a.c, a.h, least(a.h, coalesce(b.n, 0)) AS m FROM conv a LEFT JOIN conv b ON b.c = a.c - a.c % 100),
+seq AS (
+    SELECT l.c, t.pos - l.h + l.m AS d, role, text FROM lent l JOIN turn t ON t.c = l.c AND t.pos > l.h
+    UNION ALL SELECT l.c, t.pos, role, text FROM lent l JOIN turn t ON t.c = l.c - l.c % 100 AND t.pos <= l.m),
+step AS (
+    SELECT c, 0::BIGINT AS d, '' AS q, NULL::VARCHAR AS above, 0::BIGINT AS chars FROM conv
+    UNION ALL
+    SELECT s.c, s.d, md5(p.q || ' ' || octet_length(encode(s.role)) || ':' || s.role || s.text), p.q, length(s.text)
+    FROM step p JOIN seq s ON s.c = p.c AND s.d = p.d + 1),
+flagged AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM step),
+node AS (
+    SELECT q, min(c) AS conv_id, min(d) AS depth, min(above) AS above, count(*) AS n_convs, min(chars) AS chars,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM flagged GROUP BY q),
+kids AS (SELECT above AS q, count(*) AS n_children FROM node WHERE above IS NOT NULL GROUP BY above),
+up AS (
+    SELECT q AS top, q, above FROM node
+    UNION ALL SELECT n.q, up.q, n.above FROM up JOIN node n ON n.q = up.above),
+below AS (
+    SELECT up.top AS q, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+    FROM up JOIN node USING (q) LEFT JOIN kids USING (q) GROUP BY up.top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM node n JOIN below USING (q) LEFT JOIN kids USING (q) LEFT JOIN node p ON p.q = n.above
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
@@ -234,6 +310,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -242,5 +320,7 @@ ORACLES = {
     "op5_secrets": OP5_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_substring_dedup": OP13_SQL,
 }
