@@ -12,15 +12,13 @@ parts is searched: one part's tree by the other part's fingerprints.
 Searching yields no pairs: a task joins what it links at once and gives back, per
 fingerprint, the smallest one it is joined with.
 
-``near_duplicates`` finds every link within a small radius. ``similar_duplicates`` is for
-similarities that lie many bits apart: it compares the shingle sets themselves, found by
-prefixes of the sets.
+``near_duplicates`` finds every link within a small radius. Texts whose similarity puts their
+fingerprints many bits apart are for ``shingle_sets``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import attach, durable, id_and_text, release, text_hash
+from tablewright.llm.common import attach, durable, id_and_text, text_hash
 from tablewright.llm.components import components
 
 BITS = 64
 #: Largest shard that one task searches as a whole.
 SHARD_ROWS = 20_000
-#: Texts whose shingles are counted for the order of prefixes, and the most shingles that are listed.
-ORDER_DOCS, MOST_FREQUENT = 10_000, 500_000
 _SLICE = 1 << 16
 
 
 def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     """SimHash of a text given as UTF-8: A-Z lower-cased, words between ASCII white space."""
-    return wide_fingerprint(text, shingle_words, 1, seed)[0]
-
-
-def wide_fingerprint(text: bytes, shingle_words: int, words64: int, seed: int = 42) -> list[int]:
-    """The SimHash and ``words64`` - 1 further ones, whose bits come from other mixtures of the same hashes."""
     words = text.lower().split()
     if not words:
-        return [0] * words64
+        return 0
     hash_of = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     size = min(shingle_words, len(words))
@@ -56,20 +47,12 @@ def wide_fingerprint(text: bytes, shingle_words: int, words64: int, seed: int =
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - size + 1
     firsts, lasts = starts[:n].tolist(), ends[size - 1 :].tolist()
-    ones = np.zeros((words64, BITS), np.int64)
+    ones = np.zeros(BITS, np.int64)
     for k in range(0, n, _SLICE):
         part = [hash_of(joined[i:j], seed) for i, j in zip(firsts[k : k + _SLICE], lasts[k : k + _SLICE], strict=True)]
-        h = np.array(part, "<u8")
-        for w in range(words64):
-            if w:
-                h = h + np.uint64(0x9E3779B97F4A7C15)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-            octets = h.view(np.uint8).reshape(-1, 8)
-            ones[w] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little")
-    return [int(x) for x in bits.view("<u8")[:, 0]]
+        octets = np.array(part, "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 class BKTree:
@@ -111,14 +94,10 @@ class BKTree:
         return found
 
 
-def joined_in_shard(
-    tree_side: list[tuple], search_side: list[tuple] | None, radius: int, wide_radius: int | None = None
-) -> list[tuple[int, int]]:
-    """(node, smallest node it is joined with) for the rows (fingerprint, node, wide) of a shard that have a link.
+def joined_in_shard(tree_side: list[tuple], search_side: list[tuple] | None, radius: int) -> list[tuple[int, int]]:
+    """(node, smallest node it is joined with) for the rows (fingerprint, node) of a shard that have a link.
 
-    With ``search_side`` None the rows of the tree search it themselves. With
-    ``wide_radius`` a link also needs that few differing bits in fingerprint and
-    wide together.
+    With ``search_side`` None the rows of the tree search it themselves.
     """
     tree, rows, parent = BKTree(radius), [], []
 
@@ -136,10 +115,6 @@ def joined_in_shard(
             other = root(j)
             if other == top:
                 continue  # joined already by a nearer way
-            if wide_radius is not None:
-                apart = (rows[j][0] ^ row[0]).bit_count() + (rows[j][2] ^ row[2]).bit_count()
-                if apart > wide_radius:
-                    continue
             if rows[other][1] < rows[top][1]:
                 top, other = other, top
             parent[other] = top
@@ -155,22 +130,18 @@ def joined_in_shard(
     return [(rows[i][1], rows[r][1]) for i in range(len(rows)) if (r := root(i)) != i]
 
 
-def fingerprints(docs: DataFrame, shingle_words: int, id_col: str, text_col: str, words64: int = 1) -> DataFrame:
-    """doc_id, row_no, text_hash, fp (the fingerprint as a long) and wide (the further ones) per row."""
+def fingerprints(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row_no, text_hash and fp (the fingerprint as a long) per row."""
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "row_no", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t.as_py(), shingle_words, words64) for t in b.column(3)]
-            found = np.array(found, np.uint64).reshape(-1, words64)
-            wide = pa.array([x.tobytes() for x in found[:, 1:].astype("<u8")], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(found[:, 0].copy().view(np.int64)), wide],
-                ["doc_id", "row_no", "text_hash", "fp", "wide"],
-            )
+            found = np.array([fingerprint(t.as_py(), shingle_words) for t in b.column(3)], np.uint64)
+            columns = [*b.columns[:3], pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_no", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long, wide binary")
+    return rows.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long")
 
 
 def equal_blocks(radius: int) -> list[int]:
@@ -183,10 +154,8 @@ def equal_blocks(radius: int) -> list[int]:
     return masks
 
 
-def shard_links(
-    values: DataFrame, masks: list[int], radius: int, shard_rows: int = SHARD_ROWS, wide_radius: int | None = None
-) -> DataFrame:
-    """Links (a, b) between the nodes of ``values`` (fp, node, wide) that lie near each other in a shard.
+def shard_links(values: DataFrame, masks: list[int], radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between the nodes of ``values`` (fp, node) that lie near each other in a shard.
 
     A shard holds the values that agree in the bits of one of the masks. At most
     one link per value and search comes out.
@@ -195,8 +164,8 @@ def shard_links(
     keys = F.array(
         *[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)]
     )
-    spread = values.select("fp", "node", "wide", F.explode(keys).alias("key"))
-    spread = spread.select("fp", "node", "wide", "key.block", "key.part")
+    spread = values.select("fp", "node", F.explode(keys).alias("key"))
+    spread = spread.select("fp", "node", "key.block", "key.part")
     sizes = durable(spread.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = attach(spread, sizes, ["block", "part"], "n")
     # Part numbers come from the value alone, so a task that runs again deals alike.
@@ -212,7 +181,6 @@ def shard_links(
         "mine",
         "fp",
         "node",
-        "wide",
     )
     keys = ["block", "part", "tree", "search"]
 
@@ -221,16 +189,15 @@ def shard_links(
             if key is None:
                 return []
             within = key[2] == key[3]
-            return joined_in_shard(sides[0], None if within else sides[1], radius, wide_radius)
+            return joined_in_shard(sides[0], None if within else sides[1], radius)
 
         now, sides, out = None, [[], []], []
         for b in batches:
-            for *key, mine, fp, node, wide in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for *key, mine, fp, node in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if tuple(key) != now:
                     out += done(now, sides)
                     now, sides = tuple(key), [[], []]
-                value = fp & 0xFFFFFFFFFFFFFFFF, node, int.from_bytes(wide, "little") if wide else 0
-                sides[int(mine != key[2])].append(value)
+                sides[int(mine != key[2])].append((fp & 0xFFFFFFFFFFFFFFFF, node))
             yield _link_batch(out)
             out = []
         yield _link_batch(done(now, sides))
@@ -265,168 +232,13 @@ def near_duplicates(
     an empty result; further columns are not read.
     """
     rows = durable(fingerprints(docs, shingle_words, id_col, text_col))
-    return _joined(rows, equal_blocks(radius), radius, shard_rows, None)
-
-
-def shingle_set(text: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's shingles (see ``fingerprint``), ascending."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    size = min(shingle_words, len(words))
-    hash_of = xxhash.xxh64_intdigest
-    found = {hash_of(b" ".join(words[i : i + size]), seed) for i in range(len(words) - size + 1)}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
-
-
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the order that all sets share: those not in ``frequent``, then its own order.
-
-    Two sets of the Jaccard similarity or more have a shingle of these in common: they
-    share at least similarity * n of the n shingles of either.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    rank = np.zeros(n, np.int64)
-    if len(frequent):
-        by_value = np.argsort(frequent, kind="stable")
-        at = np.minimum(np.searchsorted(frequent, shingles, sorter=by_value), len(frequent) - 1)
-        rank = np.where(frequent[by_value[at]] == shingles, by_value[at] + 1, 0)
-    length = n - math.ceil(similarity * n - 1e-9) + 1
-    return shingles[np.lexsort((shingles, rank))[:length]]
-
-
-def _arrays(of: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, of)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *of])))
-
-
-def _node(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
-
-
-def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """node (a hash of the shingle set) and shingles for each text (binary)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle_words) for t in b.column(0)]
-            nodes = pa.array([_node(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, _arrays(sets)], ["node", "shingles"])
+    return _joined(rows, equal_blocks(radius), radius, shard_rows)
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
 
-
-def frequent_shingles(texts: DataFrame, shingle_words: int, docs: int = ORDER_DOCS) -> np.ndarray:
-    """Shingles of more than a thousandth of a sample of texts (ten at least), the rarest first.
-
-    They only decide the order of ``prefix_of``, so what the sample misses costs time and no link.
-    """
-    share = min(1.0, docs / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = _sets(drawn, shingle_words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") >= max(10, docs // 1000)).orderBy("n", "s").limit(MOST_FREQUENT).select("s").toArrow()
-    return found["s"].to_numpy().astype(np.int64)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the Jaccard similarity or more."""
-    pairs = durable(pairs.distinct())
-    for side in ("a", "b"):
-        counts = pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-        classes = durable(sets.join(counts, "node").select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"), "n"))
-        pairs = attach(pairs, classes, [side], "n").drop("n")
-    shared, both = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    near = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b")) - 1e-6
-    return durable(pairs.where(near & (shared >= similarity * (both - shared) - 1e-6)).select("a", "b"))
-
-
-def similar_links(tokens: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (a, b) that join all nodes of the similarity or more, from (node, token): the prefixes.
-
-    First every node of a token is compared with the token's smallest and largest
-    node; after that only nodes that are not joined yet, so a large group of
-    near copies is not compared with itself.
-    """
-    spark = tokens.sparkSession
-    ends = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
-    ends = durable(ends.where("lo <> hi"))
-    release(spark)
-    shared = durable(attach(tokens, ends, ["token"], "n").select("token", "node", "lo", "hi").distinct())
-    release(spark)
-    sets = durable(sets_of(shared.select("node").distinct()))
-    stars = shared.select(F.col("node").alias("a"), F.col("lo").alias("b")).union(shared.select("node", "hi")).where("a <> b")
-    first = _similar(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets, similarity)
-    roots = durable(components(first))
-    sizes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    of_node = durable(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n"))
-    placed = durable(attach(shared.select("token", "node"), of_node, ["node"], "n").drop("n"))
-    per_root = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
-    most = F.max(F.struct("m", "root"))["root"].alias("most")
-    open_ = per_root.groupBy("token").agg(most, F.sum("m").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    placed = durable(attach(placed, durable(open_), ["token"], "n").select("token", "node", "root", F.col("root") == F.col("most"), "n").toDF("token", "node", "root", "most", "n"))
-    rest = placed.where("not most").select("token", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = placed.select("token", F.col("node").alias("a"), "root", "most").join(rest, "token")
-    pairs = pairs.where("root <> root_b and (most or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return first.union(_similar(pairs, sets, similarity))
-
-
-def similar_duplicates(
-    docs: DataFrame,
-    shingle_words: int = 5,
-    similarity: float = 0.8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Components of texts whose shingle sets have the Jaccard similarity or more; as ``near_duplicates``.
-
-    No link is lost, whatever the size of the table: of each set of n shingles the first
-    n - ceil(similarity * n) + 1 in an order common to all sets are looked up, and two
-    sets of the similarity share one of them. The order puts frequent shingles
-    last. The sets themselves decide each link; equal ones are one node.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must lie in (0, 1]")
-    whole = id_and_text(docs, id_col, text_col)
-    texts = whole.select(F.col("text").cast("binary").alias("text"))
-    frequent = frequent_shingles(texts, shingle_words)
-    whole = whole.select("doc_id", "row_no", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("binary"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [t.as_py() for t in b.column(3)]
-            fp = np.array([fingerprint(t, shingle_words) for t in found], np.uint64).view(np.int64)
-            sets = [shingle_set(t, shingle_words) for t in found]
-            nodes = pa.array([_node(x) for x in sets], pa.int64())
-            prefixes = _arrays([prefix_of(x, frequent, similarity) for x in sets])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(fp), nodes, prefixes], ["doc_id", "row_no", "text_hash", "fp", "node", "prefix"]
-            )
-
-    rows = durable(
-        whole.mapInArrow(run, "doc_id long, row_no long, text_hash long, fp long, node long, prefix array<long>")
-    )
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        known = rows.groupBy("node", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-        hashes = known.join(nodes, "node").groupBy("text_hash").agg(F.sum("n").alias("n"))
-        wanted = attach(whole.select("text_hash", "text"), durable(hashes), ["text_hash"], "n").select("text")
-        return _sets(wanted, shingle_words).groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-    tokens = rows.select("node", F.explode("prefix").alias("token"))
+def _joined(rows: DataFrame, masks: list[int], radius: int, shard_rows: int) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("best")
-    values = durable(rows.groupBy("node").agg(best, F.count(F.lit(1)).alias("n_rows")))
-    return _components_of(rows, values, ["node"], similar_links(tokens, sets_of, similarity))
-
-
-def _joined(rows: DataFrame, masks: list[int], radius: int, shard_rows: int, wide_radius: int | None) -> DataFrame:
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("best")
-    values = durable(
-        rows.groupBy("fp", "wide").agg(best, F.count(F.lit(1)).alias("n_rows")).withColumn("node", F.col("best.row_no"))
-    )
-    links = shard_links(values.select("fp", "node", "wide"), masks, radius, shard_rows, wide_radius)
-    return _components_of(rows, values, ["fp", "wide"], links)
+    values = durable(rows.groupBy("fp").agg(best, F.count(F.lit(1)).alias("n_rows")).withColumn("node", F.col("best.row_no")))
+    return _components_of(rows, values, ["fp"], shard_links(values.select("fp", "node"), masks, radius, shard_rows))
 
 
 def _components_of(rows: DataFrame, values: DataFrame, keys: list[str], links: DataFrame) -> DataFrame:

@@ -113,12 +113,12 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-class _Bundle:
+class Bundle:
     """The texts of a bundle with their word places."""
 
     def __init__(self, payload: bytes):
         table = pa.ipc.open_stream(payload).read_all().combine_chunks()
-        self.rows = table.select(["doc_id"])
+        self.rows = table.drop_columns(["text"])
         texts = table["text"].combine_chunks()
         offsets, data = texts.buffers()[1:]
         self.cuts = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8).copy()
@@ -133,8 +133,8 @@ class _Bundle:
         return word_hashes(self.data, self.starts, self.ends, seed)
 
 
-def _bundles(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int) -> DataFrame:
-    """bundle, n_words and payload (Arrow stream of doc_id and text); a text is never cut."""
+def bundles_of(rows: DataFrame, bundle_bytes: int) -> DataFrame:
+    """bundle, n_words and payload (Arrow stream of the columns) from rows with text (binary); a text is never cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, 0
@@ -146,7 +146,7 @@ def _bundles(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int) ->
             with pa.ipc.new_stream(sink, table.schema, options=options) as out:
                 out.write_table(table.combine_chunks())
             payload = sink.getvalue().to_pybytes()
-            words = len(_Bundle(payload).starts)
+            words = len(Bundle(payload).starts)
             first = pa.array([(part << 33) + n], pa.int64())
             return pa.RecordBatch.from_arrays(
                 [first, pa.array([words], pa.int64()), pa.array([payload], pa.binary())], ["bundle", "n_words", "payload"]
@@ -155,9 +155,10 @@ def _bundles(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int) ->
         for b in batches:
             if not len(b):
                 continue
-            part = b.column(2)[0].as_py()
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.large_binary())], ["doc_id", "text"])
-            lengths = np.diff(np.frombuffer(b.column(1).buffers()[1], np.int64, len(b) + 1, b.column(1).offset * 8))
+            part, text = b.column("part")[0].as_py(), b.column("text").cast(pa.large_binary())
+            b = b.drop_columns(["part"])
+            b = b.set_column(b.schema.get_field_index("text"), "text", text)
+            lengths = np.diff(np.frombuffer(text.buffers()[1], np.int64, len(b) + 1, text.offset * 8))
             start = 0
             for i, k in enumerate(lengths.tolist()):
                 if size and size + k > bundle_bytes:
@@ -169,15 +170,11 @@ def _bundles(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int) ->
         if held:
             yield close()
 
-    rows = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"),
-        F.spark_partition_id().cast("long").alias("part"),
-    )
+    rows = rows.withColumn("part", F.spark_partition_id().cast("long"))
     return rows.mapInArrow(run, "bundle long, n_words long, payload binary")
 
 
-def _cut_by_range(ascending: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, int]]:
+def cut_by_range(ascending: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, int]]:
     """(part, from, to) of sorted numbers of ``bits`` bits, by equal ranges of their values."""
     edges = [-(-(p << bits) // parts) for p in range(1, parts)]
     cuts = [0, *np.searchsorted(ascending, np.array(edges, np.uint64)).tolist(), len(ascending)]
@@ -188,7 +185,7 @@ def _cut_by_range(ascending: np.ndarray, bits: int, parts: int) -> Iterator[tupl
 
 def _probes(payload: bytes, block: int, bits: int) -> np.ndarray:
     """Each distinct probe of a bundle times four, plus two if it occurs again in it, plus one if a block."""
-    b = _Bundle(payload)
+    b = Bundle(payload)
     found = rolling(b.hashes(1), block) >> _U(64 - bits)
     place = np.arange(len(found)) - b.first[b.of_text[: len(found)]]
     keys = (found << _U(1)) + (place % block == 0).astype(np.uint64)
@@ -219,7 +216,7 @@ def _hits(probes: list[np.ndarray]) -> list[np.ndarray]:
     return [values[s:e][hit[s:e]] for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+def member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     if not len(ascending):
         return np.zeros(len(values), bool)
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
@@ -227,9 +224,9 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 def _candidates(payload: bytes, hits: np.ndarray, block: int, window: int, bits: int) -> tuple[np.ndarray, ...]:
     """Both hashes of each distinct passage over a hit, ascending, and whether it occurs again in the bundle."""
-    b = _Bundle(payload)
+    b = Bundle(payload)
     one, two = b.hashes(1), b.hashes(2)
-    hit = _member(rolling(one, block) >> _U(64 - bits), hits)
+    hit = member(rolling(one, block) >> _U(64 - bits), hits)
     seen = np.concatenate([[0], np.cumsum(hit & whole_windows(b.of_text, block))])
     whole = whole_windows(b.of_text, window)
     n = len(whole)
@@ -303,7 +300,8 @@ def remove_repeated_passages(
     if window < 2:
         raise ValueError("a window has two words at least")
     block = (window + 1) // 2
-    bundles = durable(_bundles(docs, id_col, text_col, bundle_bytes))
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text")
+    bundles = durable(bundles_of(docs.select(docs[id_col].cast("long").alias("doc_id"), text), bundle_bytes))
     total = bundles.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, math.ceil(total / part_hashes))
     bits = min(62, total.bit_length() + SPARE_BITS)
@@ -313,7 +311,7 @@ def remove_repeated_passages(
         for b in batches:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = _probes(payload.as_py(), block, bits)
-                cut = list(_cut_by_range(found, bits + 2, parts))
+                cut = list(cut_by_range(found, bits + 2, parts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p for p, _, _ in cut], pa.int32()),
@@ -340,7 +338,7 @@ def remove_repeated_passages(
                 continue
             hits = np.sort(np.concatenate([unpack(x.as_py()) for x in right["hits"]]))
             one, two, again = _candidates(payload.as_py(), hits, block, window, bits)
-            for p, s, e in _cut_by_range(one, 64, parts):
+            for p, s, e in cut_by_range(one, 64, parts):
                 out.append((p, bundle, pack(one[s:e]), _low_bytes(two[s:e], more), np.packbits(again[s:e]).tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -369,13 +367,13 @@ def remove_repeated_passages(
         mask = _U((1 << 8 * width) - 1)
         ids, out = [], []
         for payload in left["payload"]:
-            b = _Bundle(payload.as_py())
+            b = Bundle(payload.as_py())
             gone = np.zeros(len(b.starts), bool)
             if right.num_rows:
                 one = np.concatenate([unpack(x.as_py()) for x in right["one"]])
                 two = np.concatenate([_from_low_bytes(x.as_py(), width) for x in right["two"]])
                 a, c = rolling(b.hashes(1), window), rolling(b.hashes(2), window) & mask
-                found = _member(a, np.sort(one)) & whole_windows(b.of_text, window)
+                found = member(a, np.sort(one)) & whole_windows(b.of_text, window)
                 pairs = set(zip(one.tolist(), two.tolist(), strict=True)) if len(np.unique(one)) < len(one) else None
                 if pairs is None and len(one):
                     order = np.argsort(one)
@@ -407,7 +405,7 @@ def remove_repeated_passages(
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))
 
 
-def _results(b: _Bundle, gone: np.ndarray, with_kept: bool) -> list[tuple]:
+def _results(b: Bundle, gone: np.ndarray, with_kept: bool) -> list[tuple]:
     """(n_words, n_removed, spans, kept, kept_sha256) of each text of a bundle."""
     whole, out = b.data.tobytes(), []
     for i, (s, e) in enumerate(zip(b.first[:-1].tolist(), b.first[1:].tolist(), strict=True)):

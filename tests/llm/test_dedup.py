@@ -10,7 +10,8 @@ import xxhash
 from tablewright.llm.components import components
 from tablewright.llm.embedding_dedup import joined_groups, near_vectors, tile_links
 from tablewright.llm.exact_dedup import exact_duplicates
-from tablewright.llm.simhash import BKTree, fingerprint, near_duplicates, similar_duplicates
+from tablewright.llm.shingle_sets import similar_duplicates
+from tablewright.llm.simhash import BKTree, fingerprint, near_duplicates
 from tablewright.llm.suffix_dedup import AnchorFinder, common_classes, merged, remove_repeats
 
 DOCS = "doc_id long, text string, keep_id string, kept string, row_no string"
