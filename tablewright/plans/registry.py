@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profile_queries", "merge_queries", "cleaning_queries", "advice_queries", "run_queries", "model_queries")
+MODULES = (
+    "profile_queries", "merge_queries", "cleaning_queries", "advice_queries", "run_queries", "model_queries", "recommend_queries",
+    "cluster_queries", "encoding_queries",
+)
 
 
 def _merged(attribute: str) -> dict:
