@@ -78,20 +78,19 @@ def random_part(candidate: Column, bits: Column, window: int) -> Column:
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     gain = _gain(window)
     state = F.struct(
+        F.lit(0).alias("i"),
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
         F.lit(0.0).alias("total"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
-    steps = F.transform(
-        codes,
-        lambda c, i: F.struct(
-            i.alias("i"), c.alias("into"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("out")
-        ),
-    )
+    # Entering and leaving characters are paired once: a lambda that named the array would build it at every step.
+    behind = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    steps = F.zip_with(codes, behind, lambda c, o: F.struct(c.alias("into"), o.alias("out")))
+    steps = F.filter(steps, lambda x: x["into"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
-        i, into, out = x["i"], x["into"], x["out"]
+        i, into, out = acc["i"], x["into"], x["out"]
         had = F.get(acc["counts"], into)
         left = F.get(acc["counts"], out) + (into == out).cast("int")
         total = acc["total"] + F.get(gain, had + 1) - F.get(gain, had)
@@ -99,6 +98,7 @@ def random_part(candidate: Column, bits: Column, window: int) -> Column:
         counts = F.transform(acc["counts"], lambda n, k: n + (k == into).cast("int") - (k == out).cast("int"))
         high = (i >= window - 1) & (math.log2(window) - total / window >= bits)
         return F.struct(
+            (i + 1).alias("i"),
             counts.alias("counts"),
             total.alias("total"),
             F.when(acc["first"].isNull() & high, i - (window - 1)).otherwise(acc["first"]).alias("first"),
@@ -140,7 +140,8 @@ def find_secrets(
     end exclusive. Assignments, access keys and long hexadecimal strings are always
     reported. Other strings of ``window`` characters or more are candidates; what
     their high-entropy windows cover is reported as "entropy", unless the string
-    matches ``allow`` or touches a base span. Null and empty texts have no spans;
+    matches ``allow`` or touches a base span. The work per character does not depend on
+    the length of a string or text. Null and empty texts have no spans;
     repeated rows are judged alike; an empty table stays empty. A column called
     ``into`` is replaced.
     """

@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import string
+import time
 
 import numpy as np
 import pytest
@@ -77,6 +79,25 @@ def language_rows(n=240):
     return rows
 
 
+def test_a_long_run_takes_time_in_proportion(spark):
+    """A run of 400,000 mixed characters, as an embedded picture has, against one of 50,000."""
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits + "+/"
+
+    def seconds(n):
+        run = "".join(rng.choices(letters, k=n))
+        frame = spark.createDataFrame([(1, f"before {run} after")], "doc_id long, text string")
+        started = time.perf_counter()
+        spans = find_secrets(frame, into="spans").first()["spans"]
+        # From the first window of high entropy to the last one.
+        assert len(spans) == 1 and spans[0]["kind"] == 3
+        assert 7 <= spans[0]["start"] < 40 and 7 + n - 40 < spans[0]["end"] <= 7 + n
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(400_000) < 24 * max(seconds(50_000), 0.5)
+
+
 def test_language(spark):
     rows = language_rows()
     extra = [(1000, None, "en", "x"), (1001, "", "de", "x"), (1002, "123 !?", "fr", "x"), (None, "der die und nicht ist das ein zu auf für " * 3, None, "x"), (1003, "the and of " * 90000, None, "x"), (3, rows[3][1], "en", "x")]
