@@ -17,8 +17,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, LEAST = 4096, 64
-#: White-space pieces whose ids a task remembers; beyond it the memory starts anew.
-MEMO_PIECES = 400_000
+#: White-space pieces whose ids a task remembers, as bytes (some 150 bytes each in all); beyond it the memory starts anew.
+MEMO_PIECES = 1_000_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -58,7 +58,8 @@ class WordIds:
         if not all(t.content.startswith("<") and not set(t.content) & set(" \t\n\r\f\v") for t in added):
             raise ValueError("added tokens must start with < and have no white space")
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit numbers in the machine's order."""
         memo = self.memo
         if len(memo) > MEMO_PIECES:
             memo.clear()
@@ -68,10 +69,10 @@ class WordIds:
         other = [p for p in new if not (p.isascii() and p.isalpha())]
         merges = self.tokenizer.model.tokenize
         for p in new.difference(other):
-            memo[p] = [t.id for t in merges(p.lower())]
+            memo[p] = array("I", [t.id for t in merges(p.lower())]).tobytes()
         for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            memo[p] = e.ids
-        out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+            memo[p] = array("I", e.ids).tobytes()
+        out = b"".join(map(memo.__getitem__, pieces))
         for p in new:
             if len(p) > 256:
                 del memo[p]
@@ -81,16 +82,16 @@ class WordIds:
 class Packer:
     """Fills the bins of one worker; emits placed pieces as rows."""
 
-    def __init__(self, worker: int, capacity: int, least: int):
-        self.capacity, self.least = capacity, least
+    def __init__(self, worker: int, capacity: int, least: int, with_ids: bool = True):
+        self.capacity, self.least, self.with_ids = capacity, least, with_ids
         self.next_sequence = worker << 32
         self.open: dict[int, list[tuple[int, int, np.ndarray, int]]] = {}
         self.rows: list[tuple] = []
 
     def put(self, sequence: int, offset: int, piece: tuple[int, int, np.ndarray, int]) -> None:
         doc_id, start, ids, total = piece
-        raw = ids.tobytes()
-        self.rows.append((doc_id, start, len(ids), zlib.crc32(raw), total, sequence, offset, raw))
+        raw = ids.tobytes() if self.with_ids else None
+        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids), total, sequence, offset, raw))
 
     def sequence(self) -> int:
         self.next_sequence += 1
@@ -158,19 +159,20 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(spec)
-        packer = Packer(TaskContext.get().partitionId(), capacity, least)
+        packer, end = Packer(TaskContext.get().partitionId(), capacity, least, with_ids), array("I", [end_id]).tobytes()
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*packer.rows, strict=True)) or [()] * 8
             packer.rows = []
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
-            ids = pa.array(columns[7], pa.binary()) if with_ids else pa.nulls(len(columns[7]), pa.binary())
+            ids = pa.array(columns[7], pa.binary())
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             return pa.RecordBatch.from_arrays([*arrays, ids], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc_id.as_py(), np.array([*words.ids(text.as_py() or ""), end_id], "<u4"))
+                ids = np.frombuffer(words.ids(text.as_py() or "") + end, np.uint32)
+                packer.add(doc_id.as_py(), ids.astype("<u4", copy=False))
                 if len(packer.rows) >= 20_000:
                     yield flush()
         packer.finish()
