@@ -11,8 +11,9 @@ import base64
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces of text whose ids a task remembers; beyond it the memory starts anew.
-MEMO_PIECES = 200_000
+#: Pieces of text whose ids a task remembers, as bytes (some 150 bytes each in all); beyond it the memory starts anew.
+MEMO_PIECES = 1_000_000
+#: Pre-tokens outside the vocabulary that it remembers likewise.
+MEMO_TOKENS = 300_000
 _WIDE_GAP = re.compile(r" (?:\s|$)")
 SCHEMA = "doc_id long, ids binary, decoded_sha256 string, n_tokens long, ids_sha256 string"
 
@@ -101,8 +104,9 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str, shift: np.ndarray | None = None):
         self.tokens, self.table, self.split = tokens, PerfectHash(tokens, shift), regex.compile(pattern)
         self.rank = {t: i for i, t in enumerate(tokens)}
-        self.memo: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
+        # Bytes, unlike lists, are nothing that Python's collector has to walk.
+        self.memo: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary: always the pair of least rank, then leftmost."""
@@ -139,29 +143,28 @@ class Codec:
             i = after[i]
         return out
 
-    def piece_ids(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def piece_ids(self, piece: str) -> bytes:
+        out = []
         for token in self.split.findall(piece):
             ids = self.known.get(token)
             if ids is None:
                 raw = token.encode()
                 rank = self.table.get(raw)
-                ids = [rank] if rank >= 0 else self.merge(raw)
+                ids = rank.to_bytes(4, "little") if rank >= 0 else _packed(self.merge(raw))
                 if len(raw) <= 64:
-                    if len(self.known) >= MEMO_PIECES:
+                    if len(self.known) >= MEMO_TOKENS:
                         self.known.clear()
                     self.known[token] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text.
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit numbers.
 
         A space before a character that is no space always starts a match of the
         pattern, so the text is cut there and equal pieces are looked up once.
         """
-        memo, parts = self.memo, text.split(" ")
-        pieces = [parts[0], *[" " + p for p in parts[1:]]]
+        memo, pieces = self.memo, text.replace(" ", "\0 ").split("\0") if "\0" not in text else _cut(text)
         if _WIDE_GAP.search(text):
             # A piece that starts with white space after its space belongs to the one before.
             joined = pieces[:1]
@@ -176,14 +179,27 @@ class Codec:
         new = set(pieces).difference(memo)
         for piece in new:
             memo[piece] = self.piece_ids(piece)
-        out = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        out = b"".join(map(memo.__getitem__, pieces))
         for piece in new:
             if len(piece) > 256:
                 del memo[piece]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _cut(text: str) -> list[str]:
+    """The text cut before each space."""
+    parts = text.split(" ")
+    return [parts[0], *[" " + p for p in parts[1:]]]
 
 
 def encode_documents(
@@ -205,12 +221,11 @@ def encode_documents(
         for batch in batches:
             packed, counts, shas, decoded = [], [], [], []
             for text in batch.column(1):
-                ids = codec.encode(text.as_py() or "")
-                raw = np.array(ids, "<u4").tobytes()
+                raw = codec.encode(text.as_py() or "")
                 packed.append(raw if with_ids else None)
-                counts.append(len(ids))
+                counts.append(len(raw) // 4)
                 shas.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(raw)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
