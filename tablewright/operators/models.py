@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.ml.classification import (
     GBTClassifier,
+    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
@@ -46,6 +47,8 @@ KNN_SPACE = {
     "weights": ("choice", ["uniform", "distance"]),
     "p": ("choice", [1, 2]),
 }
+LASSO_SPACE = {"alpha": ("loguniform", 1e-4, 1e1)}
+SVM_SPACE = {"C": ("loguniform", 1e-3, 1e3)}
 MLP_SPACE = {
     "hidden_layer_sizes": ("choice", [(64,), (128,), (64, 32)]),
     "learning_rate_init": ("loguniform", 1e-4, 1e-2),
@@ -96,6 +99,31 @@ def _ridge(params, shape):
     )
 
 
+def _lasso(params, shape):
+    return LinearRegression(
+        featuresCol=FEATURES,
+        labelCol=LABEL,
+        regParam=params.get("alpha", 1.0),
+        elasticNetParam=1.0,
+        standardization=False,
+        maxIter=params.get("max_iter", 1000),
+    )
+
+
+def _svm(params, shape):
+    """Linear machine with hinge loss; more than two classes are told one from the rest."""
+    one = LinearSVC(
+        featuresCol=FEATURES,
+        labelCol=LABEL,
+        maxIter=params.get("max_iter", 200),
+        regParam=1.0 / (params.get("C", 1.0) * max(1, shape.rows)),
+        standardization=False,
+    )
+    if shape.classes <= 2:
+        return one
+    return OneVsRest(classifier=one, featuresCol=FEATURES, labelCol=LABEL)
+
+
 def _forest(kind):
     def build(params, shape):
         return kind(
@@ -193,10 +221,12 @@ CLASSIFIERS = {
     "xgb": Family("xgb", BOOSTED_SPACE, _boosted_classes),
     "knn": Family("knn", KNN_SPACE, _knn(True)),
     "mlp": Family("mlp", MLP_SPACE, _mlp),
+    "svm": Family("svm", SVM_SPACE, _svm),
 }
 REGRESSORS = {
     "linreg": Family("linreg", {}, _linreg),
     "ridge": Family("ridge", RIDGE_SPACE, _ridge),
+    "lasso": Family("lasso", LASSO_SPACE, _lasso),
     "rf": Family("rf", FOREST_SPACE, _forest(RandomForestRegressor)),
     "xgb": Family("xgb", BOOSTED_SPACE, _boosted(GBTRegressor)),
     "knn": Family("knn", KNN_SPACE, _knn(False)),

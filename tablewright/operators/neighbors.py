@@ -1,7 +1,11 @@
-"""Exact nearest neighbours as a partial top-k per train block and a merge.
-
-Distances are computed block against block inside the tasks and only the best
-``k`` per query row leave a block, so no pair table ever exists.
+"""Exact nearest neighbours by cells around pivots.
+
+Train rows lie in the cell of their nearest pivot. A query is searched in its nearest
+cells first, which gives a bound on the distance of its k-th neighbour; by the triangle
+inequality a cell, and within it a row, whose distance to the pivot differs by more than
+the bound cannot hold a nearer one. So a query goes to the cells that can matter only,
+block against block inside the tasks, and only its best ``k`` leave a block. Queries
+never pass through the driver; pivots and one line per cell do, and are bounded.
 """
 
 from __future__ import annotations
@@ -10,47 +14,62 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.missing import quoted
-from tablewright.operators.joins import materialize
-from tablewright.session import local_frame
+from tablewright.session import durable, local_frame
 
-QUERY_BLOCK_CELLS = 16_000_000
-BLOCK_ROWS = 4_096
+#: Rows of a block of a cell, queries of a block, and the most cells.
+BLOCK_ROWS, QUERY_ROWS, MOST_CELLS = 4_096, 4_096, 1_024
 QUERY_STEP = 256
 FOUND = "query_id long, neighbor_id long, distance double, outcome double"
+_SLACK = 1e-6  # distances are rounded to so many
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Distances of each row of a to each row of b."""
+    total = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        gap = a[:, d, None] - b[None, :, d]
+        total += np.abs(gap) if p == 1 else gap * gap
+    return np.sqrt(total) if p == 2 else total
+
 
+def _best(queries: np.ndarray, q_ids, near, train: np.ndarray, t_ids, radius, outcome, k: int, p: int, skip_self: bool) -> pa.Table:
+    """The k nearest train rows of each query row, ties to the lower id.
 
-def _best(queries: np.ndarray, q_ids, train: np.ndarray, t_ids, outcome, k: int, p: int, skip_self: bool):
-    """The k nearest train rows of each query row, ties to the lower id."""
+    ``near`` is the distance and bound of each query, ``radius`` the distance of each train
+    row, all to the cell's pivot: rows that differ by more than the bound are passed over.
+    """
     by_id = np.argsort(t_ids, kind="stable")
-    train, t_ids, outcome = train[by_id], t_ids[by_id], outcome[by_id]
-    found = []
+    train, t_ids, radius, outcome = train[by_id], t_ids[by_id], radius[by_id], outcome[by_id]
+    to_pivot, bound = near
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    order = np.argsort(to_pivot, kind="stable")
     for start in range(0, len(queries), QUERY_STEP):
-        block, ids = queries[start : start + QUERY_STEP], q_ids[start : start + QUERY_STEP]
-        dist = np.zeros((len(block), len(train)))
-        for d in range(queries.shape[1]):
-            gap = block[:, d, None] - train[None, :, d]
-            dist += np.abs(gap) if p == 1 else gap * gap
-        dist = np.round(np.sqrt(dist) if p == 2 else dist, 6)
+        some = order[start : start + QUERY_STEP]
+        reach = bound[some] + _SLACK * (1 + to_pivot[some])
+        low, high = (to_pivot[some] - reach).min(), (to_pivot[some] + reach).max()
+        able = np.flatnonzero((radius >= low) & (radius <= high))
+        if not len(able):
+            continue
+        ids, held = q_ids[some], t_ids[able]
+        dist = np.round(_gaps(queries[some], train[able], p), 6)
         if skip_self:
-            dist[ids[:, None] == t_ids[None, :]] = np.inf
+            dist[ids[:, None] == held[None, :]] = np.inf
         # The train rows are in id order, so a stable sort breaks ties by id.
-        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        gaps = np.take_along_axis(dist, order, axis=1)
-        part = pd.DataFrame(
-            {
-                "query_id": np.repeat(ids, order.shape[1]),
-                "neighbor_id": t_ids[order].ravel(),
-                "distance": gaps.ravel(),
-                "outcome": outcome[order].ravel(),
-            }
-        )
-        found.append(part[np.isfinite(part["distance"])])
-    return pd.concat(found, ignore_index=True)
+        first = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        gaps = np.take_along_axis(dist, first, axis=1).ravel()
+        kept = np.isfinite(gaps)
+        found = (np.repeat(ids, first.shape[1]), held[first].ravel(), gaps, outcome[able][first].ravel())
+        for c, v in zip(columns, found, strict=True):
+            c.append(v[kept])
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    names = ("query_id", "neighbor_id", "distance", "outcome")
+    empty = [np.zeros(0, t.to_pandas_dtype()) for t in kinds]
+    return pa.table({n: pa.array(np.concatenate([e, *c]), t) for n, e, c, t in zip(names, empty, columns, kinds, strict=True)})
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
@@ -60,6 +79,11 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "neighbor_id", "distance", "outcome")
 
 
+def _matrix(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -72,69 +96,106 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, neighbor_id, distance, outcome) of the ``k`` nearest train rows.
 
-    Vectors are arrays of numbers, ids are unique whole numbers. Queries that
-    fit a broadcast (counted first) are sent to every train block. More of them
-    are cut into blocks that meet the train blocks in a shuffle.
+    Vectors are arrays of numbers of one length, ids are unique whole numbers; copies of a
+    query get one answer. Rows without id or vector, or with a vector of another length
+    than the train rows' first, are left out. ``p`` is 1 (Manhattan) or 2 (Euclidean);
+    distances are rounded to six places, ties go to the lower id. Without train rows the result
+    is empty. A query moves once for each cell it can have neighbours in.
     """
-    width = queries.select(F.max(F.size(quoted(vector)))).first()[0] or 1
-    limit = max(1, QUERY_BLOCK_CELLS // width)
+    if p not in (1, 2):
+        raise ValueError("p is 1 or 2")
+    spark = queries.sparkSession
     q = queries.select(quoted(id_col).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v"))
-    q = q.dropDuplicates(["id"])  # copies of a row get the same answer
     t = train.select(
         quoted(id_col).cast("long").alias("id"),
         quoted(vector).cast("array<double>").alias("v"),
         quoted(outcome).cast("double").alias("y"),
-    )
-    held = materialize(q, limit)
-    if held.small:
-        return _merge(_against_broadcast(held.df, t, k, p, skip_self), k)
-    return _merge(_block_against_block(held.df, held.rows, t, k, p, skip_self), k)
-
-
-def _matrix(vectors) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=float)
-
-
-def _against_broadcast(q: DataFrame, t: DataFrame, k: int, p: int, skip_self: bool) -> DataFrame:
-    pdf = q.toPandas()
-    if pdf.empty:
-        return local_frame(q.sparkSession, [], FOUND)
-    shared = q.sparkSession.sparkContext.broadcast((_matrix(pdf["v"]), pdf["id"].to_numpy()))
-    # Fewer, larger train parts send fewer partial results to the merge.
-    parts = max(1, 2 * q.sparkSession.sparkContext.defaultParallelism)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, ids = shared.value
-        best = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            part = _best(rows, ids, _matrix(batch["v"]), batch["id"].to_numpy(), batch["y"].to_numpy(), k, p, skip_self)
-            best = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = best.sort_values(["query_id", "distance", "neighbor_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return t.coalesce(parts).mapInPandas(search, FOUND)
-
-
-def _block_against_block(q: DataFrame, rows: int, t: DataFrame, k: int, p: int, skip_self: bool) -> DataFrame:
-    """Every query block meets every train block in a task of its own."""
-    q_blocks = max(1, math.ceil(rows / BLOCK_ROWS))
-    t_blocks = max(1, math.ceil(t.count() / BLOCK_ROWS))
-    q_block = F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")
-    t_block = F.pmod(F.xxhash64("id"), F.lit(t_blocks)).cast("int")
-    left = q.select("*", q_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"))
-    right = t.select("*", t_block.alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": [], "outcome": []})
+    ).where("id is not null and v is not null")
+    n = t.count()
+    drawn = t.orderBy(F.xxhash64("id"), "id").limit(min(MOST_CELLS, max(1, math.ceil(n / BLOCK_ROWS)))).collect()
+    if not drawn:
+        return local_frame(spark, [], "query_id long, rank int, neighbor_id long, distance double, outcome double")
+    width = len(drawn[0]["v"])
+    pivots = np.array([r["v"] for r in drawn if len(r["v"]) == width], float)
+    need = k + int(skip_self)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gaps = _gaps(_matrix(b.column(1), width), pivots, p)
+            cell = gaps.argmin(axis=1)
+            more = [pa.array(cell.astype(np.int32)), pa.array(gaps[np.arange(len(gaps)), cell])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], ["id", "v", "y", "cell", "r"])
+
+    rows = t.where(F.size("v") == width).mapInArrow(place, "id long, v array<double>, y double, cell int, r double")
+    rows = durable(rows)
+    known = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()
+    size, low, high = (np.zeros(len(pivots)) for _ in range(3))
+    for r in known:  # one row per cell
+        size[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    cells = local_frame(spark, [(i, int(-(-m // BLOCK_ROWS))) for i, m in enumerate(size) if m], "cell int, blocks int")
+
+    def first_cells(gaps: np.ndarray) -> list[np.ndarray]:
+        """For each query the nearest cells that hold as many rows as are needed."""
+        order = np.argsort(np.where(size > 0, gaps, np.inf), axis=1, kind="stable")
+        enough = np.cumsum(size[order], axis=1) >= need
+        upto = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, int((size > 0).sum()))
+        return [o[:u] for o, u in zip(order, upto, strict=True)]
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gaps = _gaps(_matrix(b.column(1), width), pivots, p)
+            yield _aimed(b, [c.tolist() for c in first_cells(gaps)], gaps, np.full(len(b), np.inf))
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gaps, bound = _gaps(_matrix(b.column(1), width), pivots, p), b.column(2).to_numpy(zero_copy_only=False)
+            slack = _SLACK * (1 + gaps)
+            can = (size > 0) & (np.maximum(gaps - high, low - gaps) - slack <= bound[:, None])
+            for i, seen in enumerate(first_cells(gaps)):
+                can[i, seen] = False
+            yield _aimed(b, [np.flatnonzero(c).tolist() for c in can], gaps, bound)
+
+    aimed = "id long, v array<double>, cell int, r double, bound double"
+    asked = q.where(F.col("id").isNotNull() & (F.size("v") == width)).dropDuplicates(["id"])
+    if len(known) == 1:
+        return _merge(_search(asked.mapInArrow(aim, aimed), rows, cells, width, k, p, skip_self), k)
+    asked = durable(asked)
+    first = durable(_merge(_search(asked.mapInArrow(aim, aimed), rows, cells, width, k, p, skip_self), k))
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+    bounded = asked.join(kth, "id", "left").select("id", "v", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
+    rest = _search(bounded.mapInArrow(go_on, aimed), rows, cells, width, k, p, skip_self)
+    return _merge(first.drop("rank").unionByName(rest), k)
+
+
+def _aimed(b: pa.RecordBatch, cells: list[list[int]], gaps: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+    """Each query once for each of its cells, with its distance to the pivot and its bound."""
+    who = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    which = np.array([c for mine in cells for c in mine], np.int64)
+    at = pa.array(who)
+    columns = [b.column(0).take(at), b.column(1).take(at), pa.array(which.astype(np.int32)), pa.array(gaps[who, which]), pa.array(bound[who])]
+    return pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "r", "bound"])
+
+
+def _search(aimed: DataFrame, rows: DataFrame, cells: DataFrame, width: int, k: int, p: int, skip_self: bool) -> DataFrame:
+    """The best rows of each cell's blocks for the queries sent to it, block of queries by block of rows."""
+    small = F.broadcast(cells)  # one row per cell
+    count = aimed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("q_blocks"))
+    count = F.broadcast(count)  # one row per cell
+    left = aimed.join(small, "cell").join(count, "cell").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int"))
+    left = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "q_blocks")
+    right = rows.join(small, "cell").join(count, "cell").withColumn("tb", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).drop("blocks", "q_blocks")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        near = a["r"].to_numpy(), a["bound"].to_numpy()
+        y = b["y"].to_numpy().astype(float) if b.num_rows else np.zeros(0)
         return _best(
-            _matrix(a["v"]), a["id"].to_numpy(), _matrix(b["v"]), b["id"].to_numpy(), b["y"].to_numpy(), k, p, skip_self
+            _matrix(a["v"], width), a["id"].to_numpy(), near, _matrix(b["v"], width), b["id"].to_numpy(), b["r"].to_numpy(), y, k, p, skip_self
         )
 
-    return left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(search, FOUND)
+    tile = ["cell", "qb", "tb"]
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(search, FOUND)
 
 
 def vote(found: DataFrame, weights: str = "uniform") -> DataFrame:

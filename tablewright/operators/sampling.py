@@ -14,7 +14,6 @@ from tablewright.operators.joins import lookup_join, materialize
 from tablewright.operators.ordering import CUTS, global_index, hash_cutoffs, passed_cuts, row_hash
 from tablewright.session import local_frame
 
-TOP_N_ROWS = 100_000
 SPLIT = "split"
 FOLD = "fold"
 
@@ -54,23 +53,21 @@ def eval_limit(test: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = 5000, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """All rows if there are at most ``n``, else exactly ``n`` without replacement.
 
-    A sample is the rows with the smallest key hashes. A small one is a top-n
-    over the tasks; a large one is a filter on the exact cut-off hash, so that
-    rows stay where they are.
+    A sample is the rows with the smallest key hashes: a filter on the exact cut-off hash,
+    so that rows stay where they are. Of copies of a key at the cut-off as many are taken
+    as are missing, numbered where they lie. One rule for every size.
     """
     key = list(key or df.columns)
-    if n <= TOP_N_ROWS:
-        return df.orderBy(row_hash(key, seed), *[quoted(k) for k in key]).limit(n)
     total = df.count()
     if total <= n:
         return df
-    wanted = local_frame(df.sparkSession, [(0, n)], "slot int, k bigint")
-    cut = hash_cutoffs(df, key, seed, wanted, largest=total).first()["cut"]
+    if n <= 0:
+        return df.limit(0)
     h = row_hash(key, seed)
-    below = df.where(h < F.lit(cut))
-    # Copies of the key at the cut-off share its hash: take as many as are missing.
-    edge = df.where(h == F.lit(cut)).limit(n - below.count())
-    return below.unionByName(edge)
+    wanted = local_frame(df.sparkSession, [(0, n)], "slot int, k bigint")
+    table, tied = _cut_table(hash_cutoffs(df, key, seed, wanted, largest=total), [])
+    placed = passed_cuts(_one_row(df, table), [], h, "__passed", tied)
+    return placed.where(F.col("__passed") == 0).select(*[quoted(c) for c in df.columns])
 
 
 # --------------------------------------------------------- split and folds

@@ -245,9 +245,6 @@ def scale_numeric(spark, sf):
     return scaled.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_tax", "seven")})
 
 
-_INITIAL = "CASE WHEN doc_id % 6 <> 2 THEN upper(substr(text, 1, 1)) END"
-
-
 def _slots_sql(name, expr):
     return f"""SELECT '{name}' AS name, slot, count(*) AS rows FROM (
     SELECT CASE WHEN count(*) OVER (PARTITION BY v) >= 0.01 * count(*) OVER () THEN v ELSE '(rare)' END AS slot FROM (
@@ -255,10 +252,9 @@ def _slots_sql(name, expr):
     FROM documents)) GROUP BY slot"""
 
 
-@query("onehot_rare", f"{_slots_sql('lang', 'lang')} UNION ALL {_slots_sql('initial', _INITIAL)}")
+@query("onehot_rare", f"{_slots_sql('lang', 'lang')} UNION ALL {_slots_sql('source', 'source')}")
 def onehot_rare(spark, sf):
-    initial = F.when(F.col("doc_id") % 6 != 2, F.upper(F.substring("text", 1, 1))).alias("initial")
-    return features.onehot_sums(table(spark, sf, "documents").select("lang", initial), ["lang", "initial"])
+    return features.onehot_sums(table(spark, sf, "documents").select("lang", "source"), ["lang", "source"])
 
 
 @query(

@@ -190,3 +190,105 @@ def run_all_small(spark, sf):
         n_iter=2, folds=2, overrides=_SMALL,
     )
     return _board(spark, runs, prepared, "regression")
+
+
+# ------------------------------------------- learners against what they must find
+
+
+def _assembled(spark, sf, label):
+    """lineitem with three numeric features and a label made of them."""
+    rows = table(spark, sf, "lineitem").select("l_discount", "l_quantity", "l_tax", label.cast("double").alias(LABEL))
+    return VectorAssembler(inputCols=["l_discount", "l_quantity", "l_tax"], outputCol=FEATURES).transform(rows)
+
+
+def _fit(task: str, name: str, params: dict[str, Any], rows, classes: int = 0):
+    return model_registry(task, [name])[name].build(params, TrainShape(rows.count(), 3, classes)).fit(rows)
+
+
+_LEARNERS = {
+    "logreg": {"C": 100.0, "max_iter": 100},
+    "rf": {"n_estimators": 10, "max_depth": 4, "max_features": None},
+    "xgb": {"n_estimators": 3, "max_depth": 3},
+    "svm": {"C": 1e6, "max_iter": 200},
+    "mlp": {"hidden_layer_sizes": (4,), "max_iter": 200},
+}
+
+
+@query(
+    "planted_classes",
+    f"""SELECT model, truth, truth AS prediction, rows
+    FROM (SELECT (l_discount > 0.055)::INT::DOUBLE AS truth, count(*) AS rows FROM lineitem GROUP BY 1)
+    CROSS JOIN (VALUES {", ".join(f"('{n}')" for n in _LEARNERS)}) m(model)""",
+)
+def planted_classes(spark, sf):
+    """Every classifier finds a rule without noise: the confusion counts have nothing off the diagonal."""
+    rows = _assembled(spark, sf, F.col("l_discount") > 0.055).cache()
+    parts = []
+    for name, params in _LEARNERS.items():
+        told = _fit("classification", name, params, rows, 2).transform(rows)
+        counts = told.groupBy(F.col(LABEL).alias("truth"), "prediction").agg(F.count(F.lit(1)).alias("rows"))
+        parts += [(name, *r) for r in counts.collect()]  # two classes
+    rows.unpersist()
+    return local_frame(spark, parts, "model string, truth double, prediction double, rows long")
+
+
+@query(
+    "planted_values",
+    """SELECT model, l_discount > 0.055 AS high, count(*) AS rows,
+      round(avg(3 + 4 * (l_discount > 0.055)::INT), 6) AS prediction
+    FROM lineitem CROSS JOIN (VALUES ('rf'), ('xgb')) m(model) GROUP BY ALL""",
+)
+def planted_values(spark, sf):
+    """Tree regressors find a step: the least and the mean prediction on either side are its height."""
+    rows = _assembled(spark, sf, 3 + 4 * (F.col("l_discount") > 0.055).cast("int")).cache()
+    parts = []
+    for name, params in (("rf", {"n_estimators": 5, "max_depth": 3, "max_features": None}), ("xgb", {"n_estimators": 1, "max_depth": 3, "learning_rate": 1.0})):
+        told = _fit("regression", name, params, rows).transform(rows)
+        sides = told.groupBy((F.col("l_discount") > 0.055).alias("high")).agg(F.count(F.lit(1)).alias("rows"), F.avg("prediction").alias("prediction"))
+        parts += [(name, r["high"], r["rows"], round(r["prediction"], 6)) for r in sides.collect()]  # two sides
+    rows.unpersist()
+    return local_frame(spark, parts, "model string, high boolean, rows long, prediction double")
+
+
+_TARGET_SQL = "l_extendedprice / 1000.0::DOUBLE + 2 * l_quantity - 500 * l_tax"
+
+
+def _target():
+    return F.col("l_extendedprice") / 1000 + 2 * F.col("l_quantity") - 500 * F.col("l_tax")
+
+
+@query(
+    "linear_coefficients",
+    f"""WITH t AS (SELECT l_quantity AS a, l_tax AS b, {_TARGET_SQL} AS y FROM lineitem),
+    s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb,
+      covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS b_y FROM t),
+    c AS (SELECT model, s.*, aa + p AS pa, bb + p AS pb FROM s, (VALUES ('linreg', 0.0::DOUBLE), ('ridge', 40.0::DOUBLE)) m(model, p)),
+    w AS (SELECT *, (ay * pb - b_y * ab) / (pa * pb - ab * ab) AS wa, (b_y * pa - ay * ab) / (pa * pb - ab * ab) AS wb FROM c)
+    SELECT model, round(wa, 5) AS quantity, round(wb, 3) AS tax, round(my - wa * ma - wb * mb, 3) AS intercept FROM w""",
+)
+def linear_coefficients(spark, sf):
+    """Least squares without and with a penalty against the normal equations."""
+    rows = table(spark, sf, "lineitem").select("l_quantity", "l_tax", _target().alias(LABEL))
+    rows = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol=FEATURES).transform(rows)
+    n, found = rows.count(), []
+    for name, params in (("linreg", {}), ("ridge", {"alpha": 40.0})):
+        model = model_registry("regression", [name])[name].build(params, TrainShape(n, 2)).fit(rows)
+        found.append((name, round(float(model.coefficients[0]), 5), round(float(model.coefficients[1]), 3), round(float(model.intercept), 3)))
+    return local_frame(spark, found, "model string, quantity double, tax double, intercept double")
+
+
+@query(
+    "logreg_two_cells",
+    """WITH t AS (SELECT l_quantity > 25 AS x, avg((l_linestatus = 'O' OR l_quantity > 40)::INT::DOUBLE) AS p FROM lineitem GROUP BY 1)
+    SELECT 'logreg' AS model, round(max(ln(p / (1 - p))) FILTER (WHERE x) - max(ln(p / (1 - p))) FILTER (WHERE NOT x), 3) AS slope,
+      round(max(ln(p / (1 - p))) FILTER (WHERE NOT x), 3) AS intercept FROM t""",
+)
+def logreg_two_cells(spark, sf):
+    """With one feature of two values the best fit is the log odds of each."""
+    label = ((F.col("l_linestatus") == "O") | (F.col("l_quantity") > 40)).cast("double").alias(LABEL)
+    rows = table(spark, sf, "lineitem").select((F.col("l_quantity") > 25).cast("double").alias("x"), label)
+    rows = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(rows)
+    family = model_registry("classification", ["logreg"])["logreg"]
+    model = family.build({"C": 1e9, "max_iter": 200}, TrainShape(rows.count(), 1, 2)).fit(rows)
+    found = [("logreg", round(float(model.coefficients[0]), 3), round(float(model.intercept), 3))]
+    return local_frame(spark, found, "model string, slope double, intercept double")

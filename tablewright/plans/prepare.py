@@ -13,6 +13,7 @@ from tablewright.functions.missing import nan_to_null, quoted
 from tablewright.operators.charts import IMBALANCED
 from tablewright.operators.cleaning import Uninformative, expand_datetime, fit_uninformative, iqr_clip
 from tablewright.operators.features import LABEL, RARE_SHARE, TablePreprocessor, encode_label, regression_target
+from tablewright.operators.joins import lookup_join, materialize
 from tablewright.operators.leakage import Leaks, fit_leakage
 from tablewright.operators.sampling import SPLIT, can_stratify, class_counts, drop_null_target, train_test_split
 
@@ -42,6 +43,18 @@ class Prepared:
     preprocessor: TablePreprocessor
     info: PreparedInfo
     held: DataFrame
+    classes: DataFrame | None = None
+
+    def name_classes(self, predictions: DataFrame, code: str = "prediction", into: str = "class") -> DataFrame:
+        """Add the class that a code stands for; null for a code that no class has.
+
+        ``classes`` has a row per class of the target: code and name, the value as it was.
+        """
+        if self.classes is None:
+            raise ValueError("a regression has no classes")
+        names = self.classes.select(F.col("code").alias("__code"), F.col("name").alias(into))
+        marked = predictions.withColumn("__code", quoted(code).cast("double"))
+        return lookup_join(marked, materialize(names), ["__code"]).drop("__code")
 
     def release(self) -> None:
         """Let go of the narrowed table once its rows are no longer read."""
@@ -77,23 +90,30 @@ def prepare(
 
     Column decisions look at all rows; filling, scaling and encoding are left to
     the preprocessor, which is fitted on training rows only. ``key`` identifies
-    a row for the split; by default the whole row does. The narrowed table is read
-    by every later step, so it is kept until ``release``.
+    a row for the split; by default the whole row does. The rows are read by every
+    step, so they are kept until ``release``.
     """
     if target not in df.columns:
         raise ValueError(f"target {target!r} not found")
     key = list(key or df.columns)
     df = drop_null_target(nan_to_null(df), target)
+    row_key = F.xxhash64(*[quoted(k) for k in key]).alias(ROW_ID)
+    # Every step below reads these rows, so the file is read once.
+    held = df.select(row_key, *[quoted(c) for c in df.columns]).persist()
+    rows = held.drop(ROW_ID)
     if task == "regression":
-        regression_target(df, target)  # fails early on values that are not numbers
-    counts = class_counts(df, target) if task == "classification" else None
+        try:
+            regression_target(rows, target)  # fails early on values that are not numbers
+        except ValueError:
+            held.unpersist()
+            raise
+    counts = class_counts(rows, target) if task == "classification" else None
     leaks = Leaks([], [])
     if guard_leakage:
-        leaks = fit_leakage(df, target, task, whole_word=whole_word, order_by=order_by, counts=counts)
+        leaks = fit_leakage(rows, target, task, whole_word=whole_word, order_by=order_by, counts=counts)
     # The key is needed until the split, whatever the guard says about it.
-    row_key = F.xxhash64(*[quoted(k) for k in key]).alias(ROW_ID)
     features = [c for c in df.columns if c != target and c not in leaks.names]
-    held = data = df.select(row_key, quoted(target), *[quoted(c) for c in features]).persist()
+    data = held.select(ROW_ID, quoted(target), *[quoted(c) for c in features])
 
     groups = analyze_columns(data.select(*[quoted(c) for c in features]))
     if expand_dates and groups["date_cols"]:
@@ -108,12 +128,14 @@ def prepare(
     if clip_outliers:
         data = iqr_clip(data, num_cols, whisker)
 
-    stratified, ratio, encoded = False, None, False
+    stratified, ratio, encoded, classes = False, None, False, None
     if task == "classification":
         stratified = can_stratify(counts, test_size)
         ratio = counts.largest / counts.rows if counts.rows else 0.0
         encoded = schema_kind(data.schema[target].dataType) != "num"
         data = encode_label(data, target, counts=counts)
+        names = encode_label(counts.df.select(quoted(target)), target, counts=counts)
+        classes = names.select(quoted(LABEL).cast("double").alias("code"), quoted(target).alias("name"))
     else:
         data = regression_target(data, target)
     data = train_test_split(data, target, test_size, seed, [ROW_ID], stratified, counts)
@@ -124,4 +146,4 @@ def prepare(
     keep = [ROW_ID, SPLIT, LABEL, *[c for c in rest if c in num_cols or c in cat_cols]]
     data = data.withColumn(LABEL, quoted(LABEL).cast("double")).select(*[quoted(c) for c in keep])
     preprocessor = TablePreprocessor(numericCols=num_cols, categoricalCols=cat_cols, minFrequency=rare_share)
-    return Prepared(data, preprocessor, info, held)
+    return Prepared(data, preprocessor, info, held, classes)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "profile_queries", "merge_queries", "cleaning_queries", "advice_queries", "run_queries", "model_queries", "recommend_queries",
-    "cluster_queries", "encoding_queries",
+    "cluster_queries", "encoding_queries", "moment_queries",
 )
 
 

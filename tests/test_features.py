@@ -119,11 +119,11 @@ def test_registry_and_sampler():
     assert models.sample_params({}) == [{}]
 
 
-@pytest.mark.parametrize("cells", [16_000_000, 8])
+@pytest.mark.parametrize("block", [4096, 13, 2])
 @pytest.mark.parametrize("p", [1, 2])
-def test_neighbours_match_brute_force(spark, monkeypatch, cells, p):
-    monkeypatch.setattr(neighbors, "QUERY_BLOCK_CELLS", cells)
-    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 13)
+def test_neighbours_match_brute_force(spark, monkeypatch, block, p):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", block)
     rng = np.random.default_rng(2)
     train, query = rng.integers(0, 5, (60, 2)).astype(float), rng.integers(0, 5, (25, 2)).astype(float)
     t = spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(train)], "id long, v array<double>, y double")
@@ -138,6 +138,26 @@ def test_neighbours_match_brute_force(spark, monkeypatch, cells, p):
     assert [tuple(r) for r in got] == want
 
 
+def test_neighbours_visit_few_cells_and_skip_gaps(spark, monkeypatch):
+    """On a line a query needs its own cell and those next to it, however many there are."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    sent = []
+    search = neighbors._search
+    monkeypatch.setattr(neighbors, "_search", lambda aimed, *rest: sent.append(aimed.count()) or search(aimed, *rest))
+    big = 1 << 60
+    data = [(big + i, [i / 7], float(i % 2)) for i in range(600)]
+    more = [(None, [1.0], 1.0), (5, None, 1.0), (6, [1.0, 2.0], 1.0), (big, [0.0], 0.0)]
+    df = spark.createDataFrame(data + more[:3], "id long, v array<double>, y double").repartition(3)
+    queries = spark.createDataFrame(data + more, "id long, v array<double>, y double")
+    got = {}
+    for r in neighbors.nearest(queries, df, "v", "id", "y", 2, skip_self=True).collect():
+        got.setdefault(r.query_id - big, []).append(r.neighbor_id - big)
+    want = {i: sorted((j for j in range(600) if j != i), key=lambda j: (round(abs(i - j) / 7, 6), j))[:2] for i in range(600)}
+    assert {i: sorted(g) for i, g in got.items()} == {i: sorted(w) for i, w in want.items()}
+    assert len(sent) == 2 and sum(sent) < 4 * 600
+    assert neighbors.nearest(queries, df.limit(0), "v", "id", "y").count() == 0
+
+
 def test_metrics_on_ties_and_empty_classes(spark, monkeypatch):
     pdf = pd.DataFrame({"y": [1, 0, 1, 0, 1, 0, 0], "score": [0.9, 0.9, 0.4, 0.1, 0.4, 0.4, 0.2]})
     df = spark.createDataFrame(pdf)

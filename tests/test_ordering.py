@@ -89,7 +89,6 @@ def test_cutoffs_take_exact_counts_in_every_group(spark, monkeypatch, cutoff_row
 
 @pytest.mark.parametrize("n", [0, 1, 50, 199, 200, 500])
 def test_large_samples_are_exact(spark, monkeypatch, n):
-    monkeypatch.setattr(sampling, "TOP_N_ROWS", 10)
     monkeypatch.setattr(ordering, "CUTOFF_ROWS", 5)
     df = spark.range(200).withColumnRenamed("id", "k")
     if n == 0:
