@@ -19,6 +19,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.operators.features import FEATURES, LABEL
 from tablewright.operators.neighbors import average, nearest, vote
@@ -89,14 +90,29 @@ def _linreg(params, shape):
     return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=0.0)
 
 
+class Ridge:
+    """Least squares plus ``alpha`` times the squared coefficients, over all rows together.
+
+    Spark ML takes such a penalty per row and in units of the target's deviation, so that
+    deviation is measured first.
+    """
+
+    def __init__(self, alpha: float):
+        self.alpha = alpha
+
+    def fit(self, train: DataFrame):
+        rows, spread = train.agg(F.count(LABEL), F.stddev_pop(LABEL)).first()
+        return LinearRegression(
+            featuresCol=FEATURES,
+            labelCol=LABEL,
+            regParam=self.alpha * (spread or 1.0) / max(1, rows),
+            elasticNetParam=0.0,
+            standardization=False,
+        ).fit(train)
+
+
 def _ridge(params, shape):
-    return LinearRegression(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        regParam=params.get("alpha", 1.0) / max(1, shape.rows),
-        elasticNetParam=0.0,
-        standardization=False,
-    )
+    return Ridge(params.get("alpha", 1.0))
 
 
 def _lasso(params, shape):

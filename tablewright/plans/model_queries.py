@@ -207,10 +207,10 @@ def _fit(task: str, name: str, params: dict[str, Any], rows, classes: int = 0):
 
 _LEARNERS = {
     "logreg": {"C": 100.0, "max_iter": 100},
-    "rf": {"n_estimators": 10, "max_depth": 4, "max_features": None},
-    "xgb": {"n_estimators": 3, "max_depth": 3},
-    "svm": {"C": 1e6, "max_iter": 200},
-    "mlp": {"hidden_layer_sizes": (4,), "max_iter": 200},
+    "rf": {"n_estimators": 5, "max_depth": 3, "max_features": None},
+    "xgb": {"n_estimators": 2, "max_depth": 2},
+    "svm": {"C": 1e6, "max_iter": 60},
+    "mlp": {"hidden_layer_sizes": (3,), "max_iter": 80},
 }
 
 
