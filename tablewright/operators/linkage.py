@@ -3,12 +3,16 @@
 Single linkage at every height is decided by a minimum spanning forest. Tiles of rows
 that are near in space give their own spanning forests; an edge that is the longest of a cycle
 within a tile is in no minimum forest at all, so what leaves a tile has fewer edges
-than rows. Borůvka rounds join these into the forest of the whole table.
+than rows. Borůvka rounds join these into the forest of the whole table. On a line the
+forest is known without tiles: only neighbours in the order are in it. A cut at a fixed height
+needs no forest: rows of a small cell are linked whatever their number, and only cells that are
+not yet joined compare their rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -57,6 +61,28 @@ def _local_forest(ids: np.ndarray, points: np.ndarray, radius: float) -> list[tu
     return found
 
 
+def _points(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
+    """id and p (the values) of the rows with an id and all values, one row for each id."""
+    point = F.array(*[quoted(c).cast("double") for c in cols])
+    rows = complete_rows(df, cols).where(quoted(id_col).isNotNull())
+    return rows.select(quoted(id_col).cast("long").alias("id"), point.alias("p")).dropDuplicates(["id"])
+
+
+def _line_edges(points: DataFrame, radius: float) -> DataFrame:
+    """The forest on a line: equal values hang on their smallest id, those ids are joined in the order of the values.
+
+    Any other pair spans a gap at least as long as each gap within it.
+    """
+    rows = durable(points.select("id", F.col("p")[0].alias("x")))
+    heads = materialize(rows.groupBy("x").agg(F.min("id").alias("head")))
+    same = lookup_join(rows, heads, ["x"]).where("id <> head")
+    same = same.select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight"))
+    placed = durable(global_index(heads.df, ["x"], "i", heads.rows))
+    after = placed.select((F.col("i") - 1).alias("i"), F.col("x").alias("next_x"), F.col("head").alias("next"))
+    gaps = placed.join(after, "i").select(F.least("head", "next").alias("a"), F.greatest("head", "next").alias("b"), (F.col("next_x") - F.col("x")).alias("weight"))
+    return durable(same.unionByName(gaps.where(F.col("weight") <= radius)))
+
+
 def near_edges(
     df: DataFrame, id_col: str, cols: Sequence[str], radius: float, block_rows: int = BLOCK_ROWS, cell_columns: int = CELL_COLUMNS
 ) -> DataFrame:
@@ -66,13 +92,13 @@ def near_edges(
     or with a missing value have no edges. Distances are Euclidean. Cells as wide as the radius
     along the first columns hold what can be near; a full cell is cut into blocks, and each
     pair of blocks of a cell or of adjacent cells is a tile. So the work grows with the
-    square of the rows in a cell, the edges do not.
+    square of the rows in a cell, the edges do not. One column takes a sort only.
     """
     if not radius > 0:
         raise ValueError("the radius is above 0")
-    point = F.array(*[quoted(c).cast("double") for c in cols])
-    rows = complete_rows(df, cols).where(quoted(id_col).isNotNull())
-    rows = rows.select(quoted(id_col).cast("long").alias("id"), point.alias("p")).dropDuplicates(["id"])
+    rows = _points(df, id_col, cols)
+    if len(cols) == 1:
+        return _line_edges(rows, radius)
     axes = range(min(cell_columns, len(cols)))
     rows = rows.withColumn("at", F.array(*[F.floor(F.col("p")[i] / radius).cast("long") for i in axes]))
     rows = durable(rows.withColumn("cell", F.array_join("at", ",")))
@@ -108,6 +134,86 @@ def near_edges(
     return members.groupBy("tile").applyInArrow(forest, "a long, b long, weight double").distinct()
 
 
+def near_forest(df: DataFrame, id_col: str, cols: Sequence[str], radius: float) -> DataFrame:
+    """a, b, weight: the minimum spanning forest of the pairs at most ``radius`` apart."""
+    edges = near_edges(df, id_col, cols, radius)
+    return edges if len(cols) == 1 else spanning_forest(edges)
+
+
+def _cell_links(rows: DataFrame, open_pairs: DataFrame, radius: float, block_rows: int) -> DataFrame:
+    """a, b: the pairs of cells (node, their) of ``open_pairs`` that hold two rows at most ``radius`` apart.
+
+    Blocks of both cells meet in tiles; a tile lets out one row at most.
+    """
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    wanted = open_pairs.select(F.col("cell").alias("c")).unionByName(open_pairs.select(F.col("there").alias("c"))).distinct()
+    sizes = durable(sizes.join(wanted.withColumnRenamed("c", "cell"), "cell"))
+    placed = lookup_join(rows, materialize(sizes), ["cell"]).where("blocks is not null")
+    placed = durable(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"))
+    theirs = sizes.select(F.col("cell").alias("there"), F.col("blocks").alias("their_blocks"))
+    tiles = open_pairs.select("cell", "there", "node", "their").join(sizes, "cell").join(theirs, "there")
+    tiles = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = durable(tiles.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("their_blocks") - 1))))
+    one = tiles.select("node", "their", "i", "j", "cell", F.col("i").alias("block"), F.lit(0).alias("side"))
+    two = tiles.select("node", "their", "i", "j", F.col("there").alias("cell"), F.col("j").alias("block"), F.lit(1).alias("side"))
+    members = placed.join(one.unionByName(two), ["cell", "block"]).select("node", "their", "i", "j", "side", "p")
+
+    def link(table: pa.Table) -> pa.Table:
+        points = np.array(table["p"].to_pylist(), float)
+        side = table["side"].to_numpy()
+        left, right = points[side == 0], points[side == 1]
+        near = any((np.sqrt(((right - p) ** 2).sum(axis=1)) <= radius).any() for p in left)
+        return table.select(["node", "their"]).slice(0, int(near)).rename_columns(["a", "b"])
+
+    return members.groupBy("node", "their", "i", "j").applyInArrow(link, "a long, b long").distinct()
+
+
+def linked_clusters(df: DataFrame, id_col: str, cols: Sequence[str], radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """node and cluster (its smallest node): rows that pairs at most ``radius`` apart join, directly or by others.
+
+    Rows of a cell are all linked, because its diagonal is below the radius. Cells are
+    joined by the outermost rows of each; only near cells that this leaves apart compare
+    their rows. For rows without gaps, of few columns.
+    """
+    # Short of the diagonal, so that rounding lets no cell grow beyond the radius.
+    side, reach = 0.999 * radius / math.sqrt(len(cols)), math.ceil(math.sqrt(len(cols)) / 0.999)
+    axes = range(len(cols))
+    rows = _points(df, id_col, cols).withColumn("at", F.array(*[F.floor(F.col("p")[i] / side).cast("long") for i in axes]))
+    rows = durable(rows.withColumn("cell", F.array_join("at", ",")))
+    corners = [f(F.col("p"), F.col("p")[i]) for i in axes for f in (F.min_by, F.max_by)]
+    cells = rows.groupBy("cell").agg(F.first("at").alias("at"), F.min("id").alias("node"), F.array(*corners).alias("corners"))
+    cells = durable(cells)
+    moves = [m for m in itertools.product(range(-reach, reach + 1), repeat=len(cols)) if m > (0,) * len(cols)]
+    moves = F.array(*[F.array(*[F.lit(x).cast("long") for x in m]) for m in moves])
+    there = F.explode(F.transform(moves, lambda m: F.array_join(F.zip_with("at", m, lambda c, x: c + x), ","))).alias("there")
+    theirs = cells.select(F.col("cell").alias("there"), F.col("node").alias("their"), F.col("corners").alias("their_corners"))
+    pairs = cells.select("cell", "node", "corners", there).join(theirs, "there")
+
+    def squares(a, b):
+        return sum(((a[i] - b[i]) * (a[i] - b[i]) for i in axes), F.lit(0.0))
+
+    near = F.exists("corners", lambda a: F.exists("their_corners", lambda b: F.sqrt(squares(a, b)) <= radius))
+    # The gap between the boxes of the rows; corners 2 i and 2 i + 1 have the least and greatest value of column i.
+    c, t = F.col("corners"), F.col("their_corners")
+    gaps = [F.greatest(c[2 * i][i] - t[2 * i + 1][i], t[2 * i][i] - c[2 * i + 1][i], F.lit(0.0)) for i in axes]
+    close = F.sqrt(sum((g * g for g in gaps), F.lit(0.0))) <= radius * (1 + 1e-9)
+    pairs = durable(pairs.where(close).select("cell", "node", "there", "their", near.alias("near")))
+    sure = pairs.where("near").select(F.col("node").alias("a"), F.col("their").alias("b"))
+    nodes = cells.select("node")
+    labels = components(nodes, sure)
+    table = materialize(labels)
+    left = pairs.where("not near")
+    for column in ("node", "their"):
+        renamed = materialize(table.df.select(F.col("node").alias(column), F.col("component").alias(f"{column}_of")))
+        left = lookup_join(left, renamed, [column])
+    left = durable(left.where("node_of <> their_of"))
+    if not left.isEmpty():
+        more = _cell_links(rows.drop("at"), left, radius, block_rows)
+        labels = components(nodes, sure.unionByName(more))
+    labels = cells.select("cell", "node").join(labels, "node").select("cell", F.col("component").alias("cluster"))
+    return lookup_join(rows.select("id", "cell"), materialize(labels), ["cell"]).select(F.col("id").alias("node"), "cluster")
+
+
 def _roots(hooks: DataFrame) -> DataFrame:
     """node, root for (node, above): the end of each chain, by doubling its steps. Chains end in themselves."""
     held = durable(hooks)
@@ -226,7 +332,11 @@ def single_linkage(
         height = radius
     if height is not None and height > radius:
         raise ValueError("the height lies above the radius")
-    forest = spanning_forest(near_edges(df, id_col, cols, radius))
+    if height is not None and height > 0 and clusters is None and len(cols) <= CELL_COLUMNS:
+        found = linked_clusters(df, id_col, cols, height)
+        labelled = nodes.distinct().join(found, "node", "left")
+        return labelled.select(F.col("node").alias("id"), F.coalesce("cluster", "node").alias("cluster"))
+    forest = near_forest(df, id_col, cols, radius)
     return cut_forest(nodes, forest, height, clusters).withColumnRenamed("node", "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators.cluster import cluster_indices, elbow, fit_k_means, fit_mixture
-from tablewright.operators.linkage import cluster_sizes, merge_heights, near_edges, single_linkage, spanning_forest
+from tablewright.operators.linkage import cluster_sizes, merge_heights, near_forest, single_linkage
 from tablewright.plans.tables import table
 from tablewright.session import local_frame
 
@@ -162,7 +162,7 @@ def mixture_components(spark, sf):
 )
 def linkage_heights(spark, sf):
     """The dendrogram over one column: on a line, single linkage merges across the gaps."""
-    forest = spanning_forest(near_edges(_places(spark, sf), "id", ["x"], 0.5))
+    forest = near_forest(_places(spark, sf), "id", ["x"], 0.5)
     return merge_heights(forest).select("step", F.round("weight", 6).alias("height"))
 
 

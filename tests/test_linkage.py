@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tablewright.operators.linkage import components, cut_forest, merge_heights, near_edges, single_linkage, spanning_forest
+from tablewright.operators.linkage import components, cut_forest, linked_clusters, merge_heights, near_edges, near_forest, single_linkage, spanning_forest
 
 SCHEMA = "id long, x double, y double"
 
@@ -97,3 +97,34 @@ def test_a_long_chain_and_a_star(spark):
     assert found == {7777: 7777} | {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1301)}
     whole = cut_forest(nodes, spanning_forest(edges), height=0.5).collect()
     assert {r.node: r.cluster for r in whole}[1001] == 1000
+
+
+def test_a_line_takes_one_edge_for_each_row_but_the_ends(spark):
+    rng = random.Random(5)
+    points = {i: (rng.randrange(300) / 10,) for i in range(600)}
+    df = spark.createDataFrame([(i, p[0], 0.0) for i, p in points.items()], SCHEMA).repartition(4)
+    want = kruskal(points, pairs(points, 0.15))[0]
+    found = sorted((r.a, r.b, r.weight) for r in near_edges(df, "id", ["x"], 0.15).collect())
+    assert [f[:2] for f in found] == [w[:2] for w in want] and [f[2] for f in found] == pytest.approx([w[2] for w in want])
+    assert sorted((r.a, r.b, r.weight) for r in near_forest(df, "id", ["x"], 0.15).collect()) == found
+
+
+@pytest.mark.parametrize("block_rows", [1024, 2])
+@pytest.mark.parametrize("radius", [0.1, 0.3, 0.5])
+def test_clusters_by_cells(spark, block_rows, radius):
+    points = cloud(300, 7) | {5000 + i: (10 + i % 7 / 100, 10 + i % 11 / 100) for i in range(200)}
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()], SCHEMA).repartition(3)
+    got = {r.node: r.cluster for r in linked_clusters(df, "id", ["x", "y"], radius, block_rows).collect()}
+    assert got == kruskal(points, pairs(points, radius))[1]
+
+
+def test_a_fixed_height_asks_for_no_tiles_of_a_full_cell(spark, monkeypatch):
+    """Copies of one place were all pairs of blocks before."""
+    from tablewright.operators import linkage
+
+    def tiles(*args, **kwargs):
+        raise AssertionError("tiles of a cell that is linked anyway")
+
+    monkeypatch.setattr(linkage, "near_edges", tiles)
+    df = spark.range(5000).selectExpr("id", "1.0 + id % 10 / 1000 as x", "1.0 as y")
+    assert {r.cluster for r in single_linkage(df, "id", ["x", "y"], 0.5).collect()} == {0}
