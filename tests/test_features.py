@@ -1,5 +1,7 @@
 """Labels, splits, folds, preprocessing, prepare, models and metrics."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -191,3 +193,14 @@ def test_search_trains_ranks_and_saves(spark, tmp_path):
     a = [r["prediction"] for r in model.transform(p.test).orderBy(ROW_ID).collect()]
     b = [r["prediction"] for r in trained["logreg"].transform(p.test).orderBy(ROW_ID).collect()]
     assert a == b
+
+
+def test_onehot_rare_reads_whole_texts(spark, tmp_path):
+    from tablewright.plans.cleaning_queries import QUERIES
+
+    # Texts that differ behind the first letter only; one in ten is a long one.
+    data = [(i, "a" * 5000 if i % 10 == 0 else f"a{i}", "en" if i else None, "web") for i in range(400)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["name"], r["slot"]): r["rows"] for r in QUERIES["onehot_rare"](spark, str(tmp_path)).collect()}
+    long = "md5:" + hashlib.md5(b"a" * 5000).hexdigest()
+    assert found == {("lang", "en"): 400, ("source", "web"): 400, ("text", long): 40, ("text", "(rare)"): 360}
