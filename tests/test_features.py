@@ -204,3 +204,29 @@ def test_onehot_rare_reads_whole_texts(spark, tmp_path):
     found = {(r["name"], r["slot"]): r["rows"] for r in QUERIES["onehot_rare"](spark, str(tmp_path)).collect()}
     long = "md5:" + hashlib.md5(b"a" * 5000).hexdigest()
     assert found == {("lang", "en"): 400, ("source", "web"): 400, ("text", long): 40, ("text", "(rare)"): 360}
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_candidates_of_wide_rows_lose_no_tie(p):
+    """Screening by a matrix product, and by a bound, leaves the rows that plain sorting gives."""
+    rng = np.random.default_rng(3)
+    train = np.repeat(rng.normal(size=(60, 24)).astype(np.float32).astype(float) * 50, 4, axis=0)
+    queries, ids = np.vstack([train[::3], rng.normal(size=(40, 24)) * 50]), np.arange(240)[::-1]
+    q_ids = np.concatenate([ids[::3], 1000 + np.arange(40)])
+    plain = np.round(neighbors._gaps(queries, train, p), 6)
+    plain[q_ids[:, None] == ids[None, :]] = np.inf
+    for k in (1, 5):
+        want = {(q, ids[j], plain[i, j]) for i, q in enumerate(q_ids) for j in sorted(range(240), key=lambda j: (plain[i, j], ids[j]))[:k]}
+        kth = np.sort(plain, axis=1)[:, k - 1]
+        for bound in (np.full(len(queries), np.inf), kth):
+            near = np.zeros(len(queries)), bound
+            found = neighbors._best(queries, q_ids, near, train, ids, np.zeros(240), np.ones(240), k, p, True).to_pylist()
+            assert {(r["query_id"], r["neighbor_id"], r["distance"]) for r in found} == want and len(found) == len(want)
+
+
+def test_queries_are_aimed_in_small_parts(spark):
+    """Distances to 1,024 pivots were held for a whole batch of 10,000 queries at a time."""
+    cells = np.ones((3, 40_000), bool)
+    b = neighbors.pa.RecordBatch.from_arrays([neighbors.pa.array([1, 2, 3]), neighbors.pa.array([[0.0]] * 3)], ["id", "v"])
+    sizes = [len(x) for x in neighbors._aimed(b, cells, np.zeros(cells.shape), np.full(3, np.inf))]
+    assert sum(sizes) == 120_000 and max(sizes) <= neighbors.OUT_ROWS
