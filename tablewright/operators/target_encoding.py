@@ -22,12 +22,16 @@ def _category(df: DataFrame, col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), value_of(field).cast("string")), F.lit("none"))
 
 
-def _counts(df: DataFrame, cols: Sequence[str], target: str, fold: Column) -> DataFrame:
-    """col (number), category, fold, n and total of the target, for all columns in one shuffle."""
+def _counts(df: DataFrame, cols: Sequence[str], target: str, fold: Column, every: bool = False) -> DataFrame:
+    """col (number), category, fold, n and total of the target, for all columns in one shuffle.
+
+    With ``every`` a category and fold that only rows without target have is there too, with n 0.
+    """
     y = quoted(target).cast("double")
     listed = F.array(*[F.struct(F.lit(i).alias("col"), _category(df, c).alias("category")) for i, c in enumerate(cols)])
-    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(fold.alias("fold"), y.alias("y"), F.explode(listed).alias("e"))
-    return rows.groupBy("e.col", "e.category", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    rows = df if every else df.where(y.isNotNull() & ~F.isnan(y))
+    rows = rows.select(fold.alias("fold"), F.when(~F.isnan(y), y).alias("y"), F.explode(listed).alias("e"))
+    return rows.groupBy("e.col", "e.category", "fold").agg(F.count("y").alias("n"), F.sum("y").alias("total"))
 
 
 @dataclass(frozen=True)
@@ -71,32 +75,32 @@ def encode_out_of_fold(
     mean; with no other fold at all the encoding is null. Rows without target are
     encoded and count nowhere. Null and NaN are one category; a null fold is a fold.
     """
-    counts = durable(_counts(df, cols, target, quoted(fold)))
+    counts = durable(_counts(df, cols, target, quoted(fold), every=True))
     # Folds are few: one row each.
     first = counts.where("col = 0").groupBy("fold").agg(F.sum("n").alias("fold_n"), F.sum("total").alias("fold_total"))
     sums = first.agg(F.sum("fold_n").alias("all_n"), F.sum("fold_total").alias("all_total"))
-    means = materialize(_priors(df, fold, first, sums))
-    out = lookup_join(df.withColumn("__fold", quoted(fold)), means, ["__fold"])
+    priors = local_copy(_priors(first, sums))
     over = Window.partitionBy("col", "category")
-    every = durable(counts.withColumns({"cat_n": F.sum("n").over(over), "cat_total": F.sum("total").over(over)}))
+    every = counts.withColumns({"cat_n": F.sum("n").over(over), "cat_total": F.sum("total").over(over)})
+    n = F.col("cat_n") - F.col("n")
+    total = F.coalesce(F.col("cat_total"), F.lit(0.0)) - F.coalesce("total", F.lit(0.0))
+    value = (total + F.lit(float(smoothing)) * F.col("__prior")) / F.nullif(n + F.lit(float(smoothing)), F.lit(0.0))
+    value = F.when(n > 0, value).otherwise(F.col("__prior"))
+    every = every.join(F.broadcast(priors), every["fold"].eqNullSafe(priors["__fold"]), "left")  # one row per fold
+    every = durable(every.select("col", "category", "fold", value.alias("value")))
+    # Each category and fold of a row has one line here, so a column takes one join.
+    out = df.withColumn("__fold", quoted(fold))
     for i, c in enumerate(cols):
         mine = every.where(F.col("col") == i)
-        totals = mine.groupBy(F.col("category").alias("__c")).agg(F.first("cat_n").alias("__n"), F.first("cat_total").alias("__t"))
-        parts = mine.select(F.col("category").alias("__c"), F.col("fold").alias("__fold"), F.col("n").alias("__fn"), F.col("total").alias("__ft"))
-        out = out.withColumn("__c", _category(df, c))
-        out = lookup_join(lookup_join(out, materialize(totals), ["__c"]), materialize(parts), ["__c", "__fold"])
-        n = F.coalesce(F.col("__n") - F.coalesce("__fn", F.lit(0)), F.lit(0))
-        total = F.coalesce(F.col("__t") - F.coalesce("__ft", F.lit(0.0)), F.lit(0.0))
-        value = (total + F.lit(float(smoothing)) * F.col("__prior")) / F.nullif(n + F.lit(float(smoothing)), F.lit(0.0))
-        out = out.withColumn(c + suffix, F.when(n > 0, value).otherwise(F.col("__prior")))
-        out = out.drop("__c", "__n", "__t", "__fn", "__ft")
-    return out.drop("__fold", "__prior")
-
-
-def _priors(df: DataFrame, fold: str, first: DataFrame, sums: DataFrame) -> DataFrame:
+        mine = mine.select(F.col("category").alias("__c"), F.col("fold").alias("__fold"), F.col("value").alias("__v"))
+        out = lookup_join(out.withColumn("__c", _category(df, c)), materialize(mine), ["__c", "__fold"])
+        out = out.withColumnRenamed("__v", c + suffix).drop("__c")
+    return out.drop("__fold")
+
+
+def _priors(first: DataFrame, sums: DataFrame) -> DataFrame:
     """__fold and __prior: the target mean over all other folds."""
-    every = df.select(quoted(fold).alias("__fold")).distinct()
-    joined = every.join(first, every["__fold"].eqNullSafe(first["fold"]), "left").crossJoin(local_copy(sums))  # one row
-    n = F.col("all_n") - F.coalesce("fold_n", F.lit(0))
-    total = F.col("all_total") - F.coalesce("fold_total", F.lit(0.0))
-    return joined.select("__fold", (total / F.nullif(n, F.lit(0))).alias("__prior"))
+    joined = first.crossJoin(local_copy(sums))  # one row
+    n = F.col("all_n") - F.col("fold_n")
+    total = F.coalesce(F.col("all_total"), F.lit(0.0)) - F.coalesce("fold_total", F.lit(0.0))
+    return joined.select(F.col("fold").alias("__fold"), (total / F.nullif(n, F.lit(0))).alias("__prior"))

@@ -185,3 +185,19 @@ def test_hashed_features_cancel_collide_and_skip_gaps(spark):
     assert [(r["values"], r.buckets, r.shared) for r in collisions(df, ["t", "v"], 1).orderBy("column").collect()] == [(3, 1, 3), (1, 1, 1)]
     assert [(r["values"], r.buckets, r.shared) for r in collisions(df, ["t", "v"]).orderBy("column").collect()] == [(3, 3, 0), (1, 1, 0)]
     assert bucket_sums(df.limit(0), ["t", "v"]).count() == 0
+
+
+def test_out_of_fold_takes_one_join_for_each_column(spark, monkeypatch):
+    from tablewright.operators import target_encoding
+
+    joins, join = [], target_encoding.lookup_join
+    monkeypatch.setattr(target_encoding, "lookup_join", lambda *args, **kwargs: joins.append(1) or join(*args, **kwargs))
+    # Category b has no target in fold 1, category c in no fold.
+    data = [("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 5.0), ("b", 1, None), ("c", 1, float("nan")), (None, None, 2.0)]
+    df = spark.createDataFrame(data, "g string, fold int, y double")
+    out = target_encoding.encode_out_of_fold(df, ["g"], "y", "fold", smoothing=2.0)
+    got = {(r["g"], r["fold"]): r["g_te"] for r in out.collect()}
+    zero, one, none = (3 + 2) / 2, (1 + 5 + 2) / 3, (1 + 3 + 5) / 3
+    assert len(joins) == 1 and got == pytest.approx(
+        {("a", 0): (3 + 2 * zero) / 3, ("a", 1): (1 + 2 * one) / 3, ("b", 0): zero, ("b", 1): (5 + 2 * one) / 3, ("c", 1): one, (None, None): none}
+    )
