@@ -230,3 +230,14 @@ def test_queries_are_aimed_in_small_parts(spark):
     b = neighbors.pa.RecordBatch.from_arrays([neighbors.pa.array([1, 2, 3]), neighbors.pa.array([[0.0]] * 3)], ["id", "v"])
     sizes = [len(x) for x in neighbors._aimed(b, cells, np.zeros(cells.shape), np.full(3, np.inf))]
     assert sum(sizes) == 120_000 and max(sizes) <= neighbors.OUT_ROWS
+
+
+def test_learners_read_parts_of_bounded_size(spark, monkeypatch):
+    """Eight partitions stayed eight, however many rows they held."""
+    from tablewright.operators import search
+
+    monkeypatch.setattr(search, "PART_ROWS", 100)
+    held, rows = search.kept(spark.range(0, 3000, 1, 8))
+    sizes = held.rdd.glom().map(len).collect()
+    held.unpersist()
+    assert rows == sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) <= 200
