@@ -241,3 +241,11 @@ def test_learners_read_parts_of_bounded_size(spark, monkeypatch):
     sizes = held.rdd.glom().map(len).collect()
     held.unpersist()
     assert rows == sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) <= 200
+
+
+def test_a_value_on_the_end_of_a_bin_begins_the_next(spark):
+    """The end of bin 2 is 10020.96; summed in steps it came out above, and the value fell in bin 2."""
+    from tablewright.operators.charts import histogram
+
+    df = spark.createDataFrame([(909.78,), (10020.96,), (92021.58,)], "x double")
+    assert [r["bin"] for r in histogram(df, "x", 30).orderBy("bin").collect() if r["count"]] == [0, 3, 29]
