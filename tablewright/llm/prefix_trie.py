@@ -156,13 +156,16 @@ def _halves(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(-1, 2)
 
 
-def sketch(prefixes: DataFrame, cells: int, rows: int = SKETCH_ROWS) -> np.ndarray:
-    """Cells of a count-min sketch over the column q, counted up to two: ``rows`` x ``cells`` bytes at the driver."""
+def sketch(dealt: DataFrame, cells: int, rows: int = SKETCH_ROWS, digests: Callable = lambda batches: batches) -> np.ndarray:
+    """Cells of a count-min sketch over the column q, counted up to two: ``rows`` x ``cells`` bytes at the driver.
+
+    ``digests`` makes the batches with q out of those of ``dealt``, in the task that counts them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((rows, cells), np.uint8)
-        for b in batches:
-            halves = _halves(b.column(0))
+        for b in digests(batches):
+            halves = _halves(b.column("q"))
             for r in range(rows):
                 at, n = np.unique(cells_of(halves, r, cells), return_counts=True)
                 table[r, at] = np.minimum(table[r, at] + np.minimum(n, 2), 2)
@@ -179,15 +182,15 @@ def sketch(prefixes: DataFrame, cells: int, rows: int = SKETCH_ROWS) -> np.ndarr
             total = part if total is None else np.minimum(total + part, 2).astype(np.uint8)
         return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = prefixes.select("q").mapInArrow(count, "block int, counts binary")
+    found = dealt.mapInArrow(count, "block int, counts binary")
     out = np.zeros(rows * cells, np.uint8)
     for block, counts in found.groupBy("block").applyInArrow(merge, "block int, counts binary").collect():
         out[block * _BLOCK : block * _BLOCK + len(counts)] = np.frombuffer(counts, np.uint8)
     return out.reshape(rows, cells)
 
 
-def _prefixes(dealt: DataFrame, before: dict, goes_on: set) -> DataFrame:
-    """conv_id, depth, q (the prefix), above (the one a turn shorter), chars, last."""
+def _prefixes(before: dict, goes_on: set) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From turns in order to conv_id, depth, q (the prefix), above (the one a turn shorter), chars, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, value, held = None, 0, 0, None
@@ -206,7 +209,7 @@ def _prefixes(dealt: DataFrame, before: dict, goes_on: set) -> DataFrame:
         if held:
             yield _rows([(*held, at not in goes_on)], _PREFIX)
 
-    return dealt.mapInArrow(run, "conv_id long, depth long, q binary, above binary, chars long, last boolean")
+    return run
 
 
 _PREFIX = pa.schema(
@@ -219,7 +222,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _screened(prefixes: DataFrame, counts: np.ndarray) -> DataFrame:
+def _screened(dealt: DataFrame, prefixes: Callable, counts: np.ndarray) -> DataFrame:
     """The prefixes with ``single`` and ``above_single``: proven to belong to one conversation."""
     rows, cells = counts.shape
 
@@ -228,7 +231,7 @@ def _screened(prefixes: DataFrame, counts: np.ndarray) -> DataFrame:
         return np.min([counts[r, cells_of(halves, r, cells)] for r in range(rows)], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in prefixes(batches):
             if not len(b):
                 continue
             above = (estimate(b.column(3)) == 1) & (b.column(1).to_numpy() > 1)
@@ -236,7 +239,7 @@ def _screened(prefixes: DataFrame, counts: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "single", "above_single"])
 
     schema = "conv_id long, depth long, q binary, above binary, chars long, last boolean, single boolean, above_single boolean"
-    return prefixes.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def _ends(shared: DataFrame) -> DataFrame:
@@ -282,8 +285,9 @@ def prefix_trie(turns: DataFrame, members: DataFrame, cells: int = SKETCH_CELLS)
     if cells < 1 or cells & (cells - 1):
         raise ValueError("the number of cells is a power of two")
     dealt = _in_order(turns, "conv_id", "pos")
-    prefixes = _prefixes(dealt, *_handed_over(dealt))
-    judged = _screened(prefixes, sketch(prefixes, cells))
+    prefixes = _prefixes(*_handed_over(dealt))
+    # Read four times below; made again each time, it was most of the time of many small partitions.
+    judged = durable(_screened(dealt, prefixes, sketch(dealt, cells, digests=prefixes)))
     single = judged.where("single")
 
     root = members.select(
@@ -298,7 +302,7 @@ def prefix_trie(turns: DataFrame, members: DataFrame, cells: int = SKETCH_CELLS)
         )
     )
     # Single nodes right below a node that was met.
-    below = durable(single.where("not above_single").select("conv_id", "depth", "q", "above", "last"))
+    below = single.where("not above_single").select("conv_id", "depth", "q", "above", "last")
     kids = met.where("above is not null").select("above").unionByName(below.select("above"))
     kids = kids.groupBy("above").agg(F.count(F.lit(1)).alias("n_children")).withColumnRenamed("above", "q")
     met = durable(met.join(kids, "q", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
@@ -326,13 +330,13 @@ def prefix_trie(turns: DataFrame, members: DataFrame, cells: int = SKETCH_CELLS)
         F.lit(0).cast("long").alias("saved_tokens"),
         F.when(F.col("last"), F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(_EMPTY_SHA).alias("ends_sha256"),
     ]
-    nodes = nodes.unionByName(below.select("conv_id", "depth", "q", "above", F.lit(False).alias("above_single"), *one))
     # Parents: looked up among the nodes that were met; a single parent has the same conversation.
     asking = nodes.where("above is not null and not above_single").drop("above_single")
+    asking = asking.unionByName(below.select("conv_id", "depth", "q", "above", *one))
     parents = met.where("n_children > 0").select(
         F.col("q").alias("above"), F.col("least").alias("parent_conv_id"), F.col("n_children").alias("n_asking")
     )
-    found = attach(asking, durable(parents), ["above"], "n_asking")
+    found = attach(asking, parents, ["above"], "n_asking")
     alone = nodes.where("above is null or above_single")
     alone = alone.withColumn("parent_conv_id", F.when(F.col("above_single"), F.col("conv_id")))
     rest = single.where("above_single").select("conv_id", "depth", "q", F.col("conv_id").alias("parent_conv_id"), *one)

@@ -115,3 +115,11 @@ def test_empty_table_and_rules(spark):
     assert found(conversation_trie(one)) == brute(ordered([(3, 1, None, None)]))
     with pytest.raises(ValueError, match="power of two"):
         conversation_trie(empty, cells=100)
+
+
+def test_prefixes_are_made_once(spark):
+    """The result reads kept prefixes: Python runs for the ends of conversations only, once per branch of the nodes."""
+    rows = [(c, t, "user", f"turn {t} of {c % 3}", "", 0) for c in range(12) for t in range(c % 4)]
+    found = conversation_trie(spark.createDataFrame(rows, SCHEMA))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 3
