@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.joins import by_heat
+
 # The metrics on a leaderboard and the alarm levels.
 CLASS_METRICS = ["acc", "f1_macro", "roc_auc"]
 NUMBER_METRICS = ["rmse", "mae", "r2"]
@@ -39,7 +41,12 @@ def best_run(runs: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def metric_summary(runs: DataFrame, metrics: Sequence[str] | None = None, run: str = "run_id") -> DataFrame:
-    """Minimum, maximum, mean, population deviation and best model's value per metric."""
+    """Minimum, maximum, mean, population deviation and best model's value per metric.
+
+    Most runs have few models, so their rows go to their task as they are: what a task would
+    know of a run before is wider than its rows. Only runs with a large share of all rows are
+    aggregated before.
+    """
     metrics = [m for m in (metrics or CLASS_METRICS + NUMBER_METRICS) if m in runs.columns] + [SCORE]
     metrics = list(dict.fromkeys(metrics))
     aggs = []
@@ -53,7 +60,10 @@ def metric_summary(runs: DataFrame, metrics: Sequence[str] | None = None, run: s
         ]
     # All metrics of a run in one row, so that each log row is aggregated once.
     best = F.min(F.struct(_best_first().alias("key"), *[F.col(m).cast("double").alias(m) for m in metrics]))
-    wide = runs.groupBy(run).agg(*aggs, best.alias("b"))
+    hot, rest = by_heat(runs.select(*dict.fromkeys([run, "model", SCORE, *metrics])), [run])
+    wide = rest.repartition(run).groupBy(run).agg(*aggs, best.alias("b"))
+    if hot is not None:
+        wide = wide.unionByName(hot.groupBy(run).agg(*aggs, best.alias("b")))
     cells = F.array(
         *[
             F.struct(
