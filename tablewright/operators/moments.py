@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.missing import quoted, value_of
 from tablewright.operators.cluster import complete_rows
-from tablewright.operators.joins import lookup_join, materialize
+from tablewright.operators.joins import hot_of, lookup_join, materialize
 from tablewright.operators.ordering import running_before
 from tablewright.session import durable, local_frame, small_in_memory
 
@@ -47,13 +47,13 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[value_of(fields[c]).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """Sums over pairwise complete rows; null and NaN are missing. Two passes: means, then products."""
+def moments(df: DataFrame, cols: Sequence[str], known: Sequence[float] | None = None) -> Moments:
+    """Sums over pairwise complete rows; null and NaN are missing. Two passes: means (if not ``known``), then products."""
     d = len(cols)
     if not 1 <= d <= MOST_COLUMNS:
         raise ValueError(f"between 1 and {MOST_COLUMNS} columns, not {d}")
     with small_in_memory(_numbers(df, cols)) as held:
-        row = held.agg(*[F.avg(c) for c in held.columns]).first()
+        row = held.agg(*[F.avg(c) for c in held.columns]).first() if known is None else known
         means = np.array([0.0 if m is None else m for m in row])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,22 +86,32 @@ def moments(df: DataFrame, cols: Sequence[str]) -> Moments:
     return Moments(means, n, s, q, p)
 
 
-def ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The columns as average ranks among their own values that are there; missing stays missing.
+def ranked(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """The columns as average ranks among their own values that are there, and the means of these; missing stays missing.
 
     Ranks come from counts per value in a global order, so equal values, however many, are
-    one row of the order.
+    one row of the order. One pass counts the values of all columns. The mean of n ranks is
+    (n + 1) / 2, so no pass is needed for it.
     """
-    out = df
-    for c in cols:
-        field = next(f for f in df.schema.fields if f.name == c)
-        counts = df.select(value_of(field).alias("__v")).where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
-        counts = durable(counts)
-        order = running_before(counts, ["__v"], {"__below": F.col("__n")}, counts.count())
-        ranks = order.select("__v", (F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
-        out = lookup_join(out.withColumn("__v", value_of(field)), materialize(ranks), ["__v"])
-        out = out.withColumn(c, F.col("__rank")).drop("__v", "__rank")
-    return out
+    fields = {f.name: f for f in df.schema.fields}
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(cols):
+        kinds.setdefault(df.select(value_of(fields[c]).alias("v")).schema["v"].dataType.simpleString(), []).append(i)
+    out, means = df, [0.0] * len(cols)
+    for some in kinds.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("__i"), value_of(fields[cols[i]]).alias("__v")) for i in some])
+        counts = durable(df.select(F.inline(cells)).groupBy("__i", "__v").agg(F.count(F.lit(1)).alias("__n")))
+        there = F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")))
+        sizes = counts.groupBy("__i").agg(F.sum("__n"), there, F.count("__v")).collect()  # one row per column
+        for i, total, rows, values in sizes:
+            c, own = cols[i], counts.where(F.col("__i") == i).drop("__i")
+            order = running_before(own.where("__v is not null"), ["__v"], {"__below": F.col("__n")}, values)
+            ranks = order.select("__v", (F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
+            keyed = out.withColumn("__v", value_of(fields[c]))
+            out = lookup_join(keyed, materialize(ranks), ["__v"], hot=lambda own=own, total=total: hot_of(own, total, ["__v"]))
+            out = out.withColumn(c, F.col("__rank")).drop("__v", "__rank")
+            means[i] = ((rows or 0) + 1) / 2
+    return out, means
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -113,7 +123,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     """
     if method not in ("pearson", "spearman"):
         raise ValueError(f'method is "pearson" or "spearman", not {method!r}')
-    m = moments(ranked(df.select(*[quoted(c) for c in cols]), cols) if method == "spearman" else df, cols)
+    data, means = ranked(df.select(*[quoted(c) for c in cols]), cols) if method == "spearman" else (df, None)
+    m = moments(data, cols, means)
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

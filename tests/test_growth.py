@@ -1,7 +1,9 @@
 """Steps whose time or shuffle grew with the input more than it had to."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import joins, moments
 from tablewright.operators.joins import by_heat
 from tablewright.operators.runs import metric_summary
 
@@ -40,3 +42,20 @@ def test_summary_of_hot_and_small_runs(spark):
         assert found[run, "cv_score"]["best"] == best["cv_score"]
         assert found[run, "cv_score"]["max"] == max(score) and found[run, "cv_score"]["min"] == min(score)
         assert abs(found[run, "cv_score"]["mean"] - sum(score) / len(score)) < 1e-12
+
+
+def test_values_of_all_columns_are_counted_in_one_pass(spark, monkeypatch):
+    """Ranks read their rows once; the rows per value say which keys are hot, and the means of the ranks are known."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "hot_keys", lambda *a: pytest.fail("rows are counted a second time"))
+    k = F.col("id")
+    df = spark.range(900).select(
+        F.when(k % 3 != 0, k % 7).cast("double").alias("a"), F.when(k % 4 != 1, F.lit(5.0)).alias("b"), ((k * k) % 50).alias("c"), F.lit(None).cast("double").alias("d")
+    )
+    out, means = moments.ranked(df, ["a", "b", "c", "d"])
+    plain = df.toPandas()
+    found = out.toPandas()
+    for c, mean in zip(plain, means, strict=True):
+        expected = plain[c].astype(float).rank().dropna().sort_values().tolist()
+        assert found[c].dropna().astype(float).sort_values().tolist() == expected
+        assert not expected or abs(mean - sum(expected) / len(expected)) < 1e-9
