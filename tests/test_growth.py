@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import joins, moments
+from tablewright.operators import joins, moments, sampling, search
+from tablewright.operators.features import TablePreprocessor
 from tablewright.operators.joins import by_heat
+from tablewright.operators.models import Family
 from tablewright.operators.runs import metric_summary
 
 
@@ -59,3 +61,45 @@ def test_values_of_all_columns_are_counted_in_one_pass(spark, monkeypatch):
         expected = plain[c].astype(float).rank().dropna().sort_values().tolist()
         assert found[c].dropna().astype(float).sort_values().tolist() == expected
         assert not expected or abs(mean - sum(expected) / len(expected)) < 1e-9
+
+
+def test_cut_offs_are_compared_in_plain_expressions(spark):
+    df = spark.range(1000).withColumn("y", F.col("id") % 3)
+    placed = sampling.assign_folds(df, 4, "y", key=["id"])
+    assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [r["count"] for r in placed.groupBy("y", "fold").count().collect()]
+    assert len(sizes) == 12 and max(sizes) - min(sizes) <= 1
+    many = sampling.assign_folds(df, 40, "y", key=["id"]).groupBy("y", "fold").count().collect()
+    assert len(many) == 120 and {r["count"] for r in many} <= {8, 9}
+
+
+class _Watch:
+    """An estimator that notes how many tables are kept, and how many learners run, while it fits."""
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def fit(self, rows):
+        self.seen.append(rows.sparkSession.sparkContext._jsc.getPersistentRDDs().size())
+        return self
+
+    def transform(self, rows):
+        return rows.withColumn("prediction", F.lit(0.0))
+
+
+def test_learners_have_the_memory_to_themselves(spark, monkeypatch):
+    """Only the features are kept while a learner fits; many partitions mean one learner at a time."""
+    df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("double").alias("label"), F.rand(1).alias("x"))
+    seen = []
+    candidate = search.Candidate(Family("watch", {}, lambda params, shape: _Watch(seen)), {})
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    search.refit(df, TablePreprocessor(numericCols=["x"]), [candidate], "classification")
+    assert seen == [before + 1]
+    few, _ = search.kept(df)
+    assert search._at_once(few, 4) == 4
+    monkeypatch.setattr(search, "PART_ROWS", 20)
+    many, n = search.kept(df, source=True)
+    assert (n, many.rdd.getNumPartitions(), search._at_once(many, 4)) == (400, 20, 1)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before + 2
+    few.unpersist()
+    many.unpersist()
