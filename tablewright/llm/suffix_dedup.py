@@ -13,7 +13,9 @@ end. Strings that can be equal are brought together first. Of the ``k``-byte str
 every window of ``length`` bytes the one with the least hash is its anchor. Equal windows
 have equal anchors at equal places, so only anchors that two documents share count,
 and each contributes its context: the bytes of all windows that can hold it, at most
-2 * length - k. The contexts of an anchor, and those of neighbouring anchors up to
+2 * length - k. An equal window holds half of the bytes that it has besides the anchor
+before it or the rest after it, so only contexts that agree on one of these sides with
+another document's go on. Those of an anchor, and of neighbouring anchors up to
 ``collection`` strings, are one collection. Long equal stretches are met as blocks of
 some anchors first: of equal blocks only the smallest id's goes on to its contexts, the
 others are removed whole. A third of all documents may share a passage: a task that sees
@@ -360,7 +362,8 @@ def _contexts(blocks: DataFrame, k: int, length: int) -> DataFrame:
                 for a in np.frombuffer(places, "<u4").tolist():
                     s = max(0, a - reach)
                     h = int.from_bytes(hashlib.blake2b(block[a : a + k], digest_size=8).digest(), "little", signed=True)
-                    rows.append((h, i, t, start + s, block[s : a + length], None))
+                    # The first byte says where in the context the anchor is.
+                    rows.append((h, i, t, start + s, bytes((a - s,)) + block[s : a + length], None))
             for n in range(0, max(len(rows), 1), 50_000):
                 yield _batch(rows[n : n + 50_000], _CONTEXT, _CONTEXT_TYPES)
 
@@ -369,7 +372,7 @@ def _contexts(blocks: DataFrame, k: int, length: int) -> DataFrame:
 
 
 def _decide(rows: list[tuple], length: int) -> list[tuple]:
-    """(id, hash, ranges) that rows (anchor, id, hash, start, context) of one collection lose."""
+    """(id, hash, ranges) that rows (anchor, id, hash, start, context, ...) of one collection lose."""
     strings = list(dict.fromkeys(r[4] for r in rows))
     classes = common_classes(strings, length)
     at = dict(zip(strings, np.cumsum([0, *map(len, strings[:-1])]).tolist(), strict=True))
@@ -387,6 +390,27 @@ def _decide(rows: list[tuple], length: int) -> list[tuple]:
     return out
 
 
+def _alike(rows: list[tuple], k: int, length: int) -> list[tuple]:
+    """The rows of one anchor (anchor, id, hash, start, context, place) that can share a string with another id.
+
+    Equal strings have their anchor at the same place, so they agree on the bytes next to it: on half
+    of those they have besides the anchor before it, or on more than the rest after it.
+    """
+    before = (length - k) // 2
+    after = length - k - before + 1
+    first: dict[bytes, int] = {}
+    several, sides = set(), []
+    for _, i, _, _, context, a in rows:
+        left = context[a - before : a + k] if a >= before else b""
+        right = context[a : a + k + after]
+        for side in (left, right):
+            if first.setdefault(side, i) != i:
+                several.add(side)
+        sides.append((left, right))
+    several.discard(b"")
+    return [r for r, (left, right) in zip(rows, sides, strict=True) if left in several or right in several]
+
+
 def _windows(rows: list[tuple], length: int, parts: int) -> list[list[tuple]]:
     """The windows of an anchor with very many contexts, dealt by their bytes: equal ones stay together."""
     out: list[list[tuple]] = [[] for _ in range(parts)]
@@ -397,7 +421,7 @@ def _windows(rows: list[tuple], length: int, parts: int) -> list[list[tuple]]:
     return out
 
 
-def _compared(contexts: DataFrame, length: int, collection: int) -> DataFrame:
+def _compared(contexts: DataFrame, k: int, length: int, collection: int) -> DataFrame:
     """id, hash and ranges to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,6 +434,7 @@ def _compared(contexts: DataFrame, length: int, collection: int) -> DataFrame:
             """Add the finished anchor to the collection; compare a full collection."""
             nonlocal held, group
             out = []
+            group = _alike(group, k, length) if len(group) > 1 else []
             if len(group) > collection:
                 for part in _windows(group, length, -(-len(group) // 256)):
                     out += _decide(part, length) if part else []
@@ -434,7 +459,7 @@ def _compared(contexts: DataFrame, length: int, collection: int) -> DataFrame:
                 if row[0] != anchor:
                     rows += close(False)
                     anchor = row[0]
-                group.append(row)
+                group.append((*row[:4], row[4][1:], row[4][0]))
             yield _batch(rows, names, types)
         yield _batch(close(True), names, types)
 
@@ -478,7 +503,7 @@ def remove_repeats(
     release(docs.sparkSession)
     places = _by_document(shared)
     found = rows.join(places.hint("merge"), ["id", "hash"]).select("id", "hash", "text", "places")
-    ranges = durable(_compared(_contexts(_blocks(found, anchor, length), anchor, length), length, collection))
+    ranges = durable(_compared(_contexts(_blocks(found, anchor, length), anchor, length), anchor, length, collection))
     release(docs.sparkSession)
     per_doc = ranges.groupBy("id", "hash").agg(F.collect_set("ranges").alias("ranges"))
 

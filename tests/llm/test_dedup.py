@@ -12,7 +12,7 @@ from tablewright.llm.embedding_dedup import joined_groups, near_vectors, tile_li
 from tablewright.llm.exact_dedup import exact_duplicates
 from tablewright.llm.shingle_sets import similar_duplicates
 from tablewright.llm.simhash import BKTree, fingerprint, near_duplicates
-from tablewright.llm.suffix_dedup import AnchorFinder, common_classes, merged, remove_repeats
+from tablewright.llm.suffix_dedup import AnchorFinder, _alike, common_classes, merged, remove_repeats
 
 DOCS = "doc_id long, text string, keep_id string, kept string, row_no string"
 
@@ -317,3 +317,20 @@ def test_classes_and_runs():
         at += len(s)
     assert len(seen) == len({s[k : k + 3] for s in strings for k in range(len(s) - 2)})
     assert merged(np.array([[5, 9], [0, 3], [3, 4], [6, 12]])).tolist() == [[0, 4], [5, 12]]
+
+
+def test_contexts_that_agree_on_the_anchor_alone_are_not_sorted():
+    """Of contexts of one anchor only those go on that can share 50 bytes with another document."""
+    rng = random.Random(7)
+    text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    anchor = text(24)
+    rows = [(1, i, 0, 0, text(26) + anchor + text(26), 26) for i in range(200)]
+    assert _alike(rows, 24, 50) == []
+    for before in range(27):
+        shared = text(before) + anchor + text(26 - before)
+        pair = [
+            (1, 500, 0, 0, (text(26) + shared)[-50 - 26 + before :], 26),
+            (1, 501, 0, 0, shared, before),
+        ]
+        assert _alike(rows + pair, 24, 50) == pair, before
+        assert _alike([*rows, pair[0], (1, 500, *pair[1][2:])], 24, 50) == []
