@@ -11,12 +11,13 @@ the same string.
 A corpus is no single collection: a round for each of a document's symbols would have no
 end. Strings that can be equal are brought together first. Of the ``k``-byte strings in
 every window of ``length`` bytes the one with the least hash is its anchor. Equal windows
-have equal anchors at equal places, so only anchors that two documents share count,
-and each contributes its context: the bytes of all windows that can hold it, at most
-2 * length - k. An equal window holds half of the bytes that it has besides the anchor
-before it or the rest after it, so only contexts that agree on one of these sides with
-another document's go on. Those of an anchor, and of neighbouring anchors up to
-``collection`` strings, are one collection. Long equal stretches are met as blocks of
+have equal anchors at equal places, so only anchors that two documents share count. An
+equal window also holds half of the bytes that it has besides the anchor before it or the
+rest after it: an anchor goes on if a byte of a hash of either side is shared as well.
+It contributes its context: the bytes of all windows that can hold it, at most
+2 * length - k. Contexts that agree on one whole side with another document's remain.
+Those of an anchor, and of neighbouring anchors up to ``collection`` strings, are one
+collection. Long equal stretches are met as blocks of
 some anchors first: of equal blocks only the smallest id's goes on to its contexts, the
 others are removed whole. A third of all documents may share a passage: a task that sees
 a block more than once decides for all but the smallest id by itself and passes on one
@@ -83,6 +84,46 @@ class AnchorFinder:
         return at, np.concatenate(hashes)[first]
 
 
+def _side_sizes(k: int, length: int) -> tuple[int, int]:
+    """Any ``length`` bytes with an anchor in them have so many before it or so many after it."""
+    before = (length - k) // 2
+    return before, length - k - before + 1
+
+
+def _sides(data: np.ndarray, places: np.ndarray, k: int, length: int) -> np.ndarray:
+    """A byte of a hash of what is before each anchor, and above it one of what is after it.
+
+    At the ends of a text a side can lack bytes; no window needs it there.
+    """
+    out = np.zeros(len(places), np.uint32)
+    before, after = _side_sizes(k, length)
+    for shift, low, high in ((0, -before, 0), (8, k, k + after)):
+        h = np.zeros(len(places), np.uint64)
+        for step in range(low, high):
+            h = (h + data[np.clip(places + step, 0, len(data) - 1)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        out |= (h >> np.uint64(56)).astype(np.uint32) << np.uint32(shift)
+    return out
+
+
+def _several(h: np.ndarray, sides: np.ndarray, *origins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors agree on a side with one of another origin, and one anchor for each hash and side."""
+    shared, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    for part in (sides & np.uint32(0xFF), sides >> np.uint32(8)):
+        order = np.lexsort((part, h))
+        a, b = h[order], part[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        if not len(first):
+            break
+        several = np.zeros(len(first), bool)
+        for origin in origins:
+            mine = origin[order]
+            several |= np.minimum.reduceat(mine, first) != np.maximum.reduceat(mine, first)
+        shared[order] |= np.repeat(several, np.diff(np.append(first, len(h))))
+        lead[order[first]] = True
+    return shared, lead
+
+
 def common_classes(strings: list[bytes], length: int) -> np.ndarray:
     """For every string, one after the other, and every place in it: the class of the ``length`` bytes there.
 
@@ -158,26 +199,21 @@ def _seen_anchors(docs: DataFrame, finder: tuple[int, int], buckets: int) -> Dat
 
         def unit() -> pa.RecordBatch:
             keys = np.array([(i, t) for i, t, *_ in held], np.int64).reshape(-1, 2)
-            doc = np.repeat(np.arange(len(held)), [len(p) for _, _, p, _ in held])
-            place = np.concatenate([p for _, _, p, _ in held])
-            h = np.concatenate([x for *_, x in held])
-            order = np.argsort(h, kind="stable")
-            doc, place, h = doc[order], place[order], h[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-            several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) if len(h) else first > 0
-            here = several[group] if len(h) else np.zeros(0, bool)
+            doc = np.repeat(np.arange(len(held)), [len(p) for _, _, p, *_ in held])
+            place = np.concatenate([p for _, _, p, *_ in held])
+            h = np.concatenate([x for *_, x, _ in held])
+            sides = np.concatenate([x for *_, x in held])
+            here, lead = _several(h, sides, doc)
             rows = [(number % buckets, number, _DOCS, _bytes(keys, "<i8"))]
             if here.any():
                 rows.append((number % buckets, number, _SHARED, _bytes((doc[here], place[here]), "<u4")))
-            # One row of a group known to be shared tells the others; it has no place of its own.
-            lead = np.zeros(len(h), bool)
-            lead[first] = True
+            # One row for a hash and side known to be shared tells the others; it has no place of its own.
             out = ~here | lead
-            doc, place, h = doc[out], np.where(here[out], 0xFFFFFFFF, place[out]), h[out]
+            doc, place, h, sides = doc[out], np.where(here[out], 0xFFFFFFFF, place[out]), h[out], sides[out]
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((h, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            doc |= sides.astype(np.int64) << 16
             for b in range(buckets):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
@@ -186,9 +222,11 @@ def _seen_anchors(docs: DataFrame, finder: tuple[int, int], buckets: int) -> Dat
 
         for b in batches:
             for i, t, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                held.append((i, t, *finding.find(np.frombuffer(text, np.uint8))))
+                data = np.frombuffer(text, np.uint8)
+                places, hashes = finding.find(data)
+                held.append((i, t, places, hashes, _sides(data, places, *finder)))
                 used += len(text) + 64
-                if used >= UNIT_BYTES:
+                if used >= UNIT_BYTES or len(held) > 0xFFFF:
                     yield unit()
                     held, used, number = [], 0, number + 1
         if held:
@@ -209,14 +247,8 @@ def _shared_anchors(seen: DataFrame, buckets: int) -> DataFrame:
                 return []
             unit = np.repeat([u for u, _ in held], [x.shape[1] for _, x in held])
             h, doc, place = np.concatenate([x for _, x in held], axis=1)
-            order = np.argsort(h, kind="stable")
-            unit, h, doc, place = unit[order], h[order], doc[order], place[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            sizes = np.diff(np.append(first, len(h)))
-            several = np.zeros(len(first), bool)
-            for part in (unit, doc):
-                several |= np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
-            pick = np.repeat(several, sizes) & (place != 0xFFFFFFFF)
+            sides, doc = doc >> np.uint32(16), doc & np.uint32(0xFFFF)
+            pick = _several(h, sides, unit, doc)[0] & (place != 0xFFFFFFFF)
             unit, doc, place = unit[pick], doc[pick], place[pick]
             order = np.argsort(unit, kind="stable")
             unit, doc, place = unit[order], doc[order], place[order]
@@ -396,8 +428,7 @@ def _alike(rows: list[tuple], k: int, length: int) -> list[tuple]:
     Equal strings have their anchor at the same place, so they agree on the bytes next to it: on half
     of those they have besides the anchor before it, or on more than the rest after it.
     """
-    before = (length - k) // 2
-    after = length - k - before + 1
+    before, after = _side_sizes(k, length)
     first: dict[bytes, int] = {}
     several, sides = set(), []
     for _, i, _, _, context, a in rows:
