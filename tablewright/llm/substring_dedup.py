@@ -113,8 +113,8 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-class Bundle:
-    """The texts of a bundle with their word places."""
+class Texts:
+    """The texts of a bundle, end to end; text i is data[cuts[i]:cuts[i + 1]]."""
 
     def __init__(self, payload: bytes):
         table = pa.ipc.open_stream(payload).read_all().combine_chunks()
@@ -125,9 +125,16 @@ class Bundle:
         lo, hi = self.cuts[0], self.cuts[-1]
         self.data = np.frombuffer(data, np.uint8, hi - lo, lo) if hi > lo else np.zeros(0, np.uint8)
         self.cuts -= lo
+
+
+class Bundle(Texts):
+    """The texts of a bundle with their word places."""
+
+    def __init__(self, payload: bytes):
+        super().__init__(payload)
         self.starts, self.ends = word_places(self.data, self.cuts)
         self.first = np.searchsorted(self.starts, self.cuts)
-        self.of_text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.of_text = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.first))
 
     def hashes(self, seed: int) -> np.ndarray:
         return word_hashes(self.data, self.starts, self.ends, seed)

@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from tablewright.llm import suffix_dedup
 from tablewright.llm.components import components
 from tablewright.llm.embedding_dedup import joined_groups, near_vectors, tile_links
 from tablewright.llm.exact_dedup import exact_duplicates
@@ -288,6 +290,57 @@ def test_repeats(spark):
     assert remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_repeats_over_many_bundles_and_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, page = text(170), text(900)
+    rows = [(500 - i, text(rng.randrange(0, 200)) + line + text(rng.randrange(0, 90))) for i in range(60)]
+    rows += [(600 + i, page[: rng.randrange(40, 900)] + text(5) + page[rng.randrange(0, 860) :]) for i in range(40)]
+    rows += [(800 + i, rows[i][1]) for i in range(0, 100, 7)]
+    monkeypatch.setattr(suffix_dedup, "BUNDLE_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "PART_ANCHORS", 300)
+    want = brute_repeats(rows, 50)
+    for collection in (2048, 8):
+        got = remove_repeats(docs_of(spark, rows).repartition(3), 50, 24, collection, with_kept=False).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_copies_move_as_hashes():
+    rng = np.random.default_rng(3)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    page, bits = text(4000), 30
+    bundles = []
+    for k in range(5):
+        rows = [(100 * k + i, page if i % 2 else text(2000) + page[500:900] + text(100)) for i in range(20)]
+        table = pa.table({"id": [i for i, _ in rows], "text": pa.array([t for _, t in rows], pa.large_binary())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        bundles.append(suffix_dedup.Anchored(sink.getvalue().to_pybytes(), AnchorFinder(24, 50), bits))
+
+    def told(columns):
+        names = ["part", "bundle", *columns[0]]
+        return pa.table({n: [0] * 5 if n == "part" else list(range(5)) if n == "bundle" else [c[n] for c in columns] for n in names})
+
+    anchors = [b.distinct() for b in bundles]
+    seen = told([{"anchors": suffix_dedup.pack(x)} for x in anchors])
+    # Twelve bytes an anchor moved before, hash, document and place, of every anchor of every document.
+    assert sum(map(len, seen["anchors"].to_pylist())) < 5 * sum(map(len, anchors))
+    shared = suffix_dedup._shared(seen)
+    found = [
+        suffix_dedup.Contexts(b, suffix_dedup._answered(shared.slice(k, 1), "shared") > 0) for k, b in enumerate(bundles)
+    ]
+    columns = [
+        {"anchors": suffix_dedup.pack(c.anchor)} | {n: suffix_dedup._squeeze(x) for n, x in (("texts", c.text), ("ids", c.least))}
+        for c in found
+    ]
+    judged = suffix_dedup._judged(told(columns), 2048)
+    compared = [suffix_dedup._answered(judged.slice(k, 1), "what") == suffix_dedup._COMPARE for k in range(5)]
+    # Of 50 copies of a page only contexts at the ends of the quoted part are compared, a few for each quoting text.
+    assert sum(len(c.of) for c in found) > 10_000
+    assert 0 < sum(x.sum() for x in compared) < 50 * 8
+
+
 def test_anchors_are_few_and_follow_the_text():
     rng = np.random.default_rng(1)
     passage = rng.integers(97, 123, 400).astype(np.uint8)
