@@ -44,8 +44,8 @@ from tablewright.llm.substring_dedup import Texts, bundles_of, cut_by_range, pac
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a bundle, contexts of an anchor at most in a collection, strings from which on a
-#: collection takes no other anchor (its arrays stay in a core's cache), and anchors that meet in one part.
-BUNDLE_BYTES, COLLECTION, SORTED, PART_ANCHORS = 16 << 20, 2048, 256, 2_000_000
+#: collection takes no other anchor (its arrays stay in a core's cache), anchors that meet in one part, and parts at least.
+BUNDLE_BYTES, COLLECTION, SORTED, PART_ANCHORS, LEAST_PARTS = 16 << 20, 2048, 256, 2_000_000, 48
 #: Bits of an anchor's hash beyond those of their number: one anchor in 1,000 seems shared by chance.
 SPARE_BITS = 10
 _SLICE = 1 << 16
@@ -527,7 +527,7 @@ def remove_repeats(
     texts = durable(bundles_of(rows, BUNDLE_BYTES)).select("bundle", "payload")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = 2 * total // (length - anchor + 2)
-    parts = max(1, math.ceil(anchors / PART_ANCHORS))
+    parts = max(LEAST_PARTS, math.ceil(anchors / PART_ANCHORS))
     bits = min(62, anchors.bit_length() + SPARE_BITS)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
